@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from strandline.llm import substring_dedup
+from strandline.llm import jaccard_join, substring_dedup
 
 
 def queries() -> dict:
     return {
+        "op5_jaccard_join": jaccard_join.op5_jaccard_join,
         "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_jaccard_join": jaccard_join.OP5_SQL,
         "op10_substring_dedup": substring_dedup.OP10_SQL,
     }
