@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from strandline.llm import jaccard_join, substring_dedup
+from strandline.llm import jaccard_join, line_dedup, substring_dedup
 
 
 def queries() -> dict:
     return {
+        "op3_line_dedup": line_dedup.op3_line_dedup,
         "op5_jaccard_join": jaccard_join.op5_jaccard_join,
         "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     }
@@ -14,6 +15,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_line_dedup": line_dedup.OP3_SQL,
         "op5_jaccard_join": jaccard_join.OP5_SQL,
         "op10_substring_dedup": substring_dedup.OP10_SQL,
     }
