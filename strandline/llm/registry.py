@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.llm import byte_bpe, jaccard_join, line_dedup, substring_dedup
+from strandline.llm import byte_bpe, jaccard_join, line_dedup, packing, substring_dedup
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_byte_bpe": byte_bpe.op2_byte_bpe,
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op5_jaccard_join": jaccard_join.op5_jaccard_join,
+        "op6_best_fit_packing": packing.op6_best_fit_packing,
         "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     }
 
