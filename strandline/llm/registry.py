@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.llm import byte_bpe, jaccard_join, line_dedup, packing, substring_dedup
+from strandline.llm import byte_bpe, jaccard_join, line_dedup, media, packing, substring_dedup
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op5_jaccard_join": jaccard_join.op5_jaccard_join,
         "op6_best_fit_packing": packing.op6_best_fit_packing,
+        "op9_media_columns": media.op9_media_columns,
         "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     }
 
