@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.llm import byte_bpe, jaccard_join, line_dedup, media, packing, substring_dedup
+from strandline.llm import byte_bpe, chat, jaccard_join, line_dedup, media, packing, substring_dedup
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op5_jaccard_join": jaccard_join.op5_jaccard_join,
         "op6_best_fit_packing": packing.op6_best_fit_packing,
+        "op8_preference_chat": chat.op8_preference_chat,
         "op9_media_columns": media.op9_media_columns,
         "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     }
@@ -20,5 +21,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_line_dedup": line_dedup.OP3_SQL,
         "op5_jaccard_join": jaccard_join.OP5_SQL,
+        "op8_preference_chat": chat.OP8_SQL,
         "op10_substring_dedup": substring_dedup.OP10_SQL,
     }
