@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from strandline.llm import byte_bpe, chat, jaccard_join, line_dedup, media, packing, substring_dedup
+from strandline.llm import byte_bpe, chat, jaccard_join, line_dedup, media, packing, substring_dedup, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op2_byte_bpe": byte_bpe.op2_byte_bpe,
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op5_jaccard_join": jaccard_join.op5_jaccard_join,
