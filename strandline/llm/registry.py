@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.llm import byte_bpe, chat, jaccard_join, line_dedup, media, packing, substring_dedup, toxicity
+from strandline.llm import byte_bpe, chat, jaccard_join, language_id, line_dedup, media, packing, substring_dedup, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op5_jaccard_join": jaccard_join.op5_jaccard_join,
         "op6_best_fit_packing": packing.op6_best_fit_packing,
+        "op7_language_id": language_id.op7_language_id,
         "op8_preference_chat": chat.op8_preference_chat,
         "op9_media_columns": media.op9_media_columns,
         "op10_substring_dedup": substring_dedup.op10_substring_dedup,
