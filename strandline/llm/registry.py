@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.llm import byte_bpe, chat, jaccard_join, language_id, line_dedup, media, packing, substring_dedup, toxicity
+from strandline.llm import ann_forest, byte_bpe, chat, jaccard_join, language_id, line_dedup, media, packing, substring_dedup, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_byte_bpe": byte_bpe.op2_byte_bpe,
         "op3_line_dedup": line_dedup.op3_line_dedup,
+        "op4_ann_forest": ann_forest.op4_ann_forest,
         "op5_jaccard_join": jaccard_join.op5_jaccard_join,
         "op6_best_fit_packing": packing.op6_best_fit_packing,
         "op7_language_id": language_id.op7_language_id,
