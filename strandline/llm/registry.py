@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from strandline.llm import ann_forest, byte_bpe, chat, jaccard_join, language_id, line_dedup, media, packing, substring_dedup, toxicity
 
 
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op8_preference_chat": chat.op8_preference_chat,
         "op9_media_columns": media.op9_media_columns,
         "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 
