@@ -26,45 +26,51 @@ from pyspark.sql import functions as F
 
 from strandline.llm._common import Scratch
 
-#: Blanks between tokens, and a token that holds a digit.
-BLANKS = r"[ \t\f\r\x0B]+"
-WITH_DIGIT = r"(?<![^ \t\f\r\x0B])[^ \t\f\r\x0B0-9]*+[0-9][^ \t\f\r\x0B]*+"
-EDGES = " \t\f\r\x0b"
+#: Blanks between tokens that aren't single spaces, and a token that holds a digit.
+ODD_BLANKS = r"[ \t\f\r\x0B]{2,}|[\t\f\r\x0B]"
+WITH_DIGIT = r"(?<![^ \t\f\r\x0B\n])[^ \t\f\r\x0B\n0-9]*+[0-9][^ \t\f\r\x0B\n]*+"
 WILD = "<*>"
+#: Words of 64 bits in the filter that keeps texts out of a second parse.
+FILTER_WORDS = 1 << 16
 
 
-def masked(line: Column) -> Column:
-    """A line with single blanks and its digit-bearing tokens masked."""
-    return F.regexp_replace(F.regexp_replace(F.btrim(line, F.lit(EDGES)), WITH_DIGIT, WILD), BLANKS, " ")
-
-
-def _leaf(tokens: Column, depth: int) -> Column:
-    return F.xxhash64(F.size(tokens), F.slice(tokens, 1, depth))
+def masked(text: Column) -> Column:
+    """A text whose lines have single blanks and whose digit-bearing tokens are masked."""
+    return F.regexp_replace(F.regexp_replace(text, WITH_DIGIT, WILD), ODD_BLANKS, " ")
 
 
 def _lines(docs: DataFrame, min_tokens: int) -> DataFrame:
-    """One row per line that may be dropped: doc, row hash, line number, masked line."""
-    line = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    return line.select("doc_id", "version", "line_no", masked(F.col("raw")).alias("shape")).where(F.length("shape") - F.length(F.replace("shape", F.lit(" "), F.lit(""))) >= min_tokens - 1)
+    """One row per line that may be dropped: doc, version of its text, line number, masked line."""
+    line = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(F.split(masked(F.col("text")), "\n")).alias("line_no", "raw"))
+    shape = line.select("doc_id", "version", "line_no", F.trim("raw").alias("shape"))
+    return shape.where(F.substring_index("shape", " ", min_tokens - 1) != F.col("shape"))
 
 
 def dedup_lines(docs: DataFrame, depth: int = 3, min_docs: int = 3, min_tokens: int = 4, num: int = 7, den: int = 10) -> DataFrame:
     """The input's columns with recurring lines cut from ``text``, and ``n_lines`` and ``n_dropped``."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
-    lines = _lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), min_tokens)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
-    # distinct masked lines as hashes, with their documents
-    tokens = F.split("shape", " ")
-    hashed = lines.select("doc_id", "version", "line_no", F.xxhash64("shape").alias("h"), _leaf(tokens, depth).alias("leaf"))
+    # every line as hashes, parsed once; distinct masked lines with their documents
+    blanks = F.length("shape") - F.length(F.replace("shape", F.lit(" "), F.lit("")))
+    line = _lines(texts, min_tokens).select("doc_id", "version", "line_no", F.xxhash64("shape").alias("h"), F.xxhash64(blanks, F.substring_index("shape", " ", depth)).alias("leaf"))
+    hashed = scratch.keep(line, "hashes")
     once = hashed.groupBy("h", "leaf", "doc_id").agg(F.lit(1).alias("one"))
     shapes = scratch.keep(once.groupBy("h", "leaf").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first_doc")), "shapes")
     leaves = shapes.groupBy("leaf").agg(F.sum("docs").alias("leaf_docs"), F.count(F.lit(1)).alias("n")).where((F.col("leaf_docs") >= min_docs) & (F.col("n") > 1)).select("leaf")
 
-    # leaves with several lines: constants and variable fields by position
-    open_shapes = shapes.join(leaves, "leaf", "left_semi")
-    text_of = lines.select(F.xxhash64("shape").alias("h"), "shape").join(open_shapes.select("h"), "h", "left_semi").groupBy("h").agg(F.first("shape").alias("shape"))
-    placed = scratch.keep(open_shapes.join(text_of, "h").select("h", "leaf", "docs", "first_doc", "shape"), "placed")
+    # leaves with several lines: their lines are read again, from the first document of each
+    opened = scratch.keep(shapes.join(leaves, "leaf", "left_semi"), "open")
+    word, bit = "pmod(shiftright(xxhash64(doc_id), 6), {0})", "cast(pmod(xxhash64(doc_id), 64) as int)"
+    # a filter of fixed size skips most other documents; the join on the line's hash is what decides
+    wanted = opened.select(F.col("first_doc").alias("doc_id")).groupBy(F.expr(word.format(FILTER_WORDS)).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, {bit})")).alias("m"))
+    maybe = texts.join(F.broadcast(wanted), F.expr(word.format(FILTER_WORDS)) == F.col("w")).where(F.expr(f"getbit(m, {bit}) = 1"))
+    found = _lines(maybe.select("doc_id", "text"), min_tokens).select(F.xxhash64("shape").alias("h"), "shape")
+    text_of = found.join(opened.select("h"), "h", "left_semi").groupBy("h").agg(F.first("shape").alias("shape"))
+    placed = scratch.keep(opened.join(text_of, "h").select("h", "leaf", "docs", "first_doc", "shape"), "placed")
+
+    # constants and variable fields by position
     cells = placed.select("h", "leaf", "docs", "first_doc", F.posexplode(F.split("shape", " ")).alias("at", "token"))
     often = cells.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("have")).where(F.col("have") >= min_docs)
     marked = cells.join(often, ["leaf", "at", "token"], "left").withColumn("const", F.col("have").isNotNull() & (F.col("token") != WILD))
@@ -76,29 +82,30 @@ def dedup_lines(docs: DataFrame, depth: int = 3, min_docs: int = 3, min_tokens:
         F.sum(F.when(F.col("const"), F.xxhash64("token", "at", F.lit(1)).cast("decimal(38,0)"))).alias("s2"),
     )
     general = sums.select("h", "docs", "first_doc", F.when(F.col("n_const") * den >= F.col("n") * num, F.xxhash64("leaf", "n", "s1", "s2")).otherwise(F.col("h")).alias("template"))
-    alone = shapes.join(leaves, "leaf", "left_anti").select("h", "docs", "first_doc", F.col("h").alias("template"))
+    alone = shapes.where(F.col("docs") >= min_docs).join(opened.select("h"), "h", "left_anti").select("h", "docs", "first_doc", F.col("h").alias("template"))
     all_shapes = general.unionByName(alone)
     # documents of a template: the sum over its lines is exact for one line, and for several it is counted below
     by_template = all_shapes.groupBy("template").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("n"), F.min("first_doc").alias("first_of")).where(F.col("docs") >= min_docs)
     member = scratch.keep(all_shapes.select("h", "template").join(by_template, "template"), "members")
-    hits = hashed.join(member, "h")
+    hits = scratch.keep(hashed.join(member, "h").select("doc_id", "version", "line_no", "template", "n", "first_of"), "hits")
     several = hits.where("n > 1").groupBy("template", "doc_id").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count(F.lit(1)).alias("real"))
     few = several.where(F.col("real") < min_docs).select("template")
     gone = hits.where("doc_id > first_of").join(few, "template", "left_anti")
-    drops = gone.groupBy("doc_id", "version").agg(F.collect_set("line_no").alias("gone"))
+    drops = scratch.keep(gone.groupBy("doc_id", "version").agg(F.collect_set("line_no").alias("gone")), "drops")
+    scratch.release()
 
     key = docs.withColumns({"__doc": F.col("doc_id").cast("long"), "__version": F.xxhash64("text")})
     joined = key.join(drops.toDF("__d", "__v", "__gone"), (F.col("__doc") == F.col("__d")) & (F.col("__version") == F.col("__v")), "left")
-    split = F.split("text", "\n")
-    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    zero = F.lit(0).cast("long")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    count = (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
     out = joined.withColumns(
         {
             "__text": F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept),
-            "__n": F.coalesce(F.size(split).cast("long"), F.lit(0).cast("long")),
-            "__lost": F.coalesce(F.size("__gone").cast("long"), F.lit(0).cast("long")),
+            "__n": F.coalesce(count, zero),
+            "__lost": F.when(F.col("__gone").isNull(), zero).otherwise(F.size("__gone").cast("long")),
         }
     )
-    out = out.withColumn("__n", F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(F.col("__n"))).withColumn("__lost", F.when(F.col("__gone").isNull(), F.lit(0).cast("long")).otherwise(F.col("__lost")))
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return out.select(*[F.col("__text").alias("text") if c == "text" else F.col(c) for c in names], F.col("__n").alias("n_lines"), F.col("__lost").alias("n_dropped"))
 
