@@ -5,6 +5,7 @@ from __future__ import annotations
 import ipaddress
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Ranges that are refused beside those that carry an IPv4 address.
@@ -37,6 +38,9 @@ def is_private(text: str | None) -> bool:
     return any(ip in n for n in _REFUSED_V6)
 
 
-@F.pandas_udf("boolean")
-def private_address(ips: pd.Series) -> pd.Series:
+def _all_private(ips: pd.Series) -> pd.Series:
     return ips.map(is_private)
+
+
+def private_address(ip: Column) -> Column:
+    return F.pandas_udf(_all_private, "boolean")(ip)

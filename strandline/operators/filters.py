@@ -52,12 +52,16 @@ def collapse(text: str | None) -> tuple[str | None, bool]:
     return text, False
 
 
-@F.pandas_udf("struct<text:string,collapsed:boolean>")
-def collapse_repetition(texts: pd.Series) -> pd.DataFrame:
+def _collapse_all(texts: pd.Series) -> pd.DataFrame:
     made = [collapse(t) for t in texts]
     return pd.DataFrame({"text": [t for t, _ in made], "collapsed": [c for _, c in made]})
 
 
+def collapse_repetition(text: Column) -> Column:
+    """struct(text, collapsed)."""
+    return F.pandas_udf(_collapse_all, "struct<text:string,collapsed:boolean>")(text)
+
+
 def words_in(text: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != ""))
 
@@ -71,7 +75,7 @@ def filter_segments(segments: DataFrame, phrases: DataFrame, loops: bool = True)
     known = F.broadcast(phrases.select(F.col("phrase").alias("__plain"), F.lit(True).alias("__known")))
     seen = bare.join(known, "__plain", "left")
     if loops:
-        seen = seen.withColumn("__loop", F.when(words_in(F.col("__trim")) >= 9, collapse_repetition("__trim")))
+        seen = seen.withColumn("__loop", F.when(words_in(F.col("__trim")) >= 9, collapse_repetition(F.col("__trim"))))
     else:
         seen = seen.withColumn("__loop", F.lit(None).cast("struct<text:string,collapsed:boolean>"))
     said = F.coalesce(F.col("__loop.text"), F.col("__trim"), F.lit(""))

@@ -100,7 +100,7 @@ def floor_points(points: DataFrame, from_sec: float, floor_sec: float, to_col: s
     last = points.groupBy("media_id").agg(F.max("pts").alias("a"), F.first(to_col).alias("b")).select("media_id", "a", "b")
     every = gaps.select("media_id", "a", "b").unionByName(last)
     n = F.greatest(F.lit(0), F.ceil(F.round((F.col("b") - F.col("a")) / floor_sec, 6)) - 1).cast("int")
-    return every.where(n > 0).select("media_id", (F.col("a") + F.explode(F.sequence(F.lit(1), n)) * floor_sec).alias("pts"))
+    return every.where(n > 0).select("media_id", "a", F.explode(F.sequence(F.lit(1), n)).alias("k")).select("media_id", (F.col("a") + F.col("k") * floor_sec).alias("pts"))
 
 
 def max_gap(points: DataFrame) -> DataFrame:

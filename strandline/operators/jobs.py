@@ -22,9 +22,14 @@ SCHEMA_VERSION = 1
 # -- tables --------------------------------------------------------------------------------------
 
 
+def _seconds(ts: Column) -> Column:
+    """Seconds since the epoch, of timestamps with or without a zone."""
+    return ts.cast("timestamp").cast("double")
+
+
 def is_stale(now: Column, stale_ms: int = 30_000) -> Column:
     last = F.coalesce("heartbeat_at", "updated_at", "created_at")
-    return F.col("status").isin(*ACTIVE) & ((now.cast("double") - last.cast("double")) * 1000 > stale_ms)
+    return F.col("status").isin(*ACTIVE) & ((_seconds(now) - _seconds(last)) * 1000 > stale_ms)
 
 
 def refresh_stale(jobs: DataFrame, now: Column, stale_ms: int = 30_000) -> DataFrame:
@@ -35,7 +40,7 @@ def refresh_stale(jobs: DataFrame, now: Column, stale_ms: int = 30_000) -> DataF
 
 def eta_seconds(now: Column) -> Column:
     """Seconds left of a running job, from its progress so far; null at the start."""
-    elapsed = now.cast("double") - F.col("started_at").cast("double")
+    elapsed = _seconds(now) - _seconds(F.col("started_at"))
     return F.when((F.col("status") == "running") & (F.col("fraction") > 0.02) & F.col("started_at").isNotNull(), F.round(elapsed / F.col("fraction") * (1 - F.col("fraction"))))
 
 

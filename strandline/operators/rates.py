@@ -40,7 +40,9 @@ def _words(s: str | None) -> list[str]:
     return [w for w in (s or "").split(" ") if w]
 
 
-@F.pandas_udf("struct<substitutions:int,deletions:int,insertions:int,reference_words:int,hypothesis_words:int,char_errors:int,reference_chars:int>")
+_COUNTS = "struct<substitutions:int,deletions:int,insertions:int,reference_words:int,hypothesis_words:int,char_errors:int,reference_chars:int>"
+
+
 def _counts(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
     rows = []
     for r, h in zip(reference, hypothesis, strict=True):
@@ -52,7 +54,7 @@ def _counts(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
 
 def error_rates(pairs: DataFrame, reference: str = "reference", hypothesis: str = "hypothesis") -> DataFrame:
     """The pairs with counts, ``wer`` and ``cer`` (four places; 0 for an empty reference)."""
-    counted = pairs.withColumn("__c", _counts(txt.plain_for_rates(F.col(reference)), txt.plain_for_rates(F.col(hypothesis))))
+    counted = pairs.withColumn("__c", F.pandas_udf(_counts, _COUNTS)(txt.plain_for_rates(F.col(reference)), txt.plain_for_rates(F.col(hypothesis))))
     errors = F.col("substitutions") + F.col("deletions") + F.col("insertions")
 
     def share(part: Column, whole: Column) -> Column:

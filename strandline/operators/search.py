@@ -11,6 +11,7 @@ from re import split
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandline.functions import text as txt
 from strandline.functions import vision
@@ -34,12 +35,16 @@ def corpus_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select("job_id", F.size(txt.search_tokens(F.col(text_col))).alias("len")).groupBy("job_id").agg(F.count(F.lit(1)).alias("n_docs"), (F.sum("len") / F.count(F.lit(1))).alias("avg_len"))
 
 
+def _count(tokens: str, word: str) -> Column:
+    return F.size(F.filter(tokens, lambda t: t == word))
+
+
 def bm25(docs: DataFrame, query: str, text_col: str = "text") -> DataFrame:
     """The documents with ``bm25``; statistics are per job, over both kinds of document."""
     tokens = query_tokens(query)
     words = list(dict.fromkeys(tokens))
     counted = docs.withColumn("__tokens", txt.search_tokens(F.col(text_col)))
-    counted = counted.withColumn("__len", F.size("__tokens")).withColumn("__tf", F.array(*[F.size(F.filter("__tokens", lambda t, w=w: t == w)) for w in words]).cast("array<int>")).drop("__tokens")
+    counted = counted.withColumn("__len", F.size("__tokens")).withColumn("__tf", F.array(*[_count("__tokens", w) for w in words]).cast("array<int>")).drop("__tokens")
     job = counted.groupBy("job_id").agg(F.count(F.lit(1)).alias("__n"), F.sum("__len").alias("__sum"), *[F.count_if(F.col("__tf")[i] > 0).alias(f"__df{i}") for i in range(len(words))])
     joined = counted.join(job, "job_id")
     avg = F.col("__sum") / F.col("__n")
@@ -105,7 +110,7 @@ def fused_top(scored: DataFrame, k: int = 8, *tie: str) -> DataFrame:
         if len(rows) >= total or 2 * depth >= 2 * total or (len(shown) >= k and shown[k - 1][0] - 1e-5 > 2 / (FUSION + 1 + depth)):
             break
         depth *= 4
-    schema = scored.schema.add("score", "double").add("bm25_rank", "int").add("vector_rank", "int")
+    schema = T.StructType([*scored.schema, T.StructField("score", T.DoubleType()), T.StructField("bm25_rank", T.IntegerType()), T.StructField("vector_rank", T.IntegerType())])
     return spark.createDataFrame([(*[r[c] for c in columns], s, rb, rv) for s, _, rb, rv, r in shown[:k]], schema)
 
 

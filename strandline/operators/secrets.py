@@ -67,6 +67,15 @@ def _near(text: Column, value: Column) -> Column:
     return F.when(cue != "", F.lower(cue))
 
 
+def _named(values: Column, kind: str, grade: str) -> Column:
+    return F.transform(values, lambda m: F.struct(F.lit(kind).alias("kind"), F.lit(grade).alias("grade"), m.alias("raw")))
+
+
+def _matches(lines: Column, rule: str, kind: str, grade: str) -> Column:
+    found = F.flatten(F.transform(lines, lambda line: F.regexp_extract_all(line, F.lit(rule), F.lit(0))))
+    return _named(found, kind, grade)
+
+
 def scan(texts: DataFrame, key: tuple[str, ...] = ("media_id", "frame_idx", "pts"), text_col: str = "text", random_tokens: bool = True) -> DataFrame:
     """Findings of each text: the key, ord, kind, raw, masked, length, confidence, signals, context.
 
@@ -76,10 +85,10 @@ def scan(texts: DataFrame, key: tuple[str, ...] = ("media_id", "frame_idx", "pts
     lines = F.split(F.col(text_col), "\n")
     parts = []
     for kind, grade, _, rule in RULES:
-        parts.append(F.transform(F.flatten(F.transform(lines, lambda line, r=rule: F.regexp_extract_all(line, F.lit(r), F.lit(0)))), lambda m, k=kind, g=grade: F.struct(F.lit(k).alias("kind"), F.lit(g).alias("grade"), m.alias("raw"))))
+        parts.append(_matches(lines, rule, kind, grade))
     if random_tokens:
         tokens = F.filter(F.regexp_extract_all(F.col(text_col), F.lit(TOKEN), F.lit(0)), looks_random)
-        parts.append(F.transform(tokens, lambda m: F.struct(F.lit("high_entropy_token").alias("kind"), F.lit("entropy").alias("grade"), m.alias("raw"))))
+        parts.append(_named(tokens, "high_entropy_token", "entropy"))
     found = F.array_distinct(F.concat(*parts))
     rows = texts.where(F.col(text_col).isNotNull()).select(*key, F.col(text_col).alias("__text"), F.explode(found).alias("f"))
     context = _near(F.col("__text"), F.col("f.raw"))

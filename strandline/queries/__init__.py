@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from strandline.queries import interval_queries, media_queries, relational_queries, search_queries, text_queries  # noqa: F401
+from strandline.queries.base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
