@@ -422,7 +422,7 @@ def unit_vectors(spark: SparkSession, d: str) -> DataFrame:
 def tile_boxes(spark: SparkSession, d: str) -> DataFrame:
     tiles = F.expr("array(" + ", ".join("named_struct('x', {}D, 'y', {}D, 'w', {}D, 'h', {}D)".format(*t) for t in vision.tile_boxes()) + ")")
     box = F.struct((F.col("p_size") % 10 / 10).alias("x"), (F.col("p_size") % 7 / 10).alias("y"), F.lit(0.1).alias("w"), F.lit(0.1).alias("h"))
-    b = table(spark, d, "part").select(F.col("p_partkey").alias("k"), box.alias("box"), F.posexplode(tiles).alias("tile", "t"))
+    b = table(spark, d, "part").select(F.col("p_partkey").alias("k"), box.alias("box")).select("k", "box", F.posexplode(tiles).alias("tile", "t"))
     f = b.withColumn("f", vision.to_frame(F.col("box"), F.col("t")))
     f = f.select("k", "tile", F.struct(F.round("f.x", 6).alias("x"), F.round("f.y", 6).alias("y"), F.round("f.w", 6).alias("w"), F.round("f.h", 6).alias("h")).alias("f"))
     scaled = F.struct(F.round(F.col("f.x") * 640, 6).alias("x"), F.col("f.y").alias("y"), F.col("f.w").alias("w"), F.col("f.h").alias("h"))
