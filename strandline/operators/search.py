@@ -156,3 +156,15 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     from strandline.schemas import DOCS
 
     return spark.read.schema(DOCS).parquet(path)
+
+
+def scope(finished: list[str], which: str | None = None, job_id: str | None = None) -> tuple[list[str], list[str] | None]:
+    """Jobs to index first, and jobs to search (None: all that are indexed).
+
+    The scope is the job if one is given, else all. Asking for a job's scope without a job indexes
+    nothing and searches everything.
+    """
+    chosen = which or ("job" if job_id else "all")
+    if chosen == "job":
+        return [j for j in finished if j == job_id], [job_id] if job_id else None
+    return list(finished), None

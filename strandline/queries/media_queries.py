@@ -449,3 +449,58 @@ def similarities(spark: SparkSession, d: str) -> DataFrame:
     a, b = v.select("label", F.col("n").alias("i"), F.col("embedding").alias("x")), v.select("label", F.col("n").alias("j"), F.col("embedding").alias("y"))
     pairs = a.join(b, "label").where("i < j").withColumn("s", F.round(vision.dot(F.col("x"), F.col("y")), 8))
     return pairs.groupBy("label").agg(F.round(F.avg("s"), 4).alias("linkage"), F.count(F.lit(1)).alias("pairs"))
+
+
+@query("source_allowed_args", """WITH a AS (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations) SELECT conv_id, turn, array_to_string(list_filter(w, lambda x, i: x IN ('the', 'of') OR x IN ('a') OR (i > 1 AND w[i - 1] IN ('a'))), ' ') AS kept FROM a""")
+def allowed_args(spark: SparkSession, d: str) -> DataFrame:
+    """Words stand for arguments: two plain flags, and one that takes a value."""
+    c = table(spark, d, "conversations")
+    return c.select("conv_id", "turn", F.array_join(src.allowed_args(F.split("text", " "), ["the", "of"], ["a"]), " ").alias("kept"))
+
+
+@query("jobs_inline", "SELECT p_partkey, 6 + d * 0.04 + least(120, d / 5) * 0.3 <= 8 AS keyframes_inline, 4 + d * 0.06 <= 8 AS review_inline, 8 + d * 0.6 <= 8 AS transcribe_inline FROM (SELECT p_partkey, CAST(p_size * 2 + 1 AS DOUBLE) AS d FROM part)")
+def jobs_inline(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a task on a medium of so many seconds runs at once."""
+    c = F.col("d")
+    s = table(spark, d, "part").select("p_partkey", (F.col("p_size") * 2 + 1).cast("double").alias("d"))
+    return s.select("p_partkey", (media.estimate_seconds("keyframes", c) <= 8).alias("keyframes_inline"), (media.estimate_seconds("review", c, secrets=False) <= 8).alias("review_inline"), (media.estimate_seconds("transcribe", c) <= 8).alias("transcribe_inline"))
+
+
+@query("plan_pick_frames", """WITH n AS (SELECT CAST(user_id AS VARCHAR) AS media_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events), s AS (SELECT DISTINCT media_id, 'sheet' AS what, CAST((i - 1) // 9 + 1 AS INTEGER) AS no FROM n WHERE (i - 1) // 9 + 1 IN (1, 3)),
+  f AS (SELECT media_id, 'frame' AS what, CAST(i AS INTEGER) AS no FROM n WHERE i IN (2, 5, 7, 11, 13)), u AS (SELECT * FROM s UNION ALL SELECT * FROM f)
+  SELECT media_id, what, no FROM (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY what DESC, no) AS r FROM u) WHERE r <= 6""")
+def pick_frames(spark: SparkSession, d: str) -> DataFrame:
+    from strandline.plans import keyframes
+
+    f = base.frames(spark, d).withColumn("index", F.col("idx") + 1).withColumn("sheet", vision.sheet_place(F.col("index"))["sheet"])
+    return keyframes.pick(f, [1, 3], [2, 5, 7, 11, 13])
+
+
+@query("media_cache_key", """SELECT doc_id, left(sha1('{"p0":"' || source || '","p1":' || n_chars || ',"p2":null}'), 20) AS key FROM documents""")
+def cache_key(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", media.cache_key(F.col("source"), F.col("n_chars"), F.lit(None).cast("string")).alias("key"))
+
+
+@query("media_supports", "SELECT p_partkey AS k, p_partkey % 3 <> 1 AS transcribe, p_partkey % 3 <> 2 AS keyframes, p_partkey % 3 <> 1 AS diarize FROM part")
+def supports(spark: SparkSession, d: str) -> DataFrame:
+    info = F.struct(F.when(F.col("p_partkey") % 3 != 2, 1).alias("video"), F.when(F.col("p_partkey") % 3 != 1, 1).alias("audio"))
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("k"), info.alias("info"))
+    return p.select("k", *[media.supports(F.col("info"), t).alias(t) for t in ("transcribe", "keyframes", "diarize")])
+
+
+@query("state_cache_usable", "SELECT CAST(o_orderkey AS VARCHAR) AS key FROM orders WHERE o_orderkey % 10 <> 3 AND (o_orderkey + 1) % 10 <> 3")
+def cache_usable(spark: SparkSession, d: str) -> DataFrame:
+    """A result is usable while both its files are there."""
+    o = table(spark, d, "orders")
+    path = lambda c: F.concat(F.lit("/a/"), c.cast("string"))
+    cached = o.select(F.col("o_orderkey").cast("string").alias("key"), F.array(path(F.col("o_orderkey")), path(F.col("o_orderkey") + 1)).alias("artifacts"))
+    files = cached.select(F.explode("artifacts").alias("path")).distinct().where(~F.col("path").endswith("3"))
+    return state.usable(cached, files).select("key")
+
+
+@query("plan_track_turns", f"WITH {SEG} SELECT media_id, CAST(row_number() OVER (PARTITION BY media_id ORDER BY start_sec, speaker) AS INTEGER) AS turn_no, start_sec, speaker, 0.99::DOUBLE AS confidence FROM seg")
+def track_turns(spark: SparkSession, d: str) -> DataFrame:
+    from strandline.plans import diarize
+
+    tracks = segments(spark, d).select("media_id", "start_sec", "end_sec", F.col("speaker").alias("participant"))
+    return diarize.track_turns(tracks).select("media_id", "turn_no", "start_sec", "speaker", "confidence")
