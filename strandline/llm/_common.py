@@ -75,7 +75,7 @@ def is_empty(df: DataFrame) -> bool:
 class WordHasher(dict):
     """word (bytes) -> 64-bit hash, remembered up to a bound; the value never depends on the memory."""
 
-    BOUND = 200_000
+    BOUND = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.BOUND:

@@ -10,11 +10,15 @@ Exact for the given threshold (up to collisions of 64-bit hashes), without a cap
    size band of a run is its pivot; every other member is first compared with its pivot only, which
    joins large groups of copies by a number of pairs linear in their size.
 3. Runs that still hold more than one component are cut into blocks by size; every two blocks whose
-   size bands fit make a tile.  In a tile, only members of different components are compared.
+   size bands fit make a tile.  A tile compares members of different components by their bitmaps, and
+   says only which components may belong together.  Components that may, over all tiles, make a family.
+4. The sets of each family are dealt into tiles in the same way, each set once per tile, and a tile
+   intersects the sorted arrays of what the bitmaps let pass.  It returns links that join components, not
+   all pairs, and stops comparing what it has joined.
 
-In 2 and 3, bit counts of the bitmaps bound the overlap from above: a bit set in one bitmap and not in
-the other stands for at least one shingle that isn't shared.  What passes is decided by intersecting
-the sorted arrays, computed again from the text for those documents alone.
+Bit counts of the bitmaps bound the overlap from above: a bit set in one bitmap and not in the other
+stands for at least one shingle that isn't shared.  What passes is decided by intersecting the sorted
+arrays, computed again from the text for those documents alone.
 
 Nulls: a null or wordless text has an empty set and links with nothing; rows with a null id are left
 out of links and keep a null component.  Rows that repeat an id count as one document.  An empty table
@@ -28,7 +32,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.llm._common import Scratch, WordHasher, by_bucket, grouped, ints, is_empty, packed, rows_of, windows, words_of
@@ -83,6 +87,14 @@ def linked(shared: np.ndarray | int, n_a: np.ndarray | int, n_b: np.ndarray | in
     return den * shared >= num * (n_a + n_b - shared)
 
 
+def shared_size(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted arrays."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    return int((y[at] == x).sum())
+
+
 def prefix(s: np.ndarray, frequent: np.ndarray, num: int, den: int) -> np.ndarray:
     n = len(s) - int(least_overlap(len(s), num, den)) + 1
     if len(frequent):
@@ -202,7 +214,7 @@ def _pivots(n: np.ndarray, num: int, den: int) -> np.ndarray:
 
 def _candidates(num: int, den: int) -> Callable:
     """Per bucket: pairs (pivot, member), and the runs of three or more members once each, in pieces."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("run", pa.binary()), ("docs", pa.binary())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("run", pa.int64()), ("docs", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, cells in grouped(batches, 1):
@@ -210,10 +222,11 @@ def _candidates(num: int, den: int) -> Callable:
             two = starts[sizes == 2]
             near = den * n[two] >= num * n[two + 1]
             pairs = [np.stack([doc[two], doc[two + 1]], axis=1)[near]]
-            seen, runs = set(), []
-            for at, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            runs, seen = [], set()
+            many = np.flatnonzero(sizes > 2)
+            for at, size in zip(starts[many].tolist(), sizes[many].tolist(), strict=True):
                 mine = doc[at : at + size]
-                key = xxhash.xxh3_128_digest(mine.tobytes())
+                key = xxhash.xxh3_64_intdigest(mine.tobytes()) - (1 << 63)
                 if key in seen:
                     continue
                 seen.add(key)
@@ -222,9 +235,9 @@ def _candidates(num: int, den: int) -> Callable:
                 runs += [(key, mine[i : i + TILE].tobytes()) for i in range(0, size, TILE)]
             found = np.unique(np.concatenate(pairs), axis=0)
             if len(found):
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.nulls(len(found), pa.binary()), pa.nulls(len(found), pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.nulls(len(found), pa.int64()), pa.nulls(len(found), pa.binary())], schema=schema)
             if runs:
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(runs), pa.int64()), pa.nulls(len(runs), pa.int64()), pa.array([r for r, _ in runs], pa.binary()), pa.array([d for _, d in runs], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(runs), pa.int64()), pa.nulls(len(runs), pa.int64()), pa.array([r for r, _ in runs], pa.int64()), pa.array([d for _, d in runs], pa.binary())], schema=schema)
 
     return run
 
@@ -263,10 +276,7 @@ def _exact(num: int, den: int) -> Callable:
                 keep = []
                 for a, b, x, y in zip(*columns, strict=True):
                     x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    if len(x) > len(y):
-                        x, y = y, x
-                    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                    if linked(int((y[at] == x).sum()), len(x), len(y), num, den):
+                    if linked(shared_size(x, y), len(x), len(y), num, den):
                         keep.append((a, b))
                 if keep:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*keep, strict=True)], schema=schema)
@@ -278,18 +288,24 @@ def _filter_word(c: Column) -> Column:
     return F.pmod(F.shiftright(F.xxhash64(c), 6), F.lit(FILTER_WORDS))
 
 
-def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) that link: bitmap bound first, then the sorted arrays."""
-    bits = reps.select("doc", "n", "bits")
-    wide = pairs.join(bits.toDF("a", "na", "xa"), "a").join(bits.toDF("b", "nb", "xb"), "b")
-    left = scratch.keep(wide.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_bounded(num, den), "a long, b long"), "bounded")
-    wanted = left.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+def sets_of(wanted: DataFrame, docs: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """Sorted arrays (doc, set) of the wanted documents."""
     # a filter of fixed size keeps most other texts out of the shuffle; the join after it is what decides
     word = wanted.groupBy(_filter_word(F.col("doc")).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(xxhash64(doc), 64) as int))")).alias("m"))
     texts = docs.select(F.col("doc_id").alias("doc"), "text")
     maybe = texts.join(F.broadcast(word), _filter_word(F.col("doc")) == F.col("w")).where(F.expr("getbit(m, cast(pmod(xxhash64(doc), 64) as int)) = 1")).select("doc", "text")
     once = maybe.join(wanted, "doc", "left_semi").dropDuplicates(["doc"])
-    sets = scratch.keep(once.select("doc", "text").mapInArrow(_set_arrays(k), "doc long, set binary"), "sets")
+    return scratch.keep(once.select("doc", "text").mapInArrow(_set_arrays(k), "doc long, set binary"), "sets")
+
+
+def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) that link: bitmap bound first, then the sorted arrays."""
+    bits = reps.select("doc", "n", "bits")
+    wide = pairs.join(bits.toDF("a", "na", "xa"), "a").join(bits.toDF("b", "nb", "xb"), "b")
+    left = scratch.keep(wide.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_bounded(num, den), "a long, b long"), "bounded")
+    scratch.release()
+    sets = sets_of(left.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), docs, k, scratch)
+    scratch.release()
     both = left.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a")
     out = scratch.keep(both.select("a", "b", "x", "y").mapInArrow(_exact(num, den), "a long, b long"), "links")
     scratch.drop(sets)
@@ -300,38 +316,113 @@ def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, num: int,
 # -- step 3 --------------------------------------------------------------------------------------
 
 
-def _tiles(num: int, den: int) -> Callable:
-    """Per tile: pairs of different components that the sizes and the bitmaps let pass."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+class _Bounds:
+    """Bitmaps of a tile by width, to bound the overlap of one set with many."""
+
+    def __init__(self, maps: list[np.ndarray], n: np.ndarray) -> None:
+        self.maps, self.n = maps, n
+        self.width = np.array([len(m) for m in maps])
+        self.place = np.zeros(len(maps), np.int64)
+        self.group: dict[int, np.ndarray] = {}
+        for w in np.unique(self.width).tolist():
+            mine = np.flatnonzero(self.width == w)
+            self.place[mine] = np.arange(len(mine))
+            self.group[w] = np.stack([maps[i] for i in mine.tolist()])
+
+    def passing(self, x: int, others: np.ndarray, num: int, den: int) -> np.ndarray:
+        out, mine, n_x = [], self.maps[x], int(self.n[x])
+        for w in np.unique(self.width[others]).tolist():
+            part = others[self.width[others] == w]
+            theirs, own = self.group[w][self.place[part]], mine
+            if w > len(own):
+                theirs = np.bitwise_or.reduce(theirs.reshape(len(part), -1, len(own)), axis=1)
+            elif w < len(own):
+                own = np.bitwise_or.reduce(own.reshape(-1, w), axis=0)
+            shared = np.minimum(n_x - np.bitwise_count(own & ~theirs).sum(axis=1, dtype=np.int64), self.n[part] - np.bitwise_count(theirs & ~own).sum(axis=1, dtype=np.int64))
+            out.append(part[linked(shared, n_x, self.n[part], num, den)])
+        return np.concatenate(out) if out else others[:0]
+
+
+def _joined(i: int, j: int, block: np.ndarray, n: np.ndarray, comp: np.ndarray, bounds: _Bounds, holds: Callable | None, num: int, den: int) -> Iterator[tuple[int, int]]:
+    """Pairs of a tile that join components: what the bitmaps let pass and ``holds`` confirms."""
+    label = comp.copy()
+    rows = np.flatnonzero(block == i)
+    cols = rows if i == j else np.flatnonzero(block == j)
+    for x in rows.tolist():
+        fit = cols[(label[cols] != label[x]) & (den * np.minimum(n[cols], n[x]) >= num * np.maximum(n[cols], n[x]))]
+        if i == j:
+            fit = fit[fit > x]
+        if not len(fit):
+            continue
+        for y in bounds.passing(x, fit, num, den).tolist():
+            if label[y] != label[x] and (holds is None or holds(x, y)):
+                yield x, y
+                label[label == label[y]] = label[x]
+
+
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], schema=_PAIR)
+
+
+def _family_tiles(num: int, den: int) -> Callable:
+    """Per tile of a run: components that may belong together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, i, j), (blocks, docs, ns, comps, bits) in grouped(batches, 3):
-            block, doc, n, comp = (np.array(c, np.int64) for c in (blocks, docs, ns, comps))
-            rows = np.flatnonzero(block == i)
-            cols = rows if i == j else np.flatnonzero(block == j)
-            maps = [np.frombuffer(x, "<u8") for x in bits]
-            keep = []
-            for x in rows.tolist():
-                fit = cols[(comp[cols] != comp[x]) & (den * np.minimum(n[cols], n[x]) >= num * np.maximum(n[cols], n[x]))]
-                if i == j:
-                    fit = fit[fit > x]
-                keep += [(int(doc[x]), int(doc[y])) for y in fit.tolist() if linked(overlap_bound(maps[x], maps[y], int(n[x]), int(n[y])), int(n[x]), int(n[y]), num, den)]
-                if len(keep) > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*keep, strict=True)], schema=schema)
-                    keep = []
-            if keep:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*keep, strict=True)], schema=schema)
+        for (_, i, j), (blocks, ns, comps, bits) in grouped(batches, 3):
+            block, n, comp = (np.array(c, np.int64) for c in (blocks, ns, comps))
+            bounds = _Bounds([np.frombuffer(x, "<u8") for x in bits], n)
+            if found := [(int(comp[x]), int(comp[y])) for x, y in _joined(i, j, block, n, comp, bounds, None, num, den)]:
+                yield _pairs(found)
 
     return run
 
 
+def _set_tiles(num: int, den: int) -> Callable:
+    """Per tile of a family: links that join components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, i, j), (blocks, docs, ns, comps, cells) in grouped(batches, 3):
+            block, n, comp = (np.array(c, np.int64) for c in (blocks, ns, comps))
+            sets = [np.frombuffer(x, np.uint64) for x in cells]
+
+            def holds(x: int, y: int, sets: list = sets) -> bool:
+                return bool(linked(shared_size(sets[x], sets[y]), len(sets[x]), len(sets[y]), num, den))
+
+            bounds = _Bounds([bitmap(x) for x in sets], n)
+            if found := [(docs[x], docs[y]) for x, y in _joined(i, j, block, n, comp, bounds, holds, num, den)]:
+                yield _pairs(found)
+
+    return run
+
+
+def tiles_of(members: DataFrame, key: str, num: int, den: int, *carry: str) -> DataFrame:
+    """Members (key, size, doc, n, ...) dealt into tiles (key, i, j): two blocks by size whose sizes can link.
+
+    What fits one block is a tile by itself, dealt once by its key.
+    """
+    small = members.where(F.col("size") <= TILE).select(key, F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).cast("long").alias("block"), *carry)
+    large = members.where(F.col("size") > TILE)
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("n", "doc")) - 1
+    block = large.select(key, "doc", "n").withColumn("block", (rank / TILE).cast("long"))
+    ends = block.groupBy(key, "block").agg(F.min("n").alias("from_n"), F.max("n").alias("to_n"))
+    other = ends.select(F.col(key).alias("k2"), F.col("block").alias("other"), F.col("from_n").alias("f2"))
+    fits = ends.join(other, (F.col(key) == F.col("k2")) & (F.col("block") <= F.col("other")) & (F.col("to_n") * den >= F.col("f2") * num))
+    sides = fits.select(key, F.col("block").alias("i"), F.col("other").alias("j")).select(key, "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    placed = block.join(sides, [key, "block"]).select(key, "i", "j", "block", "doc")
+    wide = placed.join(large.drop("n") if "n" not in carry else large, [key, "doc"]).select(key, "i", "j", "block", *carry)
+    return small.unionAll(wide).repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
+
+
 def _open_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("run", pa.binary()), ("doc", pa.int64())])
+    schema = pa.schema([("run", pa.int64()), ("doc", pa.int64())])
     for batch in batches:
         for keys, docs in rows_of(batch):
             for key, cell in zip(keys, docs, strict=True):
                 doc = np.frombuffer(cell, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(doc), pa.binary()), pa.array(doc)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(doc), pa.int64()), pa.array(doc)], schema=schema)
 
 
 def similar_texts(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -341,39 +432,38 @@ def similar_texts(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     frequent, total = frequent_shingles(docs, k, scratch)
     often = spark.sparkContext.broadcast(frequent.tobytes())
-    sets = scratch.keep(docs.mapInArrow(_sets(k, num, den, often), "doc_id long, n long, key binary, bits binary, prefix binary"), "sets")
-    scratch.release()
-    some = sets.where("n > 0 and doc_id is not null")
+    wide = scratch.keep(docs.mapInArrow(_sets(k, num, den, often), "doc_id long, n long, key binary, bits binary, prefix binary"), "sets")
+    some = wide.where("n > 0 and doc_id is not null")
     reps = scratch.keep(some.groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")), "reps")
+    sets = scratch.keep(wide.select("doc_id", "n", "key"), "keys")
+    scratch.drop(wide)
     scratch.release()
 
     buckets = 1 + int(total * (1 - num / den) / PER_BUCKET)
     dealt = reps.select("doc", "n", "prefix").mapInArrow(_deal_prefixes(buckets), "bucket long, h binary, doc binary, n binary")
-    found = scratch.keep(by_bucket(dealt).select("bucket", "h", "doc", "n").mapInArrow(_candidates(num, den), "a long, b long, run binary, docs binary"), "candidates")
+    found = scratch.keep(by_bucket(dealt).select("bucket", "h", "doc", "n").mapInArrow(_candidates(num, den), "a long, b long, run long, docs binary"), "candidates")
     scratch.release()
     links = verify(found.where("a is not null").select("a", "b").distinct(), docs, reps, k, num, den, scratch)
     comps = scratch.keep(connected_components(links, scratch), "components")
 
     # runs whose members are now all in one component need no more work
     runs = found.where("run is not null").select("run", "docs").dropDuplicates(["run", "docs"])
-    members = runs.mapInArrow(_open_docs, "run binary, doc long").join(comps, F.col("doc") == F.col("node"), "left").select("run", "doc", F.coalesce("component", "doc").alias("comp"))
+    members = runs.mapInArrow(_open_docs, "run long, doc long").join(comps, F.col("doc") == F.col("node"), "left").select("run", "doc", F.coalesce("component", "doc").alias("comp"))
     members = scratch.keep(members, "members")
-    split = members.groupBy("run").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
-    opened = members.join(split.select("run", "size"), "run").join(reps.select("doc", "n", "bits"), "doc")
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("run").orderBy("n", "doc")) - 1
-    block = opened.withColumn("block", (rank / TILE).cast("long")).withColumn("blocks", ((F.col("size") + TILE - 1) / TILE).cast("long"))
-    ends = block.groupBy("run", "block").agg(F.min("n").alias("from_n"), F.max("n").alias("to_n"))
-    other = ends.select(F.col("run").alias("r2"), F.col("block").alias("other"), F.col("from_n").alias("f2"), F.col("to_n").alias("t2"))
-    fits = ends.join(other, (F.col("run") == F.col("r2")) & (F.col("block") <= F.col("other")) & (F.col("to_n") * den >= F.col("f2") * num)).select("run", F.col("block").alias("i"), F.col("other").alias("j"))
-    sides = fits.select("run", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    tiles = block.join(sides, ["run", "block"]).select("run", "i", "j", "block", "doc", "n", "comp", "bits")
-    tiles = tiles.repartition("run", "i", "j").sortWithinPartitions("run", "i", "j", "n", "doc")
-    more = scratch.keep(tiles.mapInArrow(_tiles(num, den), "a long, b long").distinct(), "tiles")
+    split = members.groupBy("run").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("run", "size")
+    opened = members.join(split, "run").join(reps.select("doc", "n", "bits"), "doc")
+    may_join = scratch.keep(tiles_of(opened, "run", num, den, "n", "comp", "bits").mapInArrow(_family_tiles(num, den), "a long, b long").distinct(), "families")
     scratch.release()
-    if not is_empty(more):
-        further = verify(more, docs, reps, k, num, den, scratch)
+    if not is_empty(may_join):
+        family = scratch.keep(connected_components(may_join, scratch), "families").toDF("comp", "family")
+        placed = reps.select("doc", "n").join(comps, F.col("doc") == F.col("node"), "left").select("doc", "n", F.coalesce("component", "doc").alias("comp"))
+        sizes = placed.join(family, "comp").groupBy("family").agg(F.count(F.lit(1)).alias("size"))
+        inside = scratch.keep(placed.join(family, "comp").join(sizes, "family"), "inside")
+        arrays = sets_of(inside.select("doc"), docs, k, scratch)
+        full = inside.join(arrays, "doc")
+        further = scratch.keep(tiles_of(full, "family", num, den, "doc", "n", "comp", "set").mapInArrow(_set_tiles(num, den), "a long, b long"), "links")
+        scratch.drop(arrays)
+        scratch.release()
         comps = scratch.keep(connected_components(links.unionByName(further), scratch), "components")
 
     rep_of = reps.select("key", F.col("doc").alias("rep")).join(comps, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("c"))
