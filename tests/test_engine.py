@@ -189,3 +189,19 @@ def test_streaming_sessions(spark, tmp_path):
     batch = streaming.sessions(df)
     done = {(r.start, r.n_events) for r in got.collect()}
     assert done and done <= {(r.start, r.n_events) for r in batch.collect()}
+
+
+def test_streaming_heartbeats(spark, tmp_path):
+    """Event time passes by the beats of another job; the quiet one is reported once."""
+    t = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    folder = tmp_path / "beats"
+    schema = "job_id string, ts timestamp"
+    for n, rows in enumerate([[("a", t), ("b", t)], [("b", t + timedelta(seconds=100))], [("b", t + timedelta(seconds=110))], [("b", t + timedelta(seconds=120))]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(folder))
+        if n == 0:
+            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder))
+            q = streaming.interrupted(stream, 30_000).writeStream.format("memory").queryName("out_beats").outputMode("append").start()
+        q.processAllAvailable()
+    q.stop()
+    got = spark.table("out_beats").collect()
+    assert [(r.job_id, r.last_ms) for r in got if r.job_id == "a"] == [("a", int(t.timestamp() * 1000))]
