@@ -212,7 +212,7 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text of ``documents`` as a captioned media payload in a page of its own."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     digest = F.sha2(F.col("text").cast("binary"), 256)
-    page = F.concat(F.lit('<article><figure><img src="sha256:'), digest, F.lit('"><figcaption>Document '), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("</figcaption></figure></article>"))
+    page = F.concat(F.lit('<article><figure><img src="sha256:'), digest, F.lit('"><figcaption>Text of '), F.octet_length("text").cast("string"), F.lit(" bytes</figcaption></figure></article>"))
     sequences = interleave(docs.select("doc_id", page.alias("html")), "doc_id")
     found = resolve(sequences, store_texts(docs, with_media=False), "doc_id")
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")
