@@ -87,31 +87,39 @@ def fused_top(scored: DataFrame, k: int = 8, *tie: str) -> DataFrame:
     nothing outside them can reach the k-th score.  ``score`` is rounded to five places, and ties go by
     the ``tie`` columns.
     """
-    spark, depth, total = scored.sparkSession, FUSION + 4 * k, scored.count()
-    columns = scored.columns
-    while True:
+    spark, depth, columns = scored.sparkSession, FUSION + 4 * k, scored.columns
+    slim = scored.select(*tie, "bm25", "vector").persist()  # a few numbers a row; a lost part is computed again
+    try:
+        total = slim.count()
         order = [F.col(t) for t in tie]
-        found = {tuple(r[t] for t in tie): r for by in ("bm25", "vector") for r in scored.orderBy(F.desc(by), *order).limit(depth).collect()}
-        rows = list(found.values())
-        rank_bm, rank_vec = (_positions(scored, rows, by, tie) for by in ("bm25", "vector")) if rows else ({}, {})
-        hits = []
-        for r in rows:
-            at = tuple(r[t] for t in tie)
-            rb, rv = rank_bm[(-r["bm25"], *at)], rank_vec[(-r["vector"], *at)]
-            score = (1 / (FUSION + rb) if r["bm25"] > 0 else 0.0) + 1 / (FUSION + rv)
-            hits.append((round(score, 5), at, rb if r["bm25"] > 0 else None, rv, r))
-        hits.sort(key=lambda h: (-h[0], h[1]))
-        seen, shown = set(), []
-        for h in hits:
-            key = (h[4]["source"], round(h[4]["start_sec"] or 0.0, 1), h[4]["text"])
-            if key not in seen:
-                seen.add(key)
-                shown.append(h)
-        if len(rows) >= total or 2 * depth >= 2 * total or (len(shown) >= k and shown[k - 1][0] - 1e-5 > 2 / (FUSION + 1 + depth)):
-            break
-        depth *= 4
+        while True:
+            found = {tuple(r[t] for t in tie): r for by in ("bm25", "vector") for r in slim.orderBy(F.desc(by), *order).limit(depth).collect()}
+            if not found:
+                break
+            rank_bm, rank_vec = (_positions(slim, list(found.values()), by, tie) for by in ("bm25", "vector"))
+            wanted = spark.createDataFrame(list(found), T.StructType([slim.schema[t] for t in tie]))
+            rows = scored.join(F.broadcast(wanted), list(tie), "left_semi").collect()
+            hits = []
+            for r in rows:
+                at = tuple(r[t] for t in tie)
+                bm, vec = found[at]["bm25"], found[at]["vector"]
+                rb, rv = rank_bm[(-bm, *at)], rank_vec[(-vec, *at)]
+                score = (1 / (FUSION + rb) if bm > 0 else 0.0) + 1 / (FUSION + rv)
+                hits.append((round(score, 5), at, rb if bm > 0 else None, rv, r))
+            hits.sort(key=lambda h: (-h[0], h[1]))
+            seen, shown = set(), []
+            for h in hits:
+                key = (h[4]["source"], round(h[4]["start_sec"] or 0.0, 1), h[4]["text"])
+                if key not in seen:
+                    seen.add(key)
+                    shown.append(h)
+            if len(found) >= total or (len(shown) >= k and shown[k - 1][0] - 1e-5 > 2 / (FUSION + 1 + depth)):
+                break
+            depth *= 4
+    finally:
+        slim.unpersist()
     schema = T.StructType([*scored.schema, T.StructField("score", T.DoubleType()), T.StructField("bm25_rank", T.IntegerType()), T.StructField("vector_rank", T.IntegerType())])
-    return spark.createDataFrame([(*[r[c] for c in columns], s, rb, rv) for s, _, rb, rv, r in shown[:k]], schema)
+    return spark.createDataFrame([(*[r[c] for c in columns], s, rb, rv) for s, _, rb, rv, r in shown[:k]] if found else [], schema)
 
 
 def search(docs: DataFrame, query: str, query_vector: list[float], k: int = 8, kind: str | None = None, jobs: list[str] | None = None) -> DataFrame:
