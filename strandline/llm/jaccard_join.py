@@ -27,12 +27,13 @@ gives an empty result.  Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm._common import Scratch, WordHasher, by_bucket, grouped, ints, is_empty, packed, rows_of, windows, words_of
@@ -303,13 +304,10 @@ def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, num: int,
     bits = reps.select("doc", "n", "bits")
     wide = pairs.join(bits.toDF("a", "na", "xa"), "a").join(bits.toDF("b", "nb", "xb"), "b")
     left = scratch.keep(wide.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_bounded(num, den), "a long, b long"), "bounded")
-    scratch.release()
     sets = sets_of(left.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), docs, k, scratch)
-    scratch.release()
     both = left.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a")
     out = scratch.keep(both.select("a", "b", "x", "y").mapInArrow(_exact(num, den), "a long, b long"), "links")
     scratch.drop(sets)
-    scratch.release()
     return out
 
 
@@ -401,18 +399,24 @@ def _set_tiles(num: int, den: int) -> Callable:
 def tiles_of(members: DataFrame, key: str, num: int, den: int, *carry: str) -> DataFrame:
     """Members (key, size, doc, n, ...) dealt into tiles (key, i, j): two blocks by size whose sizes can link.
 
-    What fits one block is a tile by itself, dealt once by its key.
+    What fits one block is a tile by itself, dealt once by its key.  A larger group is cut into bands by
+    size, such that linked sets are in one band or in neighbours, and a band into blocks by a hash of the
+    document; nothing is sorted, and no task holds more of a group than two blocks.
     """
-    small = members.where(F.col("size") <= TILE).select(key, F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).cast("long").alias("block"), *carry)
-    large = members.where(F.col("size") > TILE)
-    rank = F.row_number().over(Window.partitionBy(key).orderBy("n", "doc")) - 1
-    block = large.select(key, "doc", "n").withColumn("block", (rank / TILE).cast("long"))
-    ends = block.groupBy(key, "block").agg(F.min("n").alias("from_n"), F.max("n").alias("to_n"))
-    other = ends.select(F.col(key).alias("k2"), F.col("block").alias("other"), F.col("from_n").alias("f2"))
-    fits = ends.join(other, (F.col(key) == F.col("k2")) & (F.col("block") <= F.col("other")) & (F.col("to_n") * den >= F.col("f2") * num))
-    sides = fits.select(key, F.col("block").alias("i"), F.col("other").alias("j")).select(key, "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    placed = block.join(sides, [key, "block"]).select(key, "i", "j", "block", "doc")
-    wide = placed.join(large.drop("n") if "n" not in carry else large, [key, "doc"]).select(key, "i", "j", "block", *carry)
+    none = F.lit(0).cast("long")
+    small = members.where(F.col("size") <= TILE).select(key, none.alias("i"), none.alias("j"), none.alias("block"), *carry)
+    # a band is a little wider than the ratio, so that rounding can't put linked sets two bands apart
+    band = F.floor(F.log("n") / (1.001 * math.log(den / num))) if num < den else F.col("n")
+    large = members.where(F.col("size") > TILE).withColumn("band", band.cast("long"))
+    parts = large.groupBy(key, "band").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("parts"))
+    blocks = parts.select(key, "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    other = blocks.select(F.col(key).alias("k2"), F.col("band").alias("band2"), F.col("part").alias("part2"))
+    meets = ((F.col("band2") == F.col("band")) & (F.col("part2") >= F.col("part"))) | (F.col("band2") == F.col("band") + 1)
+    number = lambda band, part: F.col(band) * (1 << 32) + F.col(part)
+    fits = blocks.join(other, (F.col(key) == F.col("k2")) & meets).select(key, number("band", "part").alias("i"), number("band2", "part2").alias("j"))
+    sides = fits.select(key, "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    placed = large.join(parts, [key, "band"]).withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts"))).withColumn("block", number("band", "part"))
+    wide = placed.join(sides, [key, "block"]).select(key, "i", "j", "block", *carry)
     return small.unionAll(wide).repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
 
 
@@ -437,12 +441,10 @@ def similar_texts(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     reps = scratch.keep(some.groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")), "reps")
     sets = scratch.keep(wide.select("doc_id", "n", "key"), "keys")
     scratch.drop(wide)
-    scratch.release()
 
     buckets = 1 + int(total * (1 - num / den) / PER_BUCKET)
     dealt = reps.select("doc", "n", "prefix").mapInArrow(_deal_prefixes(buckets), "bucket long, h binary, doc binary, n binary")
     found = scratch.keep(by_bucket(dealt).select("bucket", "h", "doc", "n").mapInArrow(_candidates(num, den), "a long, b long, run long, docs binary"), "candidates")
-    scratch.release()
     links = verify(found.where("a is not null").select("a", "b").distinct(), docs, reps, k, num, den, scratch)
     comps = scratch.keep(connected_components(links, scratch), "components")
 
@@ -453,7 +455,6 @@ def similar_texts(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     split = members.groupBy("run").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("run", "size")
     opened = members.join(split, "run").join(reps.select("doc", "n", "bits"), "doc")
     may_join = scratch.keep(tiles_of(opened, "run", num, den, "n", "comp", "bits").mapInArrow(_family_tiles(num, den), "a long, b long").distinct(), "families")
-    scratch.release()
     if not is_empty(may_join):
         family = scratch.keep(connected_components(may_join, scratch), "families").toDF("comp", "family")
         placed = reps.select("doc", "n").join(comps, F.col("doc") == F.col("node"), "left").select("doc", "n", F.coalesce("component", "doc").alias("comp"))
@@ -463,7 +464,6 @@ def similar_texts(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
         full = inside.join(arrays, "doc")
         further = scratch.keep(tiles_of(full, "family", num, den, "doc", "n", "comp", "set").mapInArrow(_set_tiles(num, den), "a long, b long"), "links")
         scratch.drop(arrays)
-        scratch.release()
         comps = scratch.keep(connected_components(links.unionByName(further), scratch), "components")
 
     rep_of = reps.select("key", F.col("doc").alias("rep")).join(comps, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("c"))

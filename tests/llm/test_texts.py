@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.llm import jaccard_join, line_dedup, packing, substring_dedup
+from strandline.llm import components, jaccard_join, line_dedup, packing, substring_dedup
 from strandline.llm._common import Scratch, WordHasher, words_of
 from strandline.llm.components import connected_components
 
@@ -156,7 +156,9 @@ def test_bitmap_bounds_overlap_from_above():
         assert jaccard_join.overlap_bound(jaccard_join.bitmap(a), jaccard_join.bitmap(b), len(a), len(b)) >= real
 
 
-def test_components(spark):
+@pytest.mark.parametrize("part", [500_000, 20])
+def test_components(spark, monkeypatch, part):
+    monkeypatch.setattr(components, "PART", part)
     rng = random.Random(2)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)] + [(1, 1), (None, 3)]
     at = {x: x for link in links for x in link if x is not None}
