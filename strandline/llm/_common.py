@@ -7,7 +7,6 @@ sorts one bounded bucket at a time.
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -40,7 +39,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder to cut lineage; a lost executor costs only unwritten work."""
+    """Tables written to the shared folder to cut lineage; a lost executor costs only unwritten work.
+
+    A step's shuffle files go as soon as its table is written.
+    """
+
+    #: Spark's setting for that.
+    CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
@@ -50,7 +55,12 @@ class Scratch:
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
         path = f"{self.root}/{self.n}-{name}"
         self.n += 1
-        df.write.mode("overwrite").parquet(path)
+        was = self.spark.conf.get(self.CLEANUP, None)
+        self.spark.conf.set(self.CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(self.CLEANUP, was) if was is not None else self.spark.conf.unset(self.CLEANUP)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._strand_path = path
         return out
@@ -59,11 +69,6 @@ class Scratch:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(df._strand_path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    def release(self) -> None:
-        """Let Spark remove the shuffle files of steps whose results are written."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
 
 def is_empty(df: DataFrame) -> bool:
     return len(df.take(1)) == 0

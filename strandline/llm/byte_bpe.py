@@ -23,7 +23,6 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm._common import rows_of
 
 #: Pieces of more bytes are merged one at a time.
 LONG = 256

@@ -92,7 +92,6 @@ def dedup_lines(docs: DataFrame, depth: int = 3, min_docs: int = 3, min_tokens:
     few = several.where(F.col("real") < min_docs).select("template")
     gone = hits.where("doc_id > first_of").join(few, "template", "left_anti")
     drops = scratch.keep(gone.groupBy("doc_id", "version").agg(F.collect_set("line_no").alias("gone")), "drops")
-    scratch.release()
 
     key = docs.withColumns({"__doc": F.col("doc_id").cast("long"), "__version": F.xxhash64("text")})
     joined = key.join(drops.toDF("__d", "__v", "__gone"), (F.col("__doc") == F.col("__d")) & (F.col("__version") == F.col("__v")), "left")

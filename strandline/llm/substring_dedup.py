@@ -228,7 +228,6 @@ def dedup_substrings(docs: DataFrame, window: int = 13, extra: tuple[str, ...] =
 
     first = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_emit_anchors(window, buckets), _PACK)
     shared = scratch.keep(by_bucket(first).select("bucket", "h", "doc", "pos").mapInArrow(_match(deal, True), _MARK), "anchors")
-    scratch.release()
 
     def extend(state: _Candidates, mine: np.ndarray, doc: int | None, text: str | None) -> pa.RecordBatch | None:
         if not len(mine):
@@ -240,7 +239,6 @@ def dedup_substrings(docs: DataFrame, window: int = 13, extra: tuple[str, ...] =
 
     found = _union(docs.where("doc_id is not null").select("doc_id", "text"), shared, deal, []).mapInArrow(_with_marks(extend, lambda: _Candidates(buckets)), _PACK)
     removed = scratch.keep(by_bucket(found).select("bucket", "h", "doc", "pos").mapInArrow(_match(deal, False), _MARK), "windows")
-    scratch.release()
 
     fields = [pa.field("doc_id", pa.int64()), pa.field("text", pa.string()), pa.field("n_words", pa.int64()), pa.field("n_removed", pa.int64()), pa.field("kept_sha256", pa.string())]
     from pyspark.sql.pandas.types import to_arrow_type
