@@ -155,11 +155,11 @@ def fit(labelled: DataFrame) -> Model:
         df += np.frombuffer(r["df"], np.int64)
         n += r["n"]
     idf = np.log((1 + n) / (1 + df)) + 1
-    # ids of the sample: first a bounded number per salt of a language, then of each language
-    order = F.xxhash64("doc_id")
-    salted = rows.select("doc_id", "lang", order.alias("o")).withColumn("salt", F.pmod(F.hash("o"), F.lit(64)))
-    some = salted.withColumn("r", F.row_number().over(Window.partitionBy("lang", "salt").orderBy("o", "doc_id"))).where(F.col("r") <= FIT_DOCS)
-    few = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("o", "doc_id"))).where(F.col("r") <= FIT_DOCS).where(F.col("lang").isin(langs)).select("doc_id").distinct()
+    # ids of the sample: hashes under a bound that leaves a few times as many as are wanted, then the smallest
+    order, span = F.xxhash64("doc_id"), 1 << 31
+    bound = spark.createDataFrame([(r["lang"], min(span, 4 * FIT_DOCS * span // r["count"])) for r in counts], "lang string, bound long")
+    near = rows.select("doc_id", "lang", order.alias("o")).join(F.broadcast(bound), "lang").where(F.pmod("o", F.lit(span)) < F.col("bound"))
+    few = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("o", F.lit(span)), "doc_id"))).where(F.col("r") <= FIT_DOCS).select("doc_id").distinct()
     sample = scratch.keep(rows.join(F.broadcast(few), "doc_id").select("doc_id", "text", "lang"), "sample")
     sent = spark.sparkContext.broadcast(idf.tobytes())
 
