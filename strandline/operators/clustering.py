@@ -6,54 +6,81 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+#: Clusters compared with all others at a time.
+BLOCK = 512
+
+
+def _block(sums: np.ndarray, size: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Mean similarity of the clusters ``rows`` to every cluster: that of two is the product of their vector sums."""
+    return np.round((sums[rows] @ sums.T) / np.outer(size[rows], size), 12)
+
+
+def _nearest(sums: np.ndarray, size: np.ndarray, alive: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The closest later cluster of each of ``rows``, the first of equals, and how close it is."""
+    means = _block(sums, size, rows)
+    means[(np.arange(len(size)) <= rows[:, None]) | ~alive] = -np.inf
+    at = means.argmax(axis=1)
+    return means[np.arange(len(rows)), at], at
+
 
 def cluster(vectors: np.ndarray, weights: np.ndarray, threshold: float = 0.35, most: int = 8, least: int = 1) -> list[int]:
     """Labels by first appearance.
 
     The two closest clusters merge while they are as close as the threshold, or there are more than
     ``most``; never below ``least``.  Then a cluster of one or two turns with under 5 % of the time joins
-    its nearest.  Sums of similarities between clusters are kept, so a merge adds two rows.
+    its nearest.  Vector sums of clusters and the nearest later cluster of each are kept, so memory grows
+    with the turns, and a merge looks again only at the clusters whose nearest it took.
     """
     n = len(vectors)
     if not n:
         return []
-    sums = (vectors.astype(np.float64) @ vectors.astype(np.float64).T).copy()
-    members = [[i] for i in range(n)]
-    size = np.ones(n)
-
-    def mean() -> np.ndarray:
-        return sums / np.outer(size, size)
-
-    def join(i: int, j: int) -> None:
-        nonlocal sums, size
+    sums, size = vectors.astype(np.float64), np.ones(n)
+    members, alive = [[i] for i in range(n)], np.ones(n, bool)
+    best, near = np.empty(n), np.empty(n, np.int64)
+    for start in range(0, n, BLOCK):
+        rows = np.arange(start, min(n, start + BLOCK))
+        best[rows], near[rows] = _nearest(sums, size, alive, rows)
+    left = n
+    while left > max(least, 1):
+        i = int(best.argmax())
+        j = int(near[i])
+        if best[i] < threshold and left <= most:
+            break
         sums[i] += sums[j]
-        sums[:, i] += sums[:, j]
         size[i] += size[j]
         members[i].extend(members[j])
-        del members[j]
-        keep = np.arange(len(size)) != j
-        sums, size = sums[np.ix_(keep, keep)], size[keep]
-
-    while len(members) > max(least, 1):
-        upper = np.where(np.triu(np.ones_like(sums, bool), 1), np.round(mean(), 12), -np.inf)
-        i, j = np.unravel_index(int(upper.argmax()), upper.shape)
-        if upper[i, j] < threshold and len(members) <= most:
-            break
-        join(int(i), int(j))
+        alive[j], best[j] = False, -np.inf
+        left -= 1
+        lost = alive & ((near == i) | (near == j)) & (best > -np.inf)
+        lost[i] = True
+        before = np.flatnonzero(alive[:i] & ~lost[:i])
+        if len(before):
+            means = _block(sums, size, np.array([i]))[0, before]
+            closer = (means > best[before]) | ((means == best[before]) & (near[before] > i))
+            best[before[closer]], near[before[closer]] = means[closer], i
+        rows = np.flatnonzero(lost)
+        for start in range(0, len(rows), BLOCK):
+            part = rows[start : start + BLOCK]
+            best[part], near[part] = _nearest(sums, size, alive, part)
+        if left < len(alive) // 2:  # close up, in the same order
+            place = np.cumsum(alive) - 1
+            sums, size, best, near = sums[alive], size[alive], best[alive], place[near[alive]]
+            members = [m for m, a in zip(members, alive, strict=True) if a]
+            alive = np.ones(left, bool)
+    sums, size, members = sums[alive], size[alive], [m for m, a in zip(members, alive, strict=True) if a]
     total, changed = float(weights.sum()), True
     while changed and len(members) > least:
         changed = False
         for i, mine in enumerate(members):
             if len(mine) <= 2 and float(weights[mine].sum()) < total * 0.05 and len(members) > 1:
-                row = np.round(mean()[i], 12)
+                row = _block(sums, size, np.array([i]))[0]
                 row[i] = -np.inf
                 j = int(row.argmax())
                 members[j].extend(mine)
                 sums[j] += sums[i]
-                sums[:, j] += sums[:, i]
                 size[j] += size[i]
                 keep = np.arange(len(size)) != i
-                sums, size = sums[np.ix_(keep, keep)], size[keep]
+                sums, size = sums[keep], size[keep]
                 del members[i]
                 changed = True
                 break

@@ -437,18 +437,22 @@ def scene_cuts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("cluster_voices")
 def cluster_voices(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors of a label are a medium's turns, of whole numbers of seconds; forty of each."""
-    v = table(spark, d, "embeddings").withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).where("n <= 40")
+    """Vectors of a label are a medium's turns, of whole numbers of seconds."""
+    v = table(spark, d, "embeddings").withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")))
     t = v.select(F.col("label").cast("string").alias("media_id"), F.col("n").alias("turn_no"), "embedding", (F.col("n") % 7 + 1).cast("double").alias("weight"))
     return clustering.cluster_speakers(t, threshold=0.1, most=6)
 
 
 @query("cluster_similarities", """WITH v AS (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings) SELECT a.label, avg(round(list_dot_product(a.e, b.e), 8))::DECIMAL(18, 4)::DOUBLE AS linkage, count(*) AS pairs FROM v a JOIN v b ON a.label = b.label AND a.n < b.n AND b.n <= 30 GROUP BY a.label""")
 def similarities(spark: SparkSession, d: str) -> DataFrame:
-    v = table(spark, d, "embeddings").withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).where("n <= 30")
-    a, b = v.select("label", F.col("n").alias("i"), F.col("embedding").alias("x")), v.select("label", F.col("n").alias("j"), F.col("embedding").alias("y"))
-    pairs = a.join(b, "label").where("i < j").withColumn("s", F.round(vision.dot(F.col("x"), F.col("y")), 8))
-    return pairs.groupBy("label").agg(F.round(F.avg("s"), 4).alias("linkage"), F.count(F.lit(1)).alias("pairs"))
+    """The mean over all pairs of a label, from sums of vectors; no pair is made."""
+    v = table(spark, d, "embeddings").where("label IS NOT NULL")
+    own = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
+    rows = v.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count("embedding").alias("m"), F.sum(own).alias("own"))
+    sums = v.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.sum(F.col("x").cast("double")).alias("s"))
+    whole = sums.groupBy("label").agg(F.sum(F.col("s") * F.col("s")).alias("whole"))
+    linkage = F.when(F.col("m") > 1, F.round((F.col("whole") - F.col("own")) / (F.col("m") * (F.col("m") - 1)), 4))
+    return rows.where("n > 1").join(whole, "label", "left").select("label", linkage.alias("linkage"), (F.col("n") * (F.col("n") - 1) / 2).cast("bigint").alias("pairs"))
 
 
 @query("source_allowed_args", """WITH a AS (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations) SELECT conv_id, turn, array_to_string(list_filter(w, lambda x, i: x IN ('the', 'of') OR x IN ('a') OR (i > 1 AND w[i - 1] IN ('a'))), ' ') AS kept FROM a""")

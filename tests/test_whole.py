@@ -1,0 +1,75 @@
+"""Registered queries do the whole job: nothing is left out by rank, size or spacing."""
+
+import itertools
+
+import numpy as np
+import pytest
+
+from strandline.operators import clustering
+from strandline.queries import QUERIES
+
+
+@pytest.fixture(scope="module")
+def voices(spark, tmp_path_factory):
+    """Labels of 75, 50 and 1 vectors, some of them equal; and the folder of their table."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(0, 1, 8) + 2 * np.eye(8)[i % 3]], 0 if i < 75 else 1 if i < 125 else 2) for i in range(126)]
+    rows[70] = (70, rows[1][1], 0)
+    d = str(tmp_path_factory.mktemp("voices"))
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
+    by = {}
+    for i, e, label in rows:
+        by.setdefault(label, []).append((i, np.array(e, np.float32).astype(float)))
+    return d, {label: np.array([e for _, e in sorted(own, key=lambda r: r[0])]) for label, own in by.items()}
+
+
+def test_linkage_is_of_all_pairs(spark, voices):
+    d, by = voices
+    got = {r.label: (r.linkage, r.pairs) for r in QUERIES["cluster_similarities"](spark, d).collect()}
+    assert got.keys() == {0, 1}
+    for label in got:
+        pairs = [float(a @ b) for a, b in itertools.combinations(by[label], 2)]
+        assert got[label][1] == len(pairs) and got[label][0] == pytest.approx(np.mean(pairs), abs=6e-5)
+
+
+def _plain_clusters(v, weights, threshold, most):
+    """Every pair of clusters is compared again before each merge."""
+    s, groups = v @ v.T, [[i] for i in range(len(v))]
+    mean = lambda a, b: round(float(s[np.ix_(a, b)].mean()), 12)
+    while len(groups) > 1:
+        best, i, j = max(((mean(groups[i], groups[j]), -i, -j) for i, j in itertools.combinations(range(len(groups)), 2)))
+        if best < threshold and len(groups) <= most:
+            break
+        groups[-i] += groups.pop(-j)
+    changed = True
+    while changed and len(groups) > 1:
+        changed = False
+        for i, g in enumerate(groups):
+            if len(g) <= 2 and weights[g].sum() < 0.05 * weights.sum():
+                _, j = max((mean(g, o), -k) for k, o in enumerate(groups) if k != i)
+                groups[-j] += g
+                del groups[i]
+                changed = True
+                break
+    order = sorted(groups, key=min)
+    return [next(k for k, g in enumerate(order) if i in g) for i in range(len(v))]
+
+
+@pytest.mark.parametrize("threshold,most", [(0.1, 6), (0.6, 8), (2.0, 3)])
+def test_clusters_match_plain(threshold, most):
+    rng = np.random.default_rng(5)
+    v = rng.normal(0, 1, (60, 6))
+    v[40:] = v[:20]
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    weights = rng.integers(1, 8, 60).astype(float)
+    assert clustering.cluster(v, weights, threshold, most) == _plain_clusters(v, weights, threshold, most)
+
+
+def test_every_voice_is_clustered(spark, voices):
+    d, by = voices
+    got = QUERIES["cluster_voices"](spark, d).collect()
+    assert sorted((r.media_id, r.turn_no) for r in got) == sorted((str(k), n) for k, v in by.items() for n in range(1, len(v) + 1))
+    for label, v in by.items():
+        weights = np.array([n % 7 + 1.0 for n in range(1, len(v) + 1)])
+        want = _plain_clusters(v, weights, 0.1, 6)
+        assert [r.label for r in sorted(got, key=lambda r: r.turn_no) if r.media_id == str(label)] == want
