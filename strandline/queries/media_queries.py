@@ -389,10 +389,8 @@ def replaced(spark: SparkSession, d: str) -> DataFrame:
 
 @query("media_identity", "SELECT doc_id, CASE WHEN octet_length(encode(text)) <= 2000 THEN 'c_' || left(sha256(text), 24) ELSE 'big' END AS identity FROM documents")
 def identity(spark: SparkSession, d: str) -> DataFrame:
-    c = F.col("text").cast("binary")
-    size = F.octet_length("text")
-    known = media.file_identity(F.col("source"), size, F.col("n_chars"), c)
-    return table(spark, d, "documents").select("doc_id", F.when(size <= 2000, known).otherwise("big").alias("identity"))
+    known = media.file_identity(F.col("source"), F.octet_length("text"), F.col("n_chars"), F.col("text").cast("binary"))
+    return table(spark, d, "documents").select("doc_id", known.alias("identity"))
 
 
 # -- vision ---------------------------------------------------------------------------------------

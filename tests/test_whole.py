@@ -1,10 +1,13 @@
 """Registered queries do the whole job: nothing is left out by rank, size or spacing."""
 
+import hashlib
 import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from strandline.functions import media
 from strandline.operators import clustering, secrets
 from strandline.queries import QUERIES
 
@@ -126,3 +129,19 @@ def test_spaced_forms_end_where_prose_or_another_key_begins(spark):
 def test_spaced_prose_is_no_secret(spark):
     texts = ["sk-learn and other tools are used every day by the people here", "ASIA PACIFIC REGION 2024 REPORT AND TRAVEL GUIDES", "the bearer of this letter may pass version 2 of the gate", "the task-based plan of 2024, the ghp_ prefix and the AIza prefix are explained", "Important update Please move to version 2.30.1 or later More about it"]
     assert [r for r in secrets.scan(_frames(spark, texts)).collect() if r.confidence != "low"] == []
+
+
+def test_long_texts_have_their_own_identity(spark, tmp_path):
+    texts = ["short", "é" * 1000, "é" * 1000 + "x", "a" * 5000, "b" * 5000, ""]
+    rows = [(i, t, "s", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.identity for r in QUERIES["media_identity"](spark, str(tmp_path)).collect()}
+    assert got == {i: "c_" + hashlib.sha256(t.encode()).hexdigest()[:24] for i, t in enumerate(texts)}
+
+
+def test_identity_of_large_files_is_by_facts(spark):
+    rows = [("/a", 64 << 20, 7, b"x"), ("/a", (64 << 20) + 1, 7, b"x"), ("/a", (64 << 20) + 1, 7, b"y"), ("/b", (64 << 20) + 1, 7, b"x")]
+    df = spark.createDataFrame(rows, "path string, size long, modified long, content binary")
+    got = [r[0] for r in df.select(media.file_identity(F.col("path"), F.col("size"), F.col("modified"), F.col("content"))).collect()]
+    facts = lambda *x: "f_" + hashlib.sha1("|".join(map(str, x)).encode()).hexdigest()[:24]
+    assert got == ["c_" + hashlib.sha256(b"x").hexdigest()[:24], *[facts(p, s, m) for p, s, m, _ in rows[1:]]]
