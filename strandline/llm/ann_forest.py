@@ -186,16 +186,36 @@ def _place(forest: object, salts: int) -> Callable:
     return run
 
 
+def _kth(scores: np.ndarray, k: int) -> np.ndarray:
+    """The k-th best score of each row; of fewer, less than any."""
+    n = scores.shape[1]
+    return np.partition(scores, n - k, axis=1)[:, n - k] if k < n else np.full(len(scores), -np.inf)
+
+
 def _rank(k: int) -> Callable:
     """Per block: the k best of each query that visits it, as packed ids and scores."""
     schema = pa.schema([("query", pa.int64()), ("ids", pa.binary()), ("scores", pa.binary())])
 
     def best(queries: list[int], q: np.ndarray, x: np.ndarray, ids: list[list[int]]) -> pa.RecordBatch:
-        rough, take, out = q @ x.T, min(len(x), k + 5), []
-        near = np.argpartition(-rough, take - 1, axis=1)[:, :take] if take < len(x) else np.broadcast_to(np.arange(len(x)), rough.shape)
+        rough, out = q @ x.T, []
+        slack = 1e-14 * x.shape[1] * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()
+        slack = np.where(np.isfinite(slack), slack, 0)
+        first = _kth(rough, k + 1)
         for i, query in enumerate(queries):
-            score = (x[near[i]] * q[i]).sum(axis=1).tolist()
-            found = sorted((-s, vec) for s, j in zip(score, near[i].tolist(), strict=True) for vec in ids[j] if vec != query)[:k]
+            # ids may share a vector, and an id may have several: as many as hold k others, and all that tie with the last
+            take, least = k + 1, first[i]
+            while take < len(x) and len({vec for j in np.flatnonzero(rough[i] >= least).tolist() for vec in ids[j]} - {query}) < k:
+                take *= 2
+                least = _kth(rough[i : i + 1], take)[0]
+            near = np.flatnonzero(~(rough[i] < least - slack[i]))
+            score = (x[near] * q[i]).sum(axis=1).tolist()
+            found, seen = [], {query}
+            for s, vec in sorted((-s, vec) for s, j in zip(score, near.tolist(), strict=True) for vec in ids[j]):
+                if vec not in seen:
+                    seen.add(vec)
+                    found.append((s, vec))
+                    if len(found) == k:
+                        break
             out.append((query, np.array([v for _, v in found], np.int64).tobytes(), np.array([-s for s, _ in found]).tobytes()))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
