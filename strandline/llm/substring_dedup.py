@@ -10,9 +10,16 @@ windows are found in two exact steps:
 2. Windows that hold an anchor seen in two documents are extended: their full hash is dealt out,
    and all but those of the smallest document are marked.
 
+Both steps settle what they can before the shuffle (``settle``): of a hash that several documents of a
+stretch of input hold, only the smallest document goes on, as the others are decided.  So a window that
+every document holds is one document's entries a stretch, and a reducer, which settles what it has
+whenever it holds ``HELD`` entries, keeps one document of it.
+
 Hashes have 64 bits.  Nulls: a null text has no words; a row with a null id neither removes nor
 loses words.  Rows that repeat an id count as one document.  Texts shorter than a window lose
-nothing.  An empty table gives an empty result.  Other columns are ignored.
+nothing.  An empty table gives an empty result.  Columns named in ``extra`` pass through, whatever their
+names, except that the names this operator makes (``text``, ``n_words``, ``n_removed``, ``kept_sha256``)
+replace columns of those names; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,14 +33,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm._common import Scratch, WordHasher, by_bucket, grouped, ints, packed, rows_of, windows, words_of
+from strandline.llm._common import Scratch, WordHasher, by_bucket, mix, packed, rows_of, windows, words_of
 
 #: A perfect difference set for its modulus; every residue is a difference of two members.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16)}
 #: Anchors or windows in one bucket of a packed shuffle, about; this bounds a reducer's memory.
-PER_BUCKET = 1_000_000
-#: Words of a batch after which its packed rows are sent.
+PER_BUCKET = 200_000
+#: Anchors or windows of a stretch of input, which is settled and sent.
 FLUSH = 1_000_000
+#: Entries that a reducer holds before it settles them.
+HELD = 1_000_000
+#: Characters of texts after which a batch of results is sent.
+OUT_CHARS = 8_000_000
 
 _PACK = "bucket long, h binary, doc binary, pos binary"
 _MARK = "bucket long, doc binary, pos binary"
@@ -86,11 +97,36 @@ def cut_text(text: str, gone: np.ndarray) -> str:
     return b"".join(out).decode("utf-8", "surrogatepass")
 
 
+def settle(h: np.ndarray, doc: np.ndarray, pos: np.ndarray, mark_all: bool) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of entries (hash, doc, pos): places (doc, pos) that are marked for sure, and entries that go on.
+
+    ``mark_all``: all places of a hash in two documents are marked; one entry without a place (-1) stands
+    for them from then on.  Else all but the smallest document's are marked, and its entries go on.
+    """
+    order = np.lexsort((doc, h))
+    h, doc, pos = h[order], doc[order], pos[order]
+    starts = np.r_[0, np.flatnonzero(h[1:] != h[:-1]) + 1] if len(h) else np.empty(0, np.int64)
+    sizes = np.diff(np.r_[starts, len(h)])
+    least = np.repeat(doc[starts], sizes)
+    if not mark_all:
+        hit = doc != least
+        return (doc[hit], pos[hit]), (h[~hit], doc[~hit], pos[~hit])
+    shared = doc[starts] != doc[starts + sizes - 1] if len(h) else np.empty(0, bool)
+    known = np.zeros(len(h), bool)
+    known[starts] = True
+    shared |= np.logical_or.reduceat(pos < 0, starts) if len(h) else shared
+    many = np.repeat(shared, sizes)
+    hit = many & (pos >= 0)
+    rep = many & known
+    on = ~many | rep
+    return (doc[hit], pos[hit]), (h[on], doc[on], np.where(rep, np.int32(-1), pos)[on])
+
+
 class _Send:
-    """Collects (hash, doc, pos) arrays and sends them as packed rows."""
+    """Collects (hash, doc, pos) arrays; sends what isn't settled as packed rows, and marks in a row of their own."""
 
-    def __init__(self, buckets: int, schema: pa.Schema) -> None:
-        self.buckets, self.schema, self.h, self.doc, self.pos, self.n = buckets, schema, [], [], [], 0
+    def __init__(self, buckets: int, mark_all: bool) -> None:
+        self.buckets, self.mark_all, self.h, self.doc, self.pos, self.n = buckets, mark_all, [], [], [], 0
 
     def add(self, h: np.ndarray, doc: int, pos: np.ndarray) -> None:
         if len(h):
@@ -99,55 +135,81 @@ class _Send:
             self.pos.append(pos.astype(np.int32))
             self.n += len(h)
 
-    def flush(self) -> pa.RecordBatch:
+    def flush(self) -> Iterator[pa.RecordBatch]:
         h = np.concatenate(self.h)
         doc = np.repeat([d for d, _ in self.doc], [n for _, n in self.doc]).astype(np.int64)
         pos = np.concatenate(self.pos)
         self.h, self.doc, self.pos, self.n = [], [], [], 0
-        return packed((h % np.uint64(self.buckets)).astype(np.int64), [h, doc, pos], self.schema)
+        marks, on = settle(h, doc, pos, self.mark_all)
+        schema = _schema(_PACK)
+        yield packed((on[0] % np.uint64(self.buckets)).astype(np.int64), list(on), schema)
+        for at in range(0, len(marks[0]), PER_BUCKET):
+            part = [m[at : at + PER_BUCKET] for m in marks]
+            lane = -1 - int(mix(h[at : at + 1])[0] % np.uint64(self.buckets))
+            yield pa.RecordBatch.from_arrays([pa.array([lane]), pa.array([b""], pa.binary()), *[pa.array([m.tobytes()], pa.binary()) for m in part]], schema=schema)
 
 
 def _schema(names: str) -> pa.Schema:
-    kinds = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_()}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_()}
     return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in names.split(", "))])
 
 
 def _emit_anchors(window: int, buckets: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, send = WordHasher(), _Send(buckets, _schema(_PACK))
+        words, send = WordHasher(), _Send(buckets, True)
         for batch in batches:
             for ids, texts in rows_of(batch):
                 for doc, text in zip(ids, texts, strict=True):
                     pos, h = anchors(words.hashes(words_of(text)), window)
                     send.add(h, doc, pos)
                     if send.n >= FLUSH:
-                        yield send.flush()
+                        yield from send.flush()
         if send.n:
-            yield send.flush()
+            yield from send.flush()
 
     return run
 
 
-def _match(deal: int, keep_first: bool) -> Callable:
-    """Per bucket of packed hashes: places whose hash is in two documents, dealt by document.
+def _match(deal: int, mark_all: bool) -> Callable:
+    """Per bucket of packed hashes: the places that are marked, dealt by document."""
+    schema = _schema(_MARK)
 
-    ``keep_first``: mark all; else only places in documents that aren't the smallest of their hash.
-    """
+    def marked(doc: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(doc), HELD):
+            d, p = doc[at : at + HELD], pos[at : at + HELD]
+            yield packed(d % deal, [d, p], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = _schema(_MARK)
-        for _, (hs, docs, places) in grouped(batches, 1):
-            h, doc, pos = ints(hs, np.uint64), ints(docs, np.int64), ints(places, np.int32)
-            order = np.lexsort((doc, h))
-            h, doc, pos = h[order], doc[order], pos[order]
-            starts = np.r_[0, np.flatnonzero(h[1:] != h[:-1]) + 1]
-            sizes = np.diff(np.r_[starts, len(h)])
-            least, most = doc[starts], doc[starts + sizes - 1]
-            hit = np.repeat(least != most, sizes)
-            if not keep_first:
-                hit &= doc != np.repeat(least, sizes)
-            if hit.any():
-                yield packed(doc[hit] % deal, [doc[hit], pos[hit]], schema)
+        held: list[list[np.ndarray]] = [[], [], []]
+        bucket, size, settled = None, 0, 0
+
+        def settled_entries() -> Iterator[pa.RecordBatch]:
+            nonlocal size, settled
+            marks, on = settle(*[np.concatenate(c) for c in held], mark_all)
+            for into, c in zip(held, on, strict=True):
+                into[:] = [c]
+            size = settled = len(on[0])
+            yield from marked(*marks)
+
+        for batch in batches:
+            buckets = batch.column(0).to_pylist()
+            for i, b in enumerate(buckets):
+                cells = [np.frombuffer(batch.column(c + 1)[i].as_buffer(), t) for c, t in enumerate((np.uint64, np.int64, np.int32))]
+                if b < 0:
+                    yield from marked(*cells[1:])
+                    continue
+                if b != bucket:
+                    if size:
+                        yield from settled_entries()
+                    held, bucket, size, settled = [[], [], []], b, 0, 0
+                for into, c in zip(held, cells, strict=True):
+                    into.append(c)
+                size += len(cells[0])
+                # what goes on may be many different hashes, so wait until as many again have come
+                if size >= max(HELD, 2 * settled):
+                    yield from settled_entries()
+        if size:
+            yield from settled_entries()
 
     return run
 
@@ -176,74 +238,86 @@ def _with_marks(per_text: Callable, out: Callable) -> Callable:
                         mine = np.empty(0, np.int32)
                     else:
                         mine = pos[np.searchsorted(docs, doc) : np.searchsorted(docs, doc, "right")]
-                    if (made := per_text(state, mine.astype(np.int64), *row)) is not None:
-                        yield made
-                if (made := state.ready(False)) is not None:
-                    yield made
-        if (made := state.ready(True)) is not None:
-            yield made
+                    per_text(state, mine.astype(np.int64), *row)
+                    if state.full():
+                        yield from state.ready(False)
+                yield from state.ready(False)
+        yield from state.ready(True)
 
     return run
 
 
 class _Candidates:
     def __init__(self, buckets: int) -> None:
-        self.words, self.send = WordHasher(), _Send(buckets, _schema(_PACK))
+        self.words, self.send = WordHasher(), _Send(buckets, False)
 
-    def ready(self, last: bool) -> pa.RecordBatch | None:
-        return self.send.flush() if self.send.n >= FLUSH or last and self.send.n else None
+    def full(self) -> bool:
+        return self.send.n >= FLUSH
+
+    def ready(self, last: bool) -> Iterator[pa.RecordBatch]:
+        return self.send.flush() if self.send.n >= FLUSH or last and self.send.n else iter(())
 
 
 class _Rows:
     def __init__(self, schema: pa.Schema) -> None:
-        self.schema, self.rows = schema, []
+        self.schema, self.rows, self.size = schema, [], 0
+
+    def full(self) -> bool:
+        return self.size >= OUT_CHARS
 
-    def ready(self, last: bool) -> pa.RecordBatch | None:
-        if not self.rows:
-            return None
-        rows, self.rows = self.rows, []
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), self.schema.types, strict=True)], schema=self.schema)
+    def ready(self, last: bool) -> Iterator[pa.RecordBatch]:
+        if self.rows:
+            rows, self.rows, self.size = self.rows, [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), self.schema.types, strict=True)], schema=self.schema)
 
 
-def _union(docs: DataFrame, marks: DataFrame, deal: int, extra: list[str]) -> DataFrame:
-    """Texts and their marks in one stream, dealt by document."""
+def _union(docs: DataFrame, marks: DataFrame, deal: int) -> DataFrame:
+    """Texts (doc_id, text, hidden columns) and their marks in one stream, dealt by document."""
     own = F.coalesce(F.col("doc_id"), F.xxhash64("text"))
-    texts = docs.select(F.pmod(own, F.lit(deal)).alias("bucket"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("md"), F.lit(None).cast("binary").alias("mp"), "doc_id", "text", *extra)
-    mark = marks.select("bucket", F.lit(0).alias("kind"), F.col("doc").alias("md"), F.col("pos").alias("mp"), *[F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in ["doc_id", "text", *extra]])
+    none = F.lit(None).cast("binary")
+    texts = docs.select(F.pmod(own, F.lit(deal)).alias("bucket"), F.lit(1).alias("kind"), none.alias("md"), none.alias("mp"), *docs.columns)
+    mark = marks.select("bucket", F.lit(0).alias("kind"), F.col("doc").alias("md"), F.col("pos").alias("mp"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema])
     return by_bucket(texts.unionByName(mark), "kind")
 
 
+#: The columns that ``dedup_substrings`` makes.
+MADE = ("doc_id", "text", "n_words", "n_removed", "kept_sha256")
+
+
 def dedup_substrings(docs: DataFrame, window: int = 13, extra: tuple[str, ...] = ()) -> DataFrame:
     """Per row: doc_id, text (what is kept, layout unchanged), n_words, n_removed, kept_sha256, and ``extra`` columns.
 
     ``kept_sha256`` is of the kept words joined by one blank.
     """
-    spark, extra = docs.sparkSession, list(extra)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *extra)
+    spark = docs.sparkSession
+    extra = [c for c in extra if c.lower() not in MADE]
+    hidden = {c: f"__x{i}" for i, c in enumerate(extra)}
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[docs[f"`{c}`"].alias(h) for c, h in hidden.items()])
     scratch = Scratch(spark, "substring")
-    blanks = F.length("text").cast("long")
-    n_rows, n_chars = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(blanks), F.lit(0))).first()
+    n_rows, n_chars = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()
     buckets = 1 + n_chars // (12 * PER_BUCKET)  # an anchor for every 12 characters or more of prose
     deal = 1 + max(n_rows // 4_000, n_chars // 8_000_000)
+    texts = docs.where("doc_id is not null").select("doc_id", "text")
 
-    first = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_emit_anchors(window, buckets), _PACK)
-    shared = scratch.keep(by_bucket(first).select("bucket", "h", "doc", "pos").mapInArrow(_match(deal, True), _MARK), "anchors")
+    first = texts.mapInArrow(_emit_anchors(window, buckets), _PACK)
+    shared = scratch.keep(by_bucket(first).mapInArrow(_match(deal, True), _MARK), "anchors")
+    period, residues = cover_for(window)
+    marked = shared.agg(F.coalesce(F.sum(F.octet_length("pos").cast("long")), F.lit(0))).first()[0] // 4
+    found_buckets = 1 + marked * period // (len(residues) * PER_BUCKET)
 
-    def extend(state: _Candidates, mine: np.ndarray, doc: int | None, text: str | None) -> pa.RecordBatch | None:
-        if not len(mine):
-            return None
-        h = state.words.hashes(words_of(text))
-        starts = candidate_starts(len(h), mine, window)
-        state.send.add(windows(h, window)[starts], doc, starts)
-        return state.ready(False)
+    def extend(state: _Candidates, mine: np.ndarray, doc: int, text: str | None) -> None:
+        if len(mine):
+            h = state.words.hashes(words_of(text))
+            starts = candidate_starts(len(h), mine, window)
+            state.send.add(windows(h, window)[starts], doc, starts)
 
-    found = _union(docs.where("doc_id is not null").select("doc_id", "text"), shared, deal, []).mapInArrow(_with_marks(extend, lambda: _Candidates(buckets)), _PACK)
-    removed = scratch.keep(by_bucket(found).select("bucket", "h", "doc", "pos").mapInArrow(_match(deal, False), _MARK), "windows")
+    found = _union(texts, shared, deal).mapInArrow(_with_marks(extend, lambda: _Candidates(found_buckets)), _PACK)
+    removed = scratch.keep(by_bucket(found).mapInArrow(_match(deal, False), _MARK), "windows")
+    scratch.drop(shared)
 
-    fields = [pa.field("doc_id", pa.int64()), pa.field("text", pa.string()), pa.field("n_words", pa.int64()), pa.field("n_removed", pa.int64()), pa.field("kept_sha256", pa.string())]
     from pyspark.sql.pandas.types import to_arrow_type
 
-    schema = pa.schema([*fields, *[pa.field(c, to_arrow_type(docs.schema[c].dataType)) for c in extra]])
+    made = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), *[(h, to_arrow_type(docs.schema[h].dataType)) for h in hidden.values()]])
 
     def finish(state: _Rows, mine: np.ndarray, doc: int | None, text: str | None, *more: object) -> None:
         words, kept = words_of(text), text
@@ -255,9 +329,11 @@ def dedup_substrings(docs: DataFrame, window: int = 13, extra: tuple[str, ...] =
                 kept = cut_text(text, gone)
                 words = [w for w, dead in zip(words, gone.tolist(), strict=True) if not dead]
         state.rows.append((doc, kept, n, lost, hashlib.sha256(b" ".join(words)).hexdigest(), *more))
+        state.size += len(kept or "")
 
-    ddl = ", ".join(["doc_id long, text string, n_words long, n_removed long, kept_sha256 string", *[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in extra]])
-    return _union(docs, removed, deal, extra).mapInArrow(_with_marks(finish, lambda: _Rows(schema)), ddl)
+    ddl = ", ".join(["doc_id long, text string, n_words long, n_removed long, kept_sha256 string", *[f"`{h}` {docs.schema[h].dataType.simpleString()}" for h in hidden.values()]])
+    out = _union(docs, removed, deal).mapInArrow(_with_marks(finish, lambda: _Rows(made)), ddl)
+    return out.select(*MADE, *[F.col(h).alias(c) for c, h in hidden.items()])
 
 
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
