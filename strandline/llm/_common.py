@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +40,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_made_here: ContextVar[list | None] = ContextVar("made_here", default=None)
+
+
+@contextmanager
+def released() -> Iterator[None]:
+    """Scratch tables made inside are deleted at the end, when the result that reads them has been written."""
+    made: list[Scratch] = []
+    token = _made_here.set(made)
+    try:
+        yield
+    finally:
+        _made_here.reset(token)
+        for scratch in made:
+            scratch.delete()
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; a lost executor costs only unwritten work.
 
-    A step's shuffle files go as soon as its table is written.
+    A step's shuffle files go as soon as its table is written.  The tables of an operator whose result is
+    still to be computed stay: compute and write the result inside ``released()``, or call ``delete`` or
+    ``clean_up`` afterwards.
     """
 
     #: Spark's setting for that.
@@ -49,8 +69,10 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/strandline/{name}-{uuid.uuid4().hex}"
+        self.root = f"{shared_dir(spark)}/strandline/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        if (made := _made_here.get()) is not None:
+            made.append(self)
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
         path = f"{self.root}/{self.n}-{name}"
@@ -66,8 +88,20 @@ class Scratch:
         return out
 
     def drop(self, df: DataFrame) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._strand_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, df._strand_path)
+
+    def delete(self) -> None:
+        _delete(self.spark, self.root)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application; results that read them must have been written."""
+    _delete(spark, f"{shared_dir(spark)}/strandline/{spark.sparkContext.applicationId}")
 
 
 def is_empty(df: DataFrame) -> bool:
@@ -180,6 +214,56 @@ def by_bucket(df: DataFrame, *order: str) -> DataFrame:
     return df.repartition(n, "bucket").sortWithinPartitions("bucket", *order)
 
 
+def salted(big: DataFrame, small: DataFrame, keys: list[str], by: str, salts: int = 32) -> DataFrame:
+    """``big`` joined with ``small`` on keys of which one may hold a large share of ``big``.
+
+    Rows of ``big`` are dealt by the keys and a salt of column ``by``; ``small`` has one row a key, or few,
+    which is copied once a salt.
+    """
+    dealt = big.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)))
+    copied = small.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return dealt.join(copied, [*keys, "__salt"]).drop("__salt")
+
+
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}
+
+
+def map_texts(docs: DataFrame, text_col: str, keep: tuple[str, ...], made: dict[str, str], start: Callable[[], Callable[[list], list[list]]], step: int = 256) -> DataFrame:
+    """``keep`` columns and the columns ``made`` (name: type) that ``start()`` computes from lists of texts.
+
+    Kept columns may have any names; a made column replaces a kept one of its name.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    keep = [c for c in keep if c.lower() not in {m.lower() for m in made}]
+    source = docs.select(*[F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").alias("__text"))
+    kept = source.schema.fields[:-1]
+    schema = pa.schema([*[(f.name, to_arrow_type(f.dataType)) for f in kept], *[(f"__m{i}", _KINDS[t]) for i, t in enumerate(made.values())]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = start()
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                own = compute(part.column(part.num_columns - 1).to_pylist())
+                columns = [part.column(i).cast(schema.types[i]) for i in range(len(kept))]
+                yield pa.RecordBatch.from_arrays([*columns, *[pa.array(c, t) for c, t in zip(own, schema.types[len(kept) :], strict=True)]], schema=schema)
+
+    ddl = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], *[f"__m{i} {t}" for i, t in enumerate(made.values())]])
+    out = source.mapInArrow(run, ddl)
+    return out.toDF(*keep, *made)
+
+
+def shielded(df: DataFrame, *own: str) -> DataFrame:
+    """The table with all columns but the named ones renamed, so that no operator's names clash with them."""
+    return df.toDF(*[c if c in own else f"__c{i}" for i, c in enumerate(df.columns)])
+
+
+def unshielded(df: DataFrame, columns: list[str], *own: str) -> DataFrame:
+    """A table that came from ``shielded``, with just the columns there were, under their names."""
+    return df.select(*[c if c in own else f"__c{i}" for i, c in enumerate(columns)]).toDF(*columns)
+
+
 def crc_mod(id_col: str, m: int):
     """crc32 of the id as text, modulo m."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(m)

@@ -6,8 +6,9 @@ of least rank.  A merge changes three leaves (the pair, its dead right half, the
 left), each by one walk to the root.  Short pieces of one padded length are merged side by side, a
 numpy row each; long ones one at a time.  A piece that is itself a token gets that token.
 
-Nulls and empty texts have no ids.  Repeated rows give repeated rows; other columns pass through by
-``encode_texts`` if named.  The rank file is read by the driver and broadcast: its size is that of the
+Nulls and empty texts have no ids; an empty table gives an empty result.  Repeated rows give repeated
+rows.  Other columns pass through by ``encode_texts`` if named, except that the columns it makes
+replace columns of those names.  The rank file is read by the driver and broadcast: its size is that of the
 vocabulary, whatever the input.
 """
 
@@ -15,14 +16,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable
 
 import numpy as np
-import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from strandline.llm._common import map_texts
 
 #: Pieces of more bytes are merged one at a time.
 LONG = 256
@@ -230,26 +230,16 @@ def encode_texts(docs: DataFrame, rank_file: str, pattern: str, text_col: str =
     spark = docs.sparkSession
     with open(rank_file, "rb") as f:
         ranks = spark.sparkContext.broadcast(f.read())
-    source = docs.select(*keep, F.col(text_col).alias("__text"))
-    from pyspark.sql.pandas.types import to_arrow_schema
+    def start() -> Callable:
+        bpe = _tokenizer(ranks.value, pattern)
 
-    made = "ids binary, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    fields = [*to_arrow_schema(source.select(*keep).schema), pa.field("ids", pa.binary()), pa.field("n_tokens", pa.int64()), pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())]
-    schema = pa.schema(fields)
+        def encode(texts: list) -> list[list]:
+            ids = bpe.encode_batch(texts)
+            return [ids if with_ids else [None] * len(ids), [len(x) // 4 for x in ids], [hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids]]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _tokenizer(ranks.value, pattern)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                ids = bpe.encode_batch(part.column(part.num_columns - 1).to_pylist())
-                sha = [hashlib.sha256(x).hexdigest() for x in ids]
-                back = [hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids]
-                own = [pa.array(ids if with_ids else [None] * len(ids), pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(sha), pa.array(back)]
-                yield pa.RecordBatch.from_arrays([*[part.column(i).cast(schema.types[i]) for i in range(part.num_columns - 1)], *own], schema=schema)
-
-    ddl = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema], made])
-    return source.mapInArrow(run, ddl)
+        return encode
+
+    return map_texts(docs, text_col, keep, {"ids": "binary", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}, start, 128)
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,18 +6,21 @@ steps with an elastic-net penalty, whose L1 part leaves most weights at zero; th
 fitted on texts set aside, so that scores are calibrated.
 
 The regression is fitted on at most ``FIT_DOCS`` texts of each language (those with the smallest hash of
-their id), a documented bound, one in ``ASIDE`` of them for the temperature.  Prediction reads every whole
-text; only the text decides.
-
-Nulls: a null text, or one without a letter, is ``und`` with score 0.  Rows with a null id or language
-aren't learned from.  Repeated rows count as often as they are.  With nothing to learn from, all texts
-are ``und``; with one language only, texts with a letter get it with score 1.  Extra columns pass
-through by ``predict`` if named.
+their id) and about ``FIT_ALL`` texts in all, documented bounds; where there are more languages than that
+allows in full, each has an equal share, one text at least.  One in ``ASIDE`` of them sets the
+temperature.  Every language is learned.  Prediction reads every whole text; only the text decides.
+
+Nulls: a null text, or one without a letter, is ``und`` with score 0; very long texts are read whole.
+Rows with a null id or language aren't learned from.  Repeated rows count in document frequencies as often
+as they are, and are in the sample once.  Ties between languages go to the first by name.  With nothing to
+learn from, all texts are ``und``; with one language only, texts with a letter get it with score 1.  An
+empty table gives an empty result.  Extra columns pass through by ``predict`` if named, except that
+``lang_pred`` and ``score`` replace columns of those names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.llm._common import Scratch, crc_mod, rows_of
+from strandline.llm._common import Scratch, crc_mod, map_texts, rows_of
 from strandline.llm.char_grams import grams
 
 ORDERS, BITS = (1, 2, 3), 15
@@ -34,8 +37,8 @@ ORDERS, BITS = (1, 2, 3), 15
 FIT_DOCS, ASIDE = 800, 5
 #: Step size and its smoothing, elastic-net penalties, passes over the sample.
 ALPHA, BETA, L1, L2, PASSES = 0.5, 1.0, 0.002, 0.0005, 4
-#: Languages that are learned, at most: the most frequent ones.
-LANGUAGES = 512
+#: Texts of all languages that the regression is fitted on, about: it bounds what the driver holds.
+FIT_ALL = 24_000
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 
@@ -144,7 +147,7 @@ def fit(labelled: DataFrame) -> Model:
     spark = labelled.sparkSession
     scratch = Scratch(spark, "language")
     rows = labelled.where("doc_id is not null and lang is not null").select("doc_id", "text", "lang")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().collect()  # one row a language
     langs = sorted(r["lang"] for r in counts)
     if not langs:
         return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0), np.zeros(1 << BITS), 1.0)
@@ -155,12 +158,14 @@ def fit(labelled: DataFrame) -> Model:
         df += np.frombuffer(r["df"], np.int64)
         n += r["n"]
     idf = np.log((1 + n) / (1 + df)) + 1
-    # ids of the sample: hashes under a bound that leaves a few times as many as are wanted, then the smallest
-    order, span = F.xxhash64("doc_id"), 1 << 31
-    bound = spark.createDataFrame([(r["lang"], min(span, 4 * FIT_DOCS * span // r["count"])) for r in counts], "lang string, bound long")
-    near = rows.select("doc_id", "lang", order.alias("o")).join(F.broadcast(bound), "lang").where(F.pmod("o", F.lit(span)) < F.col("bound"))
-    few = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("o", F.lit(span)), "doc_id"))).where(F.col("r") <= FIT_DOCS).select("doc_id").distinct()
-    sample = scratch.keep(rows.join(F.broadcast(few), "doc_id").select("doc_id", "text", "lang"), "sample")
+    # the sample: ids under a hash bound that leaves a few times as many as are wanted, then the smallest
+    wanted = max(1, min(FIT_DOCS, FIT_ALL // len(langs)))
+    order, span = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)), 1 << 31
+    bound = spark.createDataFrame([(r["lang"], min(span, 4 * wanted * span // r["count"])) for r in counts], "lang string, bound long")
+    keyed = rows.withColumn("v", F.xxhash64("text"))
+    near = keyed.select("doc_id", "lang", "v", order.alias("o")).join(F.broadcast(bound), "lang").where(F.col("o") < F.col("bound")).select("doc_id", "lang", "v", "o").distinct()
+    few = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("o", "doc_id", "v"))).where(F.col("r") <= wanted).select("doc_id", "lang", "v")
+    sample = scratch.keep(keyed.join(F.broadcast(few), ["doc_id", "lang", "v"]).dropDuplicates(["doc_id", "lang", "v"]).select("doc_id", "text", "lang"), "sample")
     sent = spark.sparkContext.broadcast(idf.tobytes())
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +178,8 @@ def fit(labelled: DataFrame) -> Model:
     held = sample.mapInArrow(features, "doc_id long, lang string, at binary, x binary").collect()
     held.sort(key=lambda r: (r["doc_id"], r["lang"], r["at"]))
     made = [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["x"], np.float32).astype(np.float64)) for r in held]
-    y = np.array([langs.index(r["lang"]) for r in held])
+    number = {lang: i for i, lang in enumerate(langs)}
+    y = np.array([number[r["lang"]] for r in held], np.int64)
     aside = np.arange(len(y)) % ASIDE == 0 if len(y) >= 10 * ASIDE else np.zeros(len(y), bool)
     train = np.flatnonzero(~aside)
     w, bias = ftrl([made[i] for i in train.tolist()], y[train], len(langs), 1 << BITS)
@@ -185,21 +191,17 @@ def fit(labelled: DataFrame) -> Model:
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, lang_pred and score."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(*keep, F.col("text").alias("__text"))
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    schema = pa.schema([*to_arrow_schema(source.select(*keep).schema), pa.field("lang_pred", pa.string()), pa.field("score", pa.float64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start() -> Callable:
         own = sent.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                made = [own.predict(t) for t in part.column(part.num_columns - 1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*[part.column(i).cast(schema.types[i]) for i in range(part.num_columns - 1)], pa.array([a for a, _ in made]), pa.array([s for _, s in made])], schema=schema)
 
-    ddl = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema], "lang_pred string, score double"])
-    return source.mapInArrow(run, ddl)
+        def compute(texts: list) -> list[list]:
+            made = [own.predict(t) for t in texts]
+            return [[a for a, _ in made], [s for _, s in made]]
+
+        return compute
+
+    return map_texts(docs, "text", keep, {"lang_pred": "string", "score": "double"}, start)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,10 +8,12 @@ near 1 weigh nothing.
 Training reads at most ``FIT_DOCS`` labelled texts of each class (those with the smallest hash of their
 id), a documented bound; scoring reads every whole text.  Only a text decides its score.
 
-Nulls and empty texts hold no n-gram and get the score of the intercept.  Rows with a null id or label
-aren't learned from.  Labels that repeat an id are learned once per repeat.  If either class is missing,
-all scores are the share of toxic texts among those seen (0.0 if none).  Extra columns pass through by
-``score_texts`` if named.
+Nulls and empty texts hold no n-gram and get the score of the intercept; very long texts are read whole.
+Rows with a null id or label aren't learned from.  Rows that repeat an id, text and label are learned
+once, whatever their number; an id with two labels or two texts is learned with each.  Texts of equal
+hash rank by id.  If either class is missing, all scores are the share of toxic texts among those seen
+(0.0 if none).  An empty table gives an empty result.  Extra columns pass through by ``score_texts`` if
+named, except that ``score`` and ``predicted`` replace columns of those names.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm._common import Scratch, crc_mod, rows_of
+from strandline.llm._common import Scratch, crc_mod, map_texts, rows_of
 from strandline.llm.char_grams import grams
 
 ORDERS, BITS = (3, 4, 5), 20
@@ -95,26 +97,33 @@ def logistic(starts: np.ndarray, features: np.ndarray, values: np.ndarray, y: np
     return w, bias
 
 
+def few_of_each(rows: DataFrame) -> DataFrame:
+    """At most FIT_DOCS distinct rows of each class, those with the smallest hash of their id."""
+    once = rows.distinct()
+    order = [F.xxhash64("doc_id"), *rows.columns]
+    return once.where("toxic = 1").orderBy(*order).limit(FIT_DOCS).unionAll(once.where("toxic = 0").orderBy(*order).limit(FIT_DOCS))
+
+
 def fit(labelled: DataFrame) -> Model:
     """A model from rows (doc_id, text, toxic)."""
     spark = labelled.sparkSession
     scratch = Scratch(spark, "toxicity")
-    rows = labelled.where("doc_id is not null and toxic in (0, 1)")
-    ids = rows.select("doc_id", F.col("toxic").cast("long").alias("toxic"))
-    order = F.xxhash64("doc_id")
-    # the bound, FIT_DOCS ids of each class, is also the bound of what is broadcast
-    picked = ids.where("toxic = 1").orderBy(order, "doc_id").limit(FIT_DOCS).unionAll(ids.where("toxic = 0").orderBy(order, "doc_id").limit(FIT_DOCS))
-    sample = scratch.keep(rows.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic"), "sample")
+    rows = labelled.where("doc_id is not null and toxic in (0, 1)").select("doc_id", "text", F.col("toxic").cast("long").alias("toxic"), F.xxhash64("text").alias("v"))
+    picked = few_of_each(rows.select("doc_id", "toxic", "v"))
+    # a row that repeats comes once, so the sample has as many rows as were picked
+    sample = scratch.keep(rows.join(F.broadcast(picked), ["doc_id", "toxic", "v"]).dropDuplicates(["doc_id", "toxic", "v"]).select("text", "toxic"), "sample")
     counts, n = np.zeros((2, 1 << BITS)), [0, 0]
     for r in sample.select("text", "toxic").coalesce(8).mapInArrow(_count, "y long, n long, at binary, c binary").toLocalIterator():
         counts[r["y"], np.frombuffer(r["at"], np.int32)] += np.frombuffer(r["c"], np.int32)
         n[r["y"]] += r["n"]
     if not n[0] or not n[1]:
+        scratch.drop(sample)
         share = n[1] / max(1, sum(n))
         return Model(np.zeros(1 << BITS, np.float32), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
     ratio = np.log((counts[1] + 1) / (n[1] + 2)) - np.log((counts[0] + 1) / (n[0] + 2))
     use = (counts.sum(axis=0) >= MIN_DOCS) & (np.abs(ratio) >= MIN_RATIO)
     held = sample.select("text", "toxic").mapInArrow(_features(np.packbits(use, bitorder="little")), "y long, at binary").collect()
+    held.sort(key=lambda r: (r["y"], r["at"]))  # the sum of floats then doesn't depend on the order of tasks
     y = np.array([r["y"] for r in held])
     parts = [np.frombuffer(r["at"], np.int32) for r in held]
     starts = np.r_[0, np.cumsum([len(p) for p in parts])[:-1]]
@@ -132,31 +141,26 @@ def fit(labelled: DataFrame) -> Model:
 def score_texts(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, score and predicted."""
     sent = docs.sparkSession.sparkContext.broadcast((model.weights.tobytes(), model.bias))
-    source = docs.select(*keep, F.col("text").alias("__text"))
-    from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = pa.schema([*to_arrow_schema(source.select(*keep).schema), pa.field("score", pa.float64()), pa.field("predicted", pa.int32())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start() -> Callable:
         raw, bias = sent.value
         own = Model(np.frombuffer(raw, np.float32), bias)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                score = [own.score(t) for t in part.column(part.num_columns - 1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*[part.column(i).cast(schema.types[i]) for i in range(part.num_columns - 1)], pa.array(score), pa.array([int(s >= 0.5) for s in score], pa.int32())], schema=schema)
 
-    ddl = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema], "score double, predicted int"])
-    return source.mapInArrow(run, ddl)
+        def compute(texts: list) -> list[list]:
+            score = [own.score(t) for t in texts]
+            return [score, [int(s >= 0.5) for s in score]]
+
+        return compute
+
+    return map_texts(docs, "text", keep, {"score": "double", "predicted": "int"}, start)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of ``documents``, learned from the labels whose crc32 is no multiple of 5."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    order = F.xxhash64("doc_id")
     usable = labels.where("doc_id is not null and toxic in (0, 1)").where(crc_mod("doc_id", 5) != 0)
     # the same bound as in fit, before the texts are joined: at most FIT_DOCS ids of each class
-    few = usable.where("toxic = 1").orderBy(order, "doc_id").limit(FIT_DOCS).unionAll(usable.where("toxic = 0").orderBy(order, "doc_id").limit(FIT_DOCS))
+    few = few_of_each(usable.select("doc_id", F.col("toxic").cast("long").alias("toxic")))
     model = fit(docs.join(F.broadcast(few), "doc_id"))
     return score_texts(docs, model).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
