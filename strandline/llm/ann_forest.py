@@ -1,15 +1,19 @@
 """Approximate nearest neighbours by inner product: a forest of random-projection trees.
 
-Each tree splits by random directions at the median of a sample, to a fixed depth; largest inner product
-becomes least distance by one more component that gives all vectors the same length.  A query walks all
-trees through one priority queue, least sum of squared distances to the planes it crosses first, until it
-has taken the calibrated number of leaves.  Leaf candidates are then ranked exactly, in double precision,
-on the original vectors.
+Each tree splits by random directions, one a level, at the medians of a sample; largest inner product
+becomes least distance by one more component that gives all vectors the same length.  The depth follows
+the number of vectors, so a leaf holds about ``LEAF`` at every size.  A query walks all trees through one
+priority queue, least sum of squared distances to the planes it crosses first, until it has taken the
+calibrated number of leaves.  Leaf candidates are then ranked exactly, in double precision, on the
+original vectors.
 
 The forest is fitted on at most ``SAMPLE`` vectors (those with the smallest hash of their id), a
-documented bound; every vector is indexed.  The number of leaves is the least that finds
-``TARGET_RECALL`` of the true neighbours of ``PROBES`` sampled vectors within the sample, so it follows
-how hard the data are: few leaves on clustered vectors, a large share of them on noise.
+documented bound; every vector is indexed.  Nodes with fewer than ``NODE`` sampled vectors are cut where
+their last ancestor with as many has its median in the level's direction.  The number of leaves is the least that
+finds ``TARGET_RECALL`` of the true neighbours of ``PROBES`` sampled vectors, a fixed number of queries
+that are held against all vectors in blocks for this.  So it
+follows how hard the data are, not how many they are: few leaves on clustered vectors, a large share of
+them on noise.
 
 Leaves are dealt out in blocks of a bounded number of vectors, each visited by its queries in stretches;
 a block returns one packed row per query, with its best.  Equal vectors are one entry with its ``k + 1``
@@ -34,19 +38,30 @@ from pyspark.sql import functions as F
 from strandline.llm._common import Scratch, grouped, shuffle_parts
 
 SAMPLE, PROBES, TARGET_RECALL = 16_384, 256, 0.95
-TREES, DEPTH = 8, 8
+#: Trees, vectors in a leaf, about, and sampled vectors of the smallest node whose median is taken.
+TREES, LEAF, NODE = 8, 256, 16
 #: Vectors in a block of a leaf, about, and queries that are ranked at a time.
 BLOCK, STRETCH = 32_768, 128
+#: Repeated vectors that a task gathers before it sends them.
+WAITING = 4_096
 
 
 @dataclass
 class Forest:
-    planes: np.ndarray  # (tree, inner node from 1, dim + 1)
-    cuts: np.ndarray  # (tree, inner node)
-    depth: int
+    planes: np.ndarray  # (tree, level, dim + 1)
+    cuts: np.ndarray  # (tree, node from 1) of the upper levels
+    deep: np.ndarray  # (tree, node at the last upper level, further level)
     longest: float  # length of the longest vector
     leaves: int = 1  # a query takes so many
 
+    @property
+    def depth(self) -> int:
+        return self.planes.shape[1]
+
+    @property
+    def upper(self) -> int:
+        return self.depth - self.deep.shape[2]
+
     @property
     def first_leaf(self) -> int:
         return 1 << self.depth
@@ -56,77 +71,84 @@ class Forest:
         x = x / self.longest
         return np.hstack([x, np.sqrt(np.maximum(0.0, 1 - (x * x).sum(axis=1)))[:, None]])
 
+    def cut(self, t: int, level: int, node: np.ndarray) -> np.ndarray:
+        if level < self.upper:
+            return self.cuts[t, node]
+        return self.deep[t, (node >> (level - self.upper)) - (1 << self.upper), level - self.upper]
+
     def leaf_of(self, x: np.ndarray) -> np.ndarray:
         """(vector, tree) -> leaf, from 0."""
-        y, out = self.lifted(x), np.empty((len(x), len(self.planes)), np.int64)
+        y = self.lifted(x)
+        along = (y @ self.planes.reshape(-1, y.shape[1]).T).reshape(len(x), len(self.planes), self.depth)
+        out = np.empty((len(x), len(self.planes)), np.int64)
         for t in range(len(self.planes)):
             node = np.ones(len(x), np.int64)
-            if self.depth:
-                above = y @ self.planes[t].T > self.cuts[t]
-                for _ in range(self.depth):
-                    node = 2 * node + above[np.arange(len(x)), node]
+            for level in range(self.depth):
+                node = 2 * node + (along[:, t, level] > self.cut(t, level, node))
             out[:, t] = node - self.first_leaf
         return out
 
     def search(self, query: np.ndarray, leaves: int) -> list[tuple[int, int]]:
         """The first leaves (tree, leaf) of a query, by the shared queue."""
+        trees = len(self.planes)
         if not self.depth:
-            return [(t, 0) for t in range(min(leaves, len(self.planes)))]
+            return [(t, 0) for t in range(min(leaves, trees))]
         unit = query / np.sqrt((query * query).sum())
-        off = (self.planes[:, :, :-1] @ unit - self.cuts).tolist()
-        queue, out, last = [(0.0, t, 1) for t in range(len(off))], [], self.first_leaf
+        along = (self.planes[:, :, :-1] @ unit).tolist()
+        cuts, deep, upper, depth = self.cuts, self.deep, self.upper, self.depth
+        queue, out = [(0.0, t, 1, 0) for t in range(trees)], []
         while queue and len(out) < leaves:
-            cost, t, node = heapq.heappop(queue)
-            while node < last:
-                d = off[t][node]
+            cost, t, node, level = heapq.heappop(queue)
+            while level < depth:
+                d = along[t][level] - (cuts.item(t, node) if level < upper else deep.item(t, (node >> (level - upper)) - (1 << upper), level - upper))
                 near = 2 * node + (d > 0)
-                heapq.heappush(queue, (cost + d * d, t, near ^ 1))
+                level += 1
+                heapq.heappush(queue, (cost + d * d, t, near ^ 1, level))
                 node = near
-                if node < last and queue[0][0] < cost:
-                    heapq.heappush(queue, (cost, t, node))
+                if level < depth and queue[0][0] < cost:
+                    heapq.heappush(queue, (cost, t, node, level))
                     break
             else:
-                out.append((t, node - last))
+                out.append((t, node - self.first_leaf))
         return out
 
 
-def grow(sample: np.ndarray, longest: float, seed: int = 0) -> Forest:
+def grow(sample: np.ndarray, longest: float, count: int, seed: int = 0) -> Forest:
+    """A forest for so many vectors, fitted on a sample of them."""
     rng = np.random.default_rng(seed)
-    depth = int(np.clip(np.log2(max(1, len(sample)) / 16), 0, DEPTH))
-    inner = 1 << depth
-    forest = Forest(rng.standard_normal((TREES, inner, sample.shape[1] + 1)), np.zeros((TREES, inner)), depth, longest)
-    forest.planes /= np.sqrt((forest.planes**2).sum(axis=2, keepdims=True))
+    depth = max(0, int(np.ceil(np.log2(max(1, count) / LEAF))))
+    upper = int(np.clip(np.floor(np.log2(max(1, len(sample)) / NODE)), 0, depth))
+    planes = rng.standard_normal((TREES, depth, sample.shape[1] + 1))
+    planes /= np.sqrt((planes**2).sum(axis=2, keepdims=True))
+    forest = Forest(planes, np.zeros((TREES, 1 << upper)), np.zeros((TREES, 1 << upper, depth - upper)), longest)
     y = forest.lifted(sample)
     for t in range(TREES):
-        node = np.ones(len(y), np.int64)
-        for _ in range(depth):
+        along, node = y @ planes[t].T, np.ones(len(y), np.int64)
+        for level in range(upper):
+            for n in np.unique(node).tolist():
+                forest.cuts[t, n] = np.median(along[node == n, level])
+            node = 2 * node + (along[:, level] > forest.cuts[t, node])
+        if depth > upper:
+            forest.deep[t] = np.median(along[:, upper:], axis=0)
             for n in np.unique(node).tolist():
-                mine = node == n
-                forest.cuts[t, n] = np.median(y[mine] @ forest.planes[t, n])
-            node = 2 * node + ((y * forest.planes[t, node]).sum(axis=1) > forest.cuts[t, node])
+                forest.deep[t, n - (1 << upper)] = np.median(along[node == n, upper:], axis=0)
     return forest
 
 
-def calibrated(forest: Forest, sample: np.ndarray, k: int) -> int:
-    """The least number of leaves with the target recall of the k nearest of sampled vectors."""
+def calibrated(forest: Forest, probes: np.ndarray, nearest: list[np.ndarray]) -> int:
+    """The least number of leaves, of rising steps, that hold the target share of the probes' nearest vectors."""
     total = TREES * forest.first_leaf
-    if len(sample) <= k + 1:
-        return total
-    where = forest.leaf_of(sample)
-    probes = sample[:: max(1, len(sample) // PROBES)][:PROBES]
-    steps = sorted({min(total, max(1, round(total * s))) for s in (0.005, 0.01, 0.02, 0.03, 0.05, 0.08, 0.1, 0.13, 0.16, 0.2, 0.25, 0.3, 0.35, 0.4, 0.5, 0.6, 0.8, 1.0)})
-    found = np.zeros(len(steps))
-    for q in probes:
-        score = sample @ q
-        nearest = np.argpartition(-score, k)[: k + 1]
-        rank = np.full((len(forest.planes), forest.first_leaf), total + 1)
-        for i, (t, leaf) in enumerate(forest.search(q, steps[-1])):
-            rank[t, leaf] = i + 1
-        best = rank[np.arange(len(forest.planes)), where[nearest]].min(axis=1)
-        found += [(best <= s).mean() for s in steps]
-    for s, got in zip(steps, found / len(probes), strict=True):
-        if got >= TARGET_RECALL:
-            return s
+    where = [forest.leaf_of(x) + np.arange(TREES) * forest.first_leaf for x in nearest]
+    leaves = TREES
+    while leaves < total and any(map(len, nearest)):
+        found = []
+        for q, own in zip(probes, where, strict=True):
+            if len(own):
+                taken = np.array([t * forest.first_leaf + leaf for t, leaf in forest.search(q, leaves)])
+                found.append(np.isin(own, taken).any(axis=1).mean())
+        if np.mean(found) >= TARGET_RECALL:
+            return leaves
+        leaves = leaves + max(1, leaves // 4)
     return total
 
 
@@ -140,7 +162,11 @@ def usable_vectors(vectors: DataFrame, k: int) -> DataFrame:
     dim = sizes[0]["size"] if sizes else 0
     schema = pa.schema([("vec", pa.binary()), ("ids", pa.list_(pa.int64()))])
 
+    def entries(seen: dict[bytes, list[int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), schema.types[1])], schema=schema)
+
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common: dict[bytes, list[int]] = {}  # a vector that repeats in a batch waits, so a very common one is sent once
         for batch in batches:
             seen: dict[bytes, list[int]] = {}
             ids, cells = batch.column(0), batch.column(1)
@@ -148,8 +174,15 @@ def usable_vectors(vectors: DataFrame, k: int) -> DataFrame:
             good = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
             for i in np.flatnonzero(good).tolist():
                 seen.setdefault(x[i].tobytes(), []).append(ids[i].as_py())
+            for vec in [vec for vec, own in seen.items() if len(own) > 1 or vec in common]:
+                common[vec] = sorted({*common.get(vec, ()), *seen.pop(vec)})[: k + 1]
             if seen:
-                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array([sorted(set(s))[: k + 1] for s in seen.values()], schema.types[1])], schema=schema)
+                yield entries(seen)
+            if len(common) > WAITING:
+                yield entries(common)
+                common = {}
+        if common:
+            yield entries(common)
 
     rows = vectors.where(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) == dim) & (F.size(v) > 0)).select(F.col("vec_id").cast("long"), "embedding")
     once = rows.mapInArrow(clean, "vec binary, ids array<long>").groupBy("vec").agg(F.flatten(F.collect_list("ids")).alias("ids"))
@@ -160,6 +193,40 @@ def _matrix(cells: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(cells)).reshape(len(cells), -1)
 
 
+def nearest_of(entries: DataFrame, probes: np.ndarray, k: int) -> list[np.ndarray]:
+    """The k vectors of largest inner product with each probe, itself aside; a task keeps k + 1 a probe."""
+    sent = entries.sparkSession.sparkContext.broadcast(probes)
+    schema = pa.schema([("probe", pa.int64()), ("scores", pa.binary()), ("vecs", pa.binary())])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        scores, vecs = np.empty((len(own), 0)), np.empty((len(own), 0, own.shape[1]))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                x = _matrix(batch.column(0).slice(at, 4096).to_pylist())
+                new = own @ x.T
+                top = np.argpartition(-new, min(k, len(x) - 1), axis=1)[:, : k + 1]
+                scores = np.hstack([scores, np.take_along_axis(new, top, axis=1)])
+                vecs = np.concatenate([vecs, x[top]], axis=1)
+                keep = np.argsort(-scores, axis=1, kind="stable")[:, : k + 1]
+                scores, vecs = np.take_along_axis(scores, keep, axis=1), np.take_along_axis(vecs, keep[:, :, None], axis=1)
+        if scores.shape[1]:
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(own))), pa.array([s.tobytes() for s in scores], pa.binary()), pa.array([v.tobytes() for v in vecs], pa.binary())], schema=schema)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (probe,), (scores, vecs) in grouped(batches, 1):
+            score, x = np.frombuffer(b"".join(scores)), _matrix([b"".join(vecs)]).reshape(-1, sent.value.shape[1])
+            x = x[np.argsort(-score, kind="stable")[: k + 1]]
+            x = x[(x != sent.value[probe]).any(axis=1)][:k]
+            yield pa.RecordBatch.from_arrays([pa.array([probe]), pa.array([b""], pa.binary()), pa.array([x.tobytes()], pa.binary())], schema=schema)
+
+    ddl = "probe long, scores binary, vecs binary"
+    parts = shuffle_parts(entries.sparkSession)
+    rows = entries.select("vec").mapInArrow(best, ddl).repartition(parts, "probe").sortWithinPartitions("probe").mapInArrow(merged, ddl).collect()
+    found = {r["probe"]: np.frombuffer(bytes(r["vecs"])).reshape(-1, probes.shape[1]) for r in rows}
+    return [found[i] for i in range(len(probes))]
+
+
 def _place(forest: object, salts: int) -> Callable:
     """Each vector once per tree, in its leaf's block; each query once per leaf it takes and block of that leaf."""
     schema = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("query", pa.int64()), ("vec", pa.binary()), ("ids", pa.list_(pa.int64()))])
@@ -281,8 +348,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([longest])], names=["n"])
 
     longest = entries.select("vec").mapInArrow(length, "n double").agg(F.max("n")).first()[0] ** 0.5
-    forest = grow(sample, longest)
-    forest.leaves = calibrated(forest, sample, k)
+    forest = grow(sample, longest, count)
+    probes = sample[:: max(1, len(sample) // PROBES)][:PROBES]
+    forest.leaves = calibrated(forest, probes, nearest_of(entries, probes, k))
     salts = 1 + count // (BLOCK << forest.depth)
     sent = spark.sparkContext.broadcast(forest)
     empty = F.lit(None).cast("array<long>")
