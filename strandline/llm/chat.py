@@ -9,9 +9,10 @@ A conversation is one row of the result, as its rendering is one text; pairs of
 
 Nulls: a null role or text is an empty one; turns with a null number come first, turns without a pair id
 are left out.  A pair with one side only has that side's turns as its completion and an empty prompt.
-Equal conversations have two empty completions.  Repeated rows of a turn count once.  Marks inside a text
-are broken by a blank, so a text can't end its turn.  Extra columns are ignored; empty tables give an
-empty result.
+Equal conversations have two empty completions.  Repeated rows of a turn count once; turns that share a
+number come in the order of their role and text, as bytes.  Marks inside a text or a role are broken by a
+blank, and a role's line breaks become blanks, so neither can end its turn.  Texts of any length are whole.
+Extra columns are ignored, whatever their names; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ START, END = "<|im_start|>", "<|im_end|>\n"
 
 
 def _turns(side: DataFrame, name: str) -> DataFrame:
-    clean = F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |"))
-    row = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), clean.alias("text"))
+    clean = lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit("<|"), F.lit("< |"))
+    row = F.struct(F.col("turn").cast("long").alias("turn"), F.translate(clean("role"), "\r\n", "  ").alias("role"), clean("text").alias("text"))
     return side.where("pair_id is not null").groupBy("pair_id").agg(F.array_sort(F.collect_set(row)).alias(name))
 
 
@@ -68,10 +69,16 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     )
 
 
+#: The place of a turn without a number: before all others.
+UNNUMBERED = -(1 << 63)
+
+
 def stale_answers(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs from conversations: up to the last answer as it is; and with that answer replaced by the first one, or by nothing if it is the only one."""
-    answers = conversations.where("role = 'assistant'").groupBy("conv_id").agg(F.max("turn").alias("last"), F.min("turn").alias("first"), F.min_by(F.coalesce("text", F.lit("")), "turn").alias("stale"))
-    turns = conversations.join(answers, "conv_id").where("turn <= last").withColumnRenamed("conv_id", "pair_id")
+    known = conversations.where("conv_id is not null").select(F.col("conv_id").alias("pair_id"), F.coalesce(F.col("turn").cast("long"), F.lit(UNNUMBERED)).alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    first = F.min(F.struct("turn", "text"))
+    answers = known.where("role = 'assistant'").groupBy("pair_id").agg(F.max("turn").alias("last"), first["turn"].alias("first"), first["text"].alias("stale"))
+    turns = known.join(answers, "pair_id").where("turn <= last")
     worse = F.when((F.col("turn") == F.col("last")) & (F.col("role") == "assistant"), F.when(F.col("first") < F.col("last"), F.col("stale")).otherwise(F.lit(""))).otherwise(F.col("text"))
     return turns.select("pair_id", "turn", "role", "text"), turns.select("pair_id", "turn", "role", worse.alias("text"))
 
@@ -83,26 +90,30 @@ def op8_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: DuckDB's answer for op8_preference_chat.
 OP8_SQL = r"""
-WITH answers AS (
-  SELECT conv_id, max(turn) AS last, min(turn) AS first, arg_min(coalesce(text, ''), turn) AS stale FROM conversations WHERE role = 'assistant' GROUP BY conv_id
+WITH known AS (
+  SELECT conv_id AS p, coalesce(CAST(turn AS BIGINT), -9223372036854775808) AS t, role AS said_by, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), answers AS (
+  SELECT p, max(t) AS last, min(t) AS first, arg_min(text, (t, text)) AS stale FROM known WHERE said_by = 'assistant' GROUP BY p
 ), turns AS (
-  SELECT DISTINCT conv_id AS pair_id, turn, coalesce(role, '') AS role, replace(coalesce(text, ''), '<|', '< |') AS c,
-         replace(CASE WHEN turn = last AND role = 'assistant' THEN CASE WHEN first < last THEN stale ELSE '' END ELSE coalesce(text, '') END, '<|', '< |') AS r
-  FROM conversations JOIN answers USING (conv_id) WHERE turn <= last
-), diff AS (
-  SELECT pair_id, coalesce(min(turn) FILTER (c <> r), max(turn) + 1) AS from_turn FROM turns GROUP BY pair_id
-), parts AS (
-  SELECT t.*, turn < from_turn AS common,
-         '<|im_start|>' || role || chr(10) || c || '<|im_end|>' || chr(10) AS tc, '<|im_start|>' || role || chr(10) || r || '<|im_end|>' || chr(10) AS tr
-  FROM turns t JOIN diff USING (pair_id)
+  SELECT p, t, replace(replace(replace(coalesce(said_by, ''), '<|', '< |'), chr(13), ' '), chr(10), ' ') AS role, text AS c,
+         CASE WHEN t = last AND said_by = 'assistant' THEN CASE WHEN first < last THEN stale ELSE '' END ELSE text END AS r
+  FROM known JOIN answers USING (p) WHERE t <= last
+), sides AS (
+  SELECT DISTINCT p, 'c' AS side, t, role, replace(c, '<|', '< |') AS text FROM turns UNION ALL SELECT DISTINCT p, 'r', t, role, replace(r, '<|', '< |') FROM turns
 ), placed AS (
-  SELECT *, coalesce(sum(length(tc)) FILTER (NOT common) OVER w, 0) AS ec, coalesce(sum(length(tr)) FILTER (NOT common) OVER w, 0) AS er FROM parts WINDOW w AS (PARTITION BY pair_id ORDER BY turn)
+  SELECT *, row_number() OVER (PARTITION BY p, side ORDER BY t, role, text) AS pos, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS turn FROM sides
+), differ AS (
+  SELECT p, min(pos) AS from_pos FROM (SELECT p, pos FROM placed GROUP BY p, pos HAVING count(*) < 2 OR min(role) <> max(role) OR min(text) <> max(text)) GROUP BY p
+), parts AS (
+  SELECT placed.*, pos < coalesce(from_pos, 1e18) AS common FROM placed LEFT JOIN differ USING (p)
+), spans AS (
+  SELECT *, coalesce(sum(length(turn)) FILTER (NOT common) OVER (PARTITION BY p, side ORDER BY pos), 0) AS ends FROM parts
 )
-SELECT pair_id, CAST(count(*) FILTER (common) AS BIGINT) AS n_prompt_turns,
-       coalesce(string_agg(tc, '' ORDER BY turn) FILTER (common), '') AS prompt,
-       coalesce(string_agg(tc, '' ORDER BY turn) FILTER (NOT common), '') AS chosen,
-       coalesce(string_agg(CAST(ec - length(c) - 11 AS BIGINT) || ':' || CAST(ec AS BIGINT), ',' ORDER BY turn) FILTER (NOT common AND role = 'assistant'), '') AS chosen_spans,
-       coalesce(string_agg(tr, '' ORDER BY turn) FILTER (NOT common), '') AS rejected,
-       coalesce(string_agg(CAST(er - length(r) - 11 AS BIGINT) || ':' || CAST(er AS BIGINT), ',' ORDER BY turn) FILTER (NOT common AND role = 'assistant'), '') AS rejected_spans
-FROM placed GROUP BY pair_id
+SELECT p AS pair_id, CAST(count(*) FILTER (common AND side = 'c') AS BIGINT) AS n_prompt_turns,
+       coalesce(string_agg(turn, '' ORDER BY pos) FILTER (common AND side = 'c'), '') AS prompt,
+       coalesce(string_agg(turn, '' ORDER BY pos) FILTER (NOT common AND side = 'c'), '') AS chosen,
+       coalesce(string_agg(CAST(ends - length(text) - 11 AS BIGINT) || ':' || CAST(ends AS BIGINT), ',' ORDER BY pos) FILTER (NOT common AND side = 'c' AND role = 'assistant'), '') AS chosen_spans,
+       coalesce(string_agg(turn, '' ORDER BY pos) FILTER (NOT common AND side = 'r'), '') AS rejected,
+       coalesce(string_agg(CAST(ends - length(text) - 11 AS BIGINT) || ':' || CAST(ends AS BIGINT), ',' ORDER BY pos) FILTER (NOT common AND side = 'r' AND role = 'assistant'), '') AS rejected_spans
+FROM spans GROUP BY p
 """
