@@ -1,8 +1,9 @@
 """Conflict-constrained best-fit packing of documents into token bins.
 
-Documents are dealt into shards of a bounded number by a hash of their id, so a source or a group of
-copies of any size spreads evenly, and each shard is packed by itself in falling order of length.  Open
-bins are held in order of what is left in them, each with a bitmap of the sources and one of the
+Documents are dealt into shards of a bounded number by a hash of their whole row and of its number among
+equal rows, so a source, a group of copies, rows without an id or rows that repeat spread evenly whatever
+their share.  Each shard is packed by itself, in falling order of length, then by id, source and cluster,
+so a task that runs again gives the same bins.  Open bins are held in order of what is left in them, each with a bitmap of the sources and one of the
 duplicate clusters inside it.  An item looks up its successor, the tightest bin it fits, and goes on to
 the next tightest until a bin holds neither its source nor its cluster; if none does, it opens a bin.
 
@@ -10,8 +11,10 @@ A document longer than a bin is cut: whole bins of its own, then a last piece th
 others.  No words are lost.
 
 Nulls: a document without words, or with a null length, gets one piece of length 0 and no bin.  A null
-source or cluster conflicts with nothing.  Repeated rows are packed as items of their own.  An empty
-table gives an empty result.  Extra columns are ignored.
+source or cluster conflicts with nothing; rows with a null id are packed like others.  Repeated rows are
+packed as items of their own.  An empty table gives an empty result.  Extra columns are ignored, whatever
+their names.  In ``pack_texts`` a cluster is the texts that are equal but for case and blanks; near-copies
+are clusters of their own, unless ``pack_documents`` is given other clusters.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from pyspark.sql import functions as F
 
 #: Documents in a shard, about: the bound of a task's memory and of its longest search.
 SHARD_DOCS = 4_096
+#: Equal rows that are numbered by one array.
+COPIES = 1 << 16
 _OUT = pa.schema([("doc_id", pa.int64()), ("piece", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("bin_id", pa.int64()), ("bin_start", pa.int64())])
 
 
@@ -81,7 +86,7 @@ def best_fit(lengths: list[int], sources: list, clusters: list, capacity: int) -
 def pack_shard(shard: int, ids: list, lengths: list, sources: list, clusters: list, capacity: int) -> list[tuple]:
     """Pieces (doc_id, piece, start, length, bin_id, bin_start) of one shard."""
     rows, items, whole = [], [], 0
-    for doc, length, source, cluster in sorted(zip(ids, lengths, sources, clusters, strict=True), key=lambda r: (r[0] is None, r[0] or 0)):
+    for doc, length, source, cluster in sorted(zip(ids, lengths, sources, clusters, strict=True), key=lambda r: tuple((x is None, x if x is not None else 0) for x in r)):
         length = length or 0
         full, rest = divmod(length, capacity)
         for piece in range(full):
@@ -102,7 +107,11 @@ def pack_shard(shard: int, ids: list, lengths: list, sources: list, clusters: li
 def pack_documents(items: DataFrame, capacity: int = 2_048, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """Items (doc_id, n_tokens, source, cluster) -> doc_id, piece, start, length, bin_id, bin_start."""
     shards = 1 + items.count() // shard_docs
-    dealt = items.select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"), F.col("doc_id").cast("long"), F.col("n_tokens").cast("long"), F.col("source").cast("string"), F.col("cluster").cast("long"))
+    rows = items.select(F.col("doc_id").cast("long"), F.col("n_tokens").cast("long"), F.col("source").cast("string"), F.col("cluster").cast("long"))
+    # equal rows are counted, with map-side sums, and numbered, so that they don't share a hash
+    last = F.least(F.col("count") - 1, F.col("at") + (COPIES - 1))
+    each = rows.groupBy(*rows.columns).count().withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1, F.lit(COPIES).cast("long")))).withColumn("copy", F.explode(F.sequence("at", last)))
+    dealt = each.select(F.pmod(F.xxhash64(*rows.columns, "copy"), F.lit(shards)).alias("shard"), *rows.columns)
 
     def pack(key: tuple, table: pa.Table) -> pa.Table:
         cells = [table.column(c).to_pylist() for c in ("doc_id", "n_tokens", "source", "cluster")]
