@@ -1,16 +1,22 @@
 """Media columns: interleaved document sequences.
 
 A page's HTML becomes an ordered array of structs, text blocks and media references with their
-captions.  Payloads are stored once per digest as 8-bit grey PNG images, 64 samples a row, and a join on
-the digest resolves the references; a reference keeps its position and caption whether or not its
-payload is there.
+captions.  Payloads are 8-bit grey PNG images, 64 samples a row, in a binary column of a table in the shared
+folder, keyed by the digest of what they hold; a join on the digest resolves the references.  A reference
+keeps its position and caption whether or not its payload is there.
 
 A payload is the bytes of a text, filled with zeros to a positive multiple of 64.  Storing is lossless:
-what is described is what was read back from the stored form.
+what is described is what was read back from the table.
 
-Nulls: a null text is an empty payload, a null page an empty sequence.  Malformed HTML gives what could
-be read.  Repeated rows and equal texts share one stored payload and give repeated rows.  Empty tables
-give empty results.  Extra columns are ignored.
+At scale: a task stores a text once, so a common text is a few rows of the table; the digests that are
+referred to are made distinct, with map-side partial sums, before payloads are joined to them, and each
+payload is described once.  Descriptions are written, so that the join that hands them to all references
+stands alone and adaptive execution can split a common digest.
+
+Nulls: a null text is an empty payload, a null page an empty sequence, a null or foreign reference has no
+payload.  Malformed HTML gives what could be read; texts of any length are whole.  Repeated rows and equal
+texts share one stored payload and give repeated rows.  Empty tables give empty results.  Extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,10 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm._common import rows_of
+from strandline.llm._common import Scratch, rows_of
 
 #: Samples in a row of a stored image; payloads are multiples of it.
 ROW = 64
+#: Digests that a task remembers, so as to store a text once.
+REMEMBERED = 100_000
 PNG_HEAD = b"\x89PNG\r\n\x1a\n"
 MEDIA_TAGS = ("img", "video", "audio", "source", "embed")
 SILENT_TAGS = ("script", "style", "template", "noscript")
@@ -89,28 +97,52 @@ def feature(samples: bytes) -> str:
     return np.packbits(bits.ravel()).tobytes().hex()
 
 
-_STORE = pa.schema([("digest", pa.string()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("media", pa.binary())])
+_STORED = pa.schema([("digest", pa.string()), ("n_bytes", pa.int64()), ("media", pa.binary())])
+_DESCRIBED = pa.schema([("digest", pa.string()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
 
-def _describe(text: str | None, with_media: bool) -> tuple:
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    media = store(payload_of(raw))
-    back = read_back(media)
-    return (hashlib.sha256(raw).hexdigest(), len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ROW:]), len(media), hashlib.sha256(media).hexdigest(), feature(back), media if with_media else None)
+def _rows(made: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), schema.types, strict=True)], schema=schema)
 
 
-def store_texts(texts: DataFrame, text_col: str = "text", with_media: bool = True) -> DataFrame:
-    """One stored payload per distinct text: digest of the text, sizes, digests, feature, media (the PNG)."""
+def store_texts(texts: DataFrame, scratch: Scratch, text_col: str = "text") -> DataFrame:
+    """The table of payloads: digest of the text, its bytes, media (the PNG); a digest may have several equal rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
             for (cells,) in rows_of(batch, 64):
-                made = [_describe(t, with_media) for t in cells]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), _STORE.types, strict=True)], schema=_STORE)
+                made = []
+                for text in cells:
+                    raw = (text or "").encode("utf-8", "surrogatepass")
+                    digest = hashlib.sha256(raw)
+                    if digest.digest() not in seen:
+                        if len(seen) >= REMEMBERED:
+                            seen.clear()
+                        seen.add(digest.digest())
+                        made.append((digest.hexdigest(), len(raw), store(payload_of(raw))))
+                if made:
+                    yield _rows(made, _STORED)
+
+    return scratch.keep(texts.select(F.col(f"`{text_col}`")).mapInArrow(run, "digest string, n_bytes long, media binary"), "payloads")
+
+
+def describe(payloads: DataFrame) -> DataFrame:
+    """Stored payloads (digest, n_bytes, media) -> sizes, digests and feature of what is read back from each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for columns in rows_of(batch, 64):
+                made = []
+                for digest, n_bytes, media in zip(*columns, strict=True):
+                    back = read_back(media)
+                    if hashlib.sha256(back[:n_bytes]).hexdigest() != digest:
+                        raise ValueError("a payload is not what its digest says")
+                    made.append((digest, n_bytes, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ROW:]), len(media), hashlib.sha256(media).hexdigest(), feature(back)))
+                yield _rows(made, _DESCRIBED)
 
-    ddl = "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary"
-    rows = texts.select(text_col).mapInArrow(run, ddl)
-    return rows.groupBy("digest").agg(*[F.first(c).alias(c) for c in rows.columns if c != "digest"])
+    ddl = "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return payloads.select("digest", "n_bytes", "media").mapInArrow(run, ddl)
 
 
 # -- sequences -----------------------------------------------------------------------------------
@@ -201,18 +233,37 @@ def interleave(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
     return pages.select(id_col, html_col).mapInArrow(run, f"`{id_col}` {kind.simpleString()}, sequence {SEQUENCE}")
 
 
-def resolve(sequences: DataFrame, stored: DataFrame, id_col: str, prefix: str = "sha256:") -> DataFrame:
-    """One row per media reference: id, pos, kind, ref, caption, and the stored payload's columns (null if missing)."""
+def references(sequences: DataFrame, id_col: str, prefix: str = "sha256:") -> DataFrame:
+    """One row per media reference: id, pos, kind, ref, caption, digest (null if the reference names none)."""
     refs = sequences.select(id_col, F.explode("sequence").alias("x")).where("x.ref is not null").select(id_col, "x.pos", "x.kind", "x.ref", "x.caption")
-    wanted = refs.withColumn("digest", F.when(F.startswith("ref", F.lit(prefix)), F.substring("ref", len(prefix) + 1, 64)))
-    return wanted.join(stored, "digest", "left")
+    return refs.withColumn("digest", F.when(F.startswith("ref", F.lit(prefix)), F.substring("ref", len(prefix) + 1, 64)))
+
+
+def payloads_of(refs: DataFrame, stored: DataFrame) -> DataFrame:
+    """The stored payloads that are referred to, each once."""
+    wanted = refs.where("digest is not null").select("digest").distinct()
+    return wanted.join(stored.dropDuplicates(["digest"]), "digest")
+
+
+def resolve(refs: DataFrame, known: DataFrame) -> DataFrame:
+    """All references, with the columns of ``known`` (one row a digest: payloads or descriptions), null where there is none."""
+    return refs.join(known, "digest", "left")
+
+
+#: A reference that no payload answers, in every page that op9 makes.
+ABSENT = "thumbnail.png"
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each text of ``documents`` as a captioned media payload in a page of its own."""
+    """Each text of ``documents`` as a captioned media payload in a page of its own, between texts and beside an absent payload."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    digest = F.sha2(F.col("text").cast("binary"), 256)
-    page = F.concat(F.lit('<article><figure><img src="sha256:'), digest, F.lit('"><figcaption>Text of '), F.octet_length("text").cast("string"), F.lit(" bytes</figcaption></figure></article>"))
+    scratch = Scratch(spark, "media")
+    size, digest = F.octet_length("text").cast("string"), F.sha2(F.col("text").cast("binary"), 256)
+    page = F.concat(F.lit('<article><h1>A text</h1><figure><img src="sha256:'), digest, F.lit('"><figcaption>Text of '), size, F.lit(f' bytes</figcaption></figure><p>Its <img src="{ABSENT}" alt="small picture"> is not kept.</p></article>'))
     sequences = interleave(docs.select("doc_id", page.alias("html")), "doc_id")
-    found = resolve(sequences, store_texts(docs, with_media=False), "doc_id")
+    refs = scratch.keep(references(sequences, "doc_id"), "references")
+    stored = store_texts(docs, scratch)
+    known = scratch.keep(describe(payloads_of(refs, stored)), "descriptions")
+    scratch.drop(stored)
+    found = resolve(refs, known).where(F.col("ref") != ABSENT)
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")
