@@ -10,13 +10,16 @@ dropped from all of them but the one with the smallest id, which keeps it.
 
 At scale: lines are counted as 64-bit hashes with map-side partial sums before anything is shuffled, so
 a line that a third of all documents hold becomes one row per mapper; token positions are only opened
-for distinct masked lines of leaves that could recur; decisions come back by a join on the line's hash,
-which adaptive execution splits where a line is very common.
+for distinct masked lines of leaves that could recur, and only beyond the leading tokens, which all lines
+of a leaf share.  Counts are written before they are joined back, so that no aggregate sits under a join
+and adaptive execution can split a very common line, token or template.  What a document loses comes as a
+bitmap of its lines.
 
 Nulls: a null text has no lines and stays null; rows with a null id count for nothing and keep all their
 lines.  Blank lines are kept.  Rows that repeat an id count as one document if their texts are equal.
-An empty table gives an empty result.  Other columns pass through, except that the names this operator
-makes (``n_lines``, ``n_dropped``, and the text itself) replace input columns of those names.
+An empty table gives an empty result.  Other columns pass through, whatever their names, except that the
+names this operator makes (``n_lines``, ``n_dropped``, and the text itself) replace input columns of those
+names.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm._common import Scratch
+from strandline.llm._common import Scratch, shielded
 
 #: Blanks between tokens that aren't single spaces, and a token that holds a digit.
 ODD_BLANKS = r"[ \t\f\r\x0B]{2,}|[\t\f\r\x0B]"
@@ -50,6 +53,7 @@ def dedup_lines(docs: DataFrame, depth: int = 3, min_docs: int = 3, min_tokens:
     """The input's columns with recurring lines cut from ``text``, and ``n_lines`` and ``n_dropped``."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
+    columns, docs = docs.columns, shielded(docs, "doc_id", "text")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     # every line as hashes, parsed once; distinct masked lines with their documents
@@ -70,14 +74,15 @@ def dedup_lines(docs: DataFrame, depth: int = 3, min_docs: int = 3, min_tokens:
     text_of = found.join(opened.select("h"), "h", "left_semi").groupBy("h").agg(F.first("shape").alias("shape"))
     placed = scratch.keep(opened.join(text_of, "h").select("h", "leaf", "docs", "first_doc", "shape"), "placed")
 
-    # constants and variable fields by position
-    cells = placed.select("h", "leaf", "docs", "first_doc", F.posexplode(F.split("shape", " ")).alias("at", "token"))
-    often = cells.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("have")).where(F.col("have") >= min_docs)
+    # constants and variable fields by position; the leading tokens are constant in all of a leaf
+    token = F.split("shape", " ")
+    lead = F.size(F.filter(F.slice(token, 1, depth), lambda x: x != WILD))
+    cells = placed.select("h", "leaf", "docs", "first_doc", F.size(token).alias("n"), lead.alias("lead"), F.posexplode_outer(F.slice(token, depth + 1, 1 << 30)).alias("at", "token"))
+    often = scratch.keep(cells.where("at is not null").groupBy("leaf", "at", "token").agg(F.sum("docs").alias("have")).where(F.col("have") >= min_docs), "often")
     marked = cells.join(often, ["leaf", "at", "token"], "left").withColumn("const", F.col("have").isNotNull() & (F.col("token") != WILD))
     # the template as an order-free sum of the hashes of its constants: no line's tokens need to meet in order
-    sums = marked.groupBy("h", "leaf", "docs", "first_doc").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.col("const").cast("long")).alias("n_const"),
+    sums = marked.groupBy("h", "leaf", "docs", "first_doc", "n").agg(
+        (F.max("lead") + F.sum(F.coalesce("const", F.lit(False)).cast("long"))).alias("n_const"),
         F.sum(F.when(F.col("const"), F.xxhash64("at", "token").cast("decimal(38,0)"))).alias("s1"),
         F.sum(F.when(F.col("const"), F.xxhash64("token", "at", F.lit(1)).cast("decimal(38,0)"))).alias("s2"),
     )
@@ -89,24 +94,22 @@ def dedup_lines(docs: DataFrame, depth: int = 3, min_docs: int = 3, min_tokens:
     member = scratch.keep(all_shapes.select("h", "template").join(by_template, "template"), "members")
     hits = scratch.keep(hashed.join(member, "h").select("doc_id", "version", "line_no", "template", "n", "first_of"), "hits")
     several = hits.where("n > 1").groupBy("template", "doc_id").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count(F.lit(1)).alias("real"))
-    few = several.where(F.col("real") < min_docs).select("template")
+    few = scratch.keep(several.where(F.col("real") < min_docs).select("template"), "few")
     gone = hits.where("doc_id > first_of").join(few, "template", "left_anti")
-    drops = scratch.keep(gone.groupBy("doc_id", "version").agg(F.collect_set("line_no").alias("gone")), "drops")
+    words = gone.groupBy("doc_id", "version", F.floor(F.col("line_no") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(line_no % 64 as int))")).alias("bits"))
+    of_doc = words.groupBy("doc_id", "version").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words"), F.max("word").alias("last"), F.sum(F.bit_count("bits")).cast("long").alias("lost"))
+    dense = F.transform(F.sequence(F.lit(0).cast("long"), F.col("last")), lambda w: F.coalesce(F.try_element_at("words", w), F.lit(0).cast("long")))
+    drops = scratch.keep(of_doc.select("doc_id", "version", dense.alias("gone"), "lost"), "drops")
 
     key = docs.withColumns({"__doc": F.col("doc_id").cast("long"), "__version": F.xxhash64("text")})
-    joined = key.join(drops.toDF("__d", "__v", "__gone"), (F.col("__doc") == F.col("__d")) & (F.col("__version") == F.col("__v")), "left")
+    joined = key.join(drops.toDF("__d", "__v", "__gone", "__lost"), (F.col("__doc") == F.col("__d")) & (F.col("__version") == F.col("__v")), "left")
     zero = F.lit(0).cast("long")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: F.getbit(F.coalesce(F.get("__gone", F.floor(i / 64).cast("int")), zero), i % 64) == 0), "\n")
     count = (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
-    out = joined.withColumns(
-        {
-            "__text": F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept),
-            "__n": F.coalesce(count, zero),
-            "__lost": F.when(F.col("__gone").isNull(), zero).otherwise(F.size("__gone").cast("long")),
-        }
-    )
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return out.select(*[F.col("__text").alias("text") if c == "text" else F.col(c) for c in names], F.col("__n").alias("n_lines"), F.col("__lost").alias("n_dropped"))
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)
+    own = {i: c for i, c in enumerate(columns) if c.lower() not in ("n_lines", "n_dropped")}
+    named = [text.alias("text") if c == "text" else F.col("doc_id" if c == "doc_id" else f"__c{i}").alias(c) for i, c in own.items()]
+    return joined.select(*named, F.coalesce(count, zero).alias("n_lines"), F.coalesce("__lost", zero).alias("n_dropped"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
