@@ -45,12 +45,16 @@ def _checksum(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31)))).first())
 
 
-def _stars(edges: DataFrame) -> DataFrame:
-    """A large-star and a small-star step; links point from the larger node to the smaller."""
+def _stars(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """A large-star and a small-star step; links point from the larger node to the smaller.
+
+    Each node's least neighbour is written before it is joined back: no aggregate sits under the join, and
+    adaptive execution can split a node with very many links.
+    """
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")).select("n", F.least("n", "m").alias("m"))
-    large = edges.join(least, edges.b == least.n).select("a", F.col("m").alias("b")).where("a <> b").distinct()
-    low = large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
+    least = scratch.keep(both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")).select("n", F.least("n", "m").alias("m")), "least")
+    large = scratch.keep(edges.join(least, edges.b == least.n).select("a", F.col("m").alias("b")).where("a <> b").distinct(), "large")
+    low = scratch.keep(large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")), "low")
     moved = large.join(low, large.a == low.n).select(F.explode(F.array(F.col("b"), F.col("a"))).alias("a"), F.col("m").alias("b"))
     return moved.where("a <> b").distinct()
 
@@ -68,7 +72,7 @@ def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
             break
         seen, parts = now, 1 + now[0] // PART
         contracted = edges.repartition(parts).mapInArrow(_contract, "a long, b long")
-        after = scratch.keep(contracted if parts == 1 else _stars(scratch.keep(contracted.distinct(), "parts")), "edges")
+        after = scratch.keep(contracted if parts == 1 else _stars(scratch.keep(contracted.distinct(), "parts"), scratch), "edges")
         scratch.drop(edges)
         edges = after
         if parts == 1:

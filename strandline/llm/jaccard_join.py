@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm._common import Scratch, WordHasher, by_bucket, grouped, ints, is_empty, packed, rows_of, windows, words_of
+from strandline.llm._common import Scratch, WordHasher, by_bucket, grouped, ints, is_empty, packed, rows_of, salted, windows, words_of
 from strandline.llm.components import connected_components
 
 #: Shingles in one bucket of a packed shuffle, about.
@@ -415,7 +415,7 @@ def tiles_of(members: DataFrame, key: str, num: int, den: int, *carry: str) -> D
     number = lambda band, part: F.col(band) * (1 << 32) + F.col(part)
     fits = blocks.join(other, (F.col(key) == F.col("k2")) & meets).select(key, number("band", "part").alias("i"), number("band2", "part2").alias("j"))
     sides = fits.select(key, "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    placed = large.join(parts, [key, "band"]).withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts"))).withColumn("block", number("band", "part"))
+    placed = salted(large, parts, [key, "band"], "doc").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts"))).withColumn("block", number("band", "part"))
     wide = placed.join(sides, [key, "block"]).select(key, "i", "j", "block", *carry)
     return small.unionAll(wide).repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
 
@@ -453,7 +453,7 @@ def similar_texts(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     members = runs.mapInArrow(_open_docs, "run long, doc long").join(comps, F.col("doc") == F.col("node"), "left").select("run", "doc", F.coalesce("component", "doc").alias("comp"))
     members = scratch.keep(members, "members")
     split = members.groupBy("run").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("run", "size")
-    opened = members.join(split, "run").join(reps.select("doc", "n", "bits"), "doc")
+    opened = salted(members, split, ["run"], "doc").join(reps.select("doc", "n", "bits"), "doc")
     may_join = scratch.keep(tiles_of(opened, "run", num, den, "n", "comp", "bits").mapInArrow(_family_tiles(num, den), "a long, b long").distinct(), "families")
     if not is_empty(may_join):
         family = scratch.keep(connected_components(may_join, scratch), "families").toDF("comp", "family")
