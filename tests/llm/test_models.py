@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.llm import ann_forest, byte_bpe, char_grams, chat, language_id, media, toxicity
+from strandline.llm._common import Scratch
 
 PUBLIC = pytest.importorskip("public_tokenizers")
 tiktoken = pytest.importorskip("tiktoken")
@@ -93,6 +94,58 @@ def test_toxicity_learns(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got.values())
 
 
+def test_toxicity_fit_matches_plain(spark):
+    """Log-count ratios and the logistic fit, from sets of n-grams and dense matrices."""
+    rng = random.Random(21)
+    rows = []
+    for i in range(120):
+        bad = i % 3 == 0
+        rows.append((i, " ".join(rng.choice(["abra", "kadabra", "simsala", "bim", "alakazam"] if bad else ["tree", "house", "river", "abra", "garden", "stone"]) for _ in range(6)), int(bad)))
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    held = [set(char_grams.grams(t, toxicity.ORDERS, toxicity.BITS).tolist()) for _, t, _ in rows]
+    y = np.array([t for *_, t in rows])
+    weigh = {}
+    for f in set().union(*held):
+        have = [sum(f in h for h, t in zip(held, y, strict=True) if t == c) for c in (0, 1)]
+        ratio = np.log((have[1] + 1) / (y.sum() + 2)) - np.log((have[0] + 1) / ((1 - y).sum() + 2))
+        if sum(have) >= toxicity.MIN_DOCS and abs(ratio) >= toxicity.MIN_RATIO:
+            weigh[f] = ratio
+    assert set(np.flatnonzero(model.weights).tolist()) == set(weigh)
+    features = sorted(weigh)
+    x = np.array([[weigh[f] * (f in h) for f in features] for h in held])
+    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    w, b = np.array([model.weights[f] / weigh[f] for f in features], float), model.bias
+    # the gradient of the penalised loss is small at the fit, against its size at the start
+    p = 1 / (1 + np.exp(-(x @ w + b)))
+    grad = x.T @ ((p - y) * weight) + toxicity.L2 * w
+    assert np.abs(grad).max() < 0.02 * np.abs(x.T @ ((0.5 - y) * weight)).max()
+    for (_, text, _), score in zip(rows, p, strict=True):
+        assert abs(model.score(text) - score) < 1e-4
+
+
+def test_toxicity_learns_repeats_once(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "FIT_DOCS", 30)
+    seen = []
+    plain = toxicity.logistic
+    monkeypatch.setattr(toxicity, "logistic", lambda starts, f, v, y, size: seen.append((int(y.sum()), len(y))) or plain(starts, f, v, y, size))
+    rows = [(1, "bad words here", 1)] * 50 + [(i, f"good words number {i} there", 0) for i in range(100, 300)] + [(1, "bad words here", 0)] * 20 + [(2, "worse words", 1), (2, "other worse words", 1)]
+    toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    assert seen == [(3, 33)]
+
+
+def test_columns_that_clash(spark):
+    """Kept columns may have any name; what an operator makes replaces columns of its names."""
+    df = spark.createDataFrame([(7, "some words", "mine", "k", 3, "v")], "doc_id long, text string, score string, __text string, `a.b` int, ids string")
+    tox = toxicity.fit(df.select("doc_id", "text", F.lit(None).cast("int").alias("toxic")))
+    got = toxicity.score_texts(df, tox, keep=tuple(df.columns))
+    assert got.columns == ["doc_id", "text", "__text", "a.b", "ids", "score", "predicted"] and [tuple(r)[:5] for r in got.collect()] == [(7, "some words", "k", 3, "v")]
+    lang = language_id.fit(df.select("doc_id", "text", F.lit("en").alias("lang")))
+    got = language_id.predict(df, lang, keep=tuple(df.columns))
+    assert [tuple(r) for r in got.collect()] == [(7, "some words", "k", 3, "v", "en", 1.0)]
+    got = byte_bpe.encode_texts(df, PUBLIC.path("byte_bpe_multi_50k.tiktoken"), PUBLIC.PATTERN, keep=tuple(df.columns))
+    assert got.columns == ["doc_id", "text", "score", "__text", "a.b", "ids", "n_tokens", "ids_sha256", "decoded_sha256"] and got.first()["ids"] != "v"
+
+
 def test_toxicity_edges(spark):
     df = spark.createDataFrame([(1, None, 1, "a"), (2, "", 0, "b"), (2, "", 0, "b"), (None, "x", 1, "c"), (4, "w " * 100_000, None, "d")], "doc_id long, text string, toxic int, score string")
     model = toxicity.fit(df)
@@ -117,6 +170,79 @@ def test_language_learns(spark):
     assert (model.weights == 0).mean() > 0.5 and 0.01 < model.temperature < 25
 
 
+def plain_tf_idf(text, df, n):
+    got = char_grams.grams(text, language_id.ORDERS, language_id.BITS).tolist()
+    x = {b: (1 + np.log(got.count(b))) * (np.log((1 + n) / (1 + df.get(b, 0))) + 1) for b in set(got)}
+    size = sum(v * v for v in x.values()) ** 0.5
+    return {b: v / size for b, v in x.items()}
+
+
+def test_tf_idf_matches_plain():
+    texts = ["ein haus", "ein baum am haus", "a house", "a tree by the house", ""]
+    df = {}
+    for t in texts:
+        for b in set(char_grams.grams(t, language_id.ORDERS, language_id.BITS).tolist()):
+            df[b] = df.get(b, 0) + 1
+    idf = np.log((1 + len(texts)) / (1 + np.array([df.get(b, 0) for b in range(1 << language_id.BITS)]))) + 1
+    for t in texts:
+        at, x = language_id.tf_idf(t, idf)
+        want = plain_tf_idf(t, df, len(texts)) if t else {}
+        assert at.tolist() == sorted(want) and np.allclose(x, [want[b] for b in at.tolist()])
+
+
+def test_ftrl_matches_plain():
+    """Each coordinate by the textbook update, one at a time."""
+    rng = np.random.default_rng(7)
+    size, classes, rows, y = 12, 3, [], rng.integers(0, 3, 40)
+    for c in y.tolist():
+        at = np.unique(np.r_[rng.integers(0, size, 4), c])
+        rows.append((at, rng.random(len(at))))
+    z, n = {}, {}
+
+    def weight(i, c):
+        zz = z.get((i, c), 0.0)
+        l1, l2 = (language_id.L1, language_id.L2) if i >= 0 else (0.0, 0.0)
+        return 0.0 if abs(zz) <= l1 else -(zz - np.sign(zz) * l1) / ((language_id.BETA + n.get((i, c), 0.0) ** 0.5) / language_id.ALPHA + l2)
+
+    order = np.random.default_rng(0)
+    for _ in range(language_id.PASSES):
+        for r in order.permutation(len(y)).tolist():
+            at, x = [*rows[r][0].tolist(), -1], [*rows[r][1].tolist(), 1.0]
+            old = {(i, c): weight(i, c) for i in at for c in range(classes)}
+            logit = np.array([sum(old[i, c] * v for i, v in zip(at, x, strict=True)) for c in range(classes)])
+            p = np.exp(logit - logit.max()) / np.exp(logit - logit.max()).sum()
+            for c in range(classes):
+                for i, v in zip(at, x, strict=True):
+                    g = (p[c] - (c == y[r])) * v
+                    was = n.get((i, c), 0.0)
+                    z[i, c] = z.get((i, c), 0.0) + g - ((was + g * g) ** 0.5 - was**0.5) / language_id.ALPHA * old[i, c]
+                    n[i, c] = was + g * g
+    w, b = language_id.ftrl(rows, y, classes, size)
+    assert np.allclose(w, [[weight(i, c) for c in range(classes)] for i in range(size)]) and np.allclose(b, [weight(-1, c) for c in range(classes)])
+
+
+def test_language_samples(spark, monkeypatch):
+    """Repeats are in the sample once, an id's languages each, and many languages share the bound."""
+    seen = []
+    plain = language_id.ftrl
+    monkeypatch.setattr(language_id, "ftrl", lambda rows, y, classes, size: seen.append((np.bincount(y, minlength=classes).tolist())) or plain(rows, y, classes, size))
+    monkeypatch.setattr(language_id, "FIT_ALL", 12)
+    rows = [(1, "guten tag", "de")] * 40 + [(1, "guten tag", "nl"), (2, "goede dag", "nl")] + [(i, f"hello number {i}", "en") for i in range(10, 60)] + [(1000 + i, "x y z", f"l{i}") for i in range(3)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == ["de", "en", "l0", "l1", "l2", "nl"] and seen == [[1, 2, 1, 1, 1, 2]]
+    many = [(i, f"text {i}", f"tongue{i:04d}") for i in range(600)]
+    assert len(language_id.fit(spark.createDataFrame(many, "doc_id long, text string, lang string")).langs) == 600
+
+
+def test_language_of_very_long_texts(spark):
+    rng = random.Random(4)
+    make = lambda parts, n: " ".join("".join(rng.choice(parts.split()) for _ in range(2)) for _ in range(n))
+    rows = [(i, make("th er on he in", 20), "aa") for i in range(40)] + [(100 + i, make("sch ei ung der", 20), "bb") for i in range(40)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    long = spark.createDataFrame([(1, make("th er on he in", 200_000)), (1, make("sch ei ung der", 200_000))], "doc_id long, text string")
+    assert sorted(r.lang_pred for r in language_id.predict(long, model).collect()) == ["aa", "bb"]
+
+
 def test_language_edges(spark):
     df = spark.createDataFrame([(1, "Hallo", "de"), (2, None, "de"), (3, "123 !!", None), (None, "x", "fr"), (4, "", None)], "doc_id long, text string, lang string")
     got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(df, language_id.fit(df)).collect()}
@@ -173,6 +299,81 @@ def test_nearest_recall(spark):
     assert np.mean([len(got[q] & {j for _, j in w}) / 20 for q, w in want.items()]) >= 0.9
 
 
+def test_nearest_of_many_ties(spark, monkeypatch):
+    """Hundreds of distinct vectors with equal scores: the smallest ids of all that tie."""
+    monkeypatch.setattr(ann_forest, "TARGET_RECALL", 1.1)
+    monkeypatch.setattr(ann_forest, "LEAF", 64)
+    rng = random.Random(5)
+    rows = [(0, [1.0] + [0.0] * 7, "x", 1)]
+    ids = list(range(1, 900))
+    rng.shuffle(ids)
+    rows += [(i, [1.0 if n % 3 else -1.0, *[float(rng.randrange(-50, 50)) for _ in range(7)]], "y", n) for n, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, query string, ids int")
+    want = _exact([r[:2] for r in rows], 20)
+    got = {}
+    for r in ann_forest.nearest(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {q: [j for _, j in w] for q, w in want.items()}
+    assert got[0] == sorted(i for n, i in enumerate(ids) if n % 3)[:20]
+
+
+def _clustered(n, rng):
+    """64-dimensional vectors around one centre for every 40."""
+    centres = rng.normal(0, 1, (max(1, n // 40), 64))
+    return (centres[rng.integers(0, len(centres), n)] + rng.normal(0, 0.25, (n, 64))).astype(np.float32)
+
+
+def _nearest(x, queries, k):
+    out = []
+    for i in queries:
+        score = x @ x[i]
+        score[i] = -np.inf
+        out.append(np.argpartition(-score, k)[:k])
+    return out
+
+
+def test_forest_at_two_sizes():
+    """Recall holds, the share of the vectors that a query is compared with falls with their number, and the forest stays small."""
+    rng, compared = np.random.default_rng(9), []
+    for n in (8_000, 64_000):
+        x = _clustered(n, rng).astype(float)
+        forest = ann_forest.grow(x[:4_000], float(np.sqrt((x * x).sum(axis=1).max())), n)
+        assert forest.depth == int(np.ceil(np.log2(n / ann_forest.LEAF))) and forest.planes.nbytes + forest.cuts.nbytes + forest.deep.nbytes < 2_000_000
+        forest.leaves = ann_forest.calibrated(forest, x[:256], [x[near] for near in _nearest(x, range(256), 20)])
+        where, hits, work = forest.leaf_of(x), [], []
+        for i, near in zip(range(5_000, 5_100), _nearest(x, range(5_000, 5_100), 20), strict=True):
+            taken = np.zeros(n, bool)
+            for t, leaf in forest.search(x[i], forest.leaves):
+                taken |= where[:, t] == leaf
+            hits.append(taken[near].mean())
+            work.append(taken.sum())
+        assert np.mean(hits) >= 0.9
+        compared.append(np.mean(work))
+    assert compared[1] / 64_000 < 0.6 * compared[0] / 8_000, compared
+
+
+def test_nearest_of_probes(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(0, 1, (500, 8))
+    df = spark.createDataFrame([(v.tobytes(),) for v in x], "vec binary").repartition(3)
+    for got, want in zip(ann_forest.nearest_of(df, x[:7], 5), _nearest(x, range(7), 5), strict=True):
+        assert sorted(map(tuple, got)) == sorted(map(tuple, x[want]))
+    assert [len(v) for v in ann_forest.nearest_of(df.limit(2), x[:1], 5)] in ([1], [2])
+
+
+def test_deep_nodes_split_evenly():
+    """Beyond the levels that the sample can fit, leaves stay near their size."""
+    rng = np.random.default_rng(2)
+    x = _clustered(60_000, rng).astype(float)
+    forest = ann_forest.grow(x[:600], float(np.sqrt((x * x).sum(axis=1).max())), len(x))
+    assert forest.depth > forest.upper > 0
+    where = forest.leaf_of(x)
+    for t in range(ann_forest.TREES):
+        assert np.bincount(where[:, t]).max() < 20 * len(x) / forest.first_leaf
+    walked = forest.search(x[0], ann_forest.TREES * forest.first_leaf)
+    assert len(walked) == len(set(walked)) == ann_forest.TREES * forest.first_leaf
+
+
 def test_nearest_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5])], "vec_id long, embedding array<float>")
     got = ann_forest.nearest(df, F.col("vec_id") % 20 == 0).orderBy("rank").collect()
@@ -208,13 +409,66 @@ def test_sequences_keep_order_and_captions():
 def test_media_resolve(spark):
     text = "Grüße"
     digest = hashlib.sha256(text.encode()).hexdigest()
-    pages = spark.createDataFrame([(1, f"<p>a</p><img src='sha256:{digest}' alt='c'><img src='sha256:00'>"), (2, None)], "page_id long, html string")
-    stored = media.store_texts(spark.createDataFrame([(text,), (text,), (None,), ("",)], "text string"))
-    assert stored.count() == 2
-    rows = sorted(media.resolve(media.interleave(pages), stored, "page_id").collect(), key=lambda r: r.pos)
-    assert [(r.pos, r.caption, r.n_bytes) for r in rows] == [(1, "c", 7), (2, None, None)]
-    back = media.read_back(bytes(rows[0].media))
-    assert back == media.payload_of(text.encode()) and rows[0].payload_sha256 == hashlib.sha256(back).hexdigest() and rows[0].tail_crc32 == zlib.crc32(back[-64:])
+    pages = spark.createDataFrame([(1, f"<p>a</p><img src='sha256:{digest}' alt='c'><img src='sha256:00'>"), (2, None), (3, f"<video src='sha256:{digest}'></video>")], "page_id long, html string")
+    stored = media.store_texts(spark.createDataFrame([(text,), (text,), (None,), ("",)], "text string"), Scratch(spark, "t"))
+    assert stored.select("digest").distinct().count() == 2
+    refs = media.references(media.interleave(pages), "page_id")
+    found = media.payloads_of(refs, stored)
+    assert found.count() == 1 and media.read_back(bytes(found.first().media)) == media.payload_of(text.encode())
+    rows = sorted(media.resolve(refs, media.describe(found)).collect(), key=lambda r: (r.page_id, r.pos))
+    assert [(r.page_id, r.pos, r.kind, r.caption, r.n_bytes) for r in rows] == [(1, 1, "img", "c", 7), (1, 2, "img", None, None), (3, 0, "video", None, 7)]
+    back = media.payload_of(text.encode())
+    assert rows[0].payload_sha256 == hashlib.sha256(back).hexdigest() and rows[0].tail_crc32 == zlib.crc32(back[-64:])
+    assert media.resolve(refs, found).where("media is not null").count() == 2
+
+
+def test_sequences_of_real_pages(spark):
+    """Blocks of the given pages in order: what is left of the source when tags go, blanks aside."""
+    import html as entities
+    import re
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {r.page_id: r.sequence for r in media.interleave(pages.withColumn("sequence", F.lit(1))).collect()}
+    assert len(got) == pages.count()
+    for r in pages.collect():
+        bare = re.sub(r"(?s)<!--.*?-->|<(script|style)\b.*?</\1>|<!DOCTYPE[^>]*>", " ", r.html)
+        said = entities.unescape(re.sub(r"<[^>]*>", " ", bare)).split()
+        assert " ".join(x.text for x in got[r.page_id] if x.text).split() == said
+        assert [x.pos for x in got[r.page_id]] == list(range(len(got[r.page_id])))
+
+
+def test_op9_matches_plain(spark, tmp_path):
+    """The whole query: nulls, empty, very long, repeated texts, repeated ids, clashing columns."""
+    rng = random.Random(14)
+    texts = [None, "", "\0", "a\0", "x" * 63, "y" * 64, "z" * 65, "Grüße", "Grüße", "hot", "hot", "hot", "".join(chr(rng.randrange(32, 1000)) for _ in range(400_000))]
+    rows = [(i, t, "d", 1) for i, t in enumerate(texts)] + [(3, "again", "d", 2), (None, "no id", "d", 3)]
+    schema = "doc_id long, text string, digest string, pos int"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+
+    def plain_feature(samples):
+        image = np.frombuffer(samples, np.uint8).reshape(-1, 64).astype(int)
+        n, bits = len(image), ""
+        for i in range(8):
+            a, b = i * n // 8, max(i * n // 8 + 1, (i + 1) * n // 8)
+            for j in range(8):
+                field = image[a:b, j * 8 : j * 8 + 8]
+                bits += "1" if int(field.sum()) * image.size > int(image.sum()) * field.size else "0"
+        return f"{int(bits, 2):016x}"
+
+    want = []
+    for doc, text, *_ in rows:
+        raw = (text or "").encode()
+        payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        want.append((doc, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), plain_feature(payload), 1, f"Text of {len(raw)} bytes"))
+    got = media.op9_media_columns(spark, str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.feature, r.pos, r.caption) for r in got), key=str) == sorted(want, key=str)
+    stored = {r.payload_sha256: (r.media_bytes, r.media_sha256) for r in got}
+    for doc, text, *_ in rows:
+        payload = media.payload_of((text or "").encode())
+        form = media.store(payload)
+        assert stored[hashlib.sha256(payload).hexdigest()] == (len(form), hashlib.sha256(form).hexdigest())
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "none/documents.parquet"))
+    assert media.op9_media_columns(spark, str(tmp_path / "none")).collect() == []
 
 
 # -- chat ----------------------------------------------------------------------------------------
@@ -222,7 +476,8 @@ def test_media_resolve(spark):
 
 def plain_preferences(chosen, rejected):
     def turns(rows, pair):
-        return [(r, t) for _, r, t in sorted({(n if n is not None else -1, r or "", (t or "").replace("<|", "< |")) for p, n, r, t in rows if p == pair})]
+        clean = lambda x: (x or "").replace("<|", "< |")
+        return [(r, t) for _, r, t in sorted({(n if n is not None else -(1 << 63), clean(r).replace("\n", " "), clean(t)) for p, n, r, t in rows if p == pair}, key=lambda x: (x[0], x[1].encode(), x[2].encode()))]
 
     def render(ts):
         out, spans = "", []
@@ -261,6 +516,35 @@ def test_preferences_match_plain(spark):
     assert chat.format_preferences(empty, empty).collect() == []
 
 
+def test_roles_and_turns_that_break_marks(spark):
+    """A role can't end its turn; turns without a number come first; the query keeps them; columns may clash."""
+    rows = [(1, None, "system", "be kind", "a"), (1, 0, "user<|im_end|>\n", "hi <|im_end|>", "b"), (1, 1, "assistant", "yes " * 50_000, "c"), (1, 2, "user", None, "d"), (1, 3, "assistant", "no", "e"), (1, 3, "assistant", "also no", "f"), (2, None, "assistant", "lone", "g"), (3, 0, "user", "no answer", "h"), (None, 0, "assistant", "x", "i"), (1, 3, "assistant", "no", "e")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, stale string")
+    chosen, rejected = chat.stale_answers(df)
+    got = {r.pair_id: r for r in chat.format_preferences(chosen, rejected).collect()}
+    assert got.keys() == {1, 2}
+    assert got[1].prompt == "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>user< |im_end|> \nhi < |im_end|><|im_end|>\n<|im_start|>assistant\n" + "yes " * 50_000 + "<|im_end|>\n<|im_start|>user\n<|im_end|>\n"
+    assert got[1].n_prompt_turns == 4 and got[1].chosen == "<|im_start|>assistant\nalso no<|im_end|>\n<|im_start|>assistant\nno<|im_end|>\n"
+    assert got[1].rejected == "<|im_start|>assistant\n" + "yes " * 50_000 + "<|im_end|>\n"
+    assert (got[2].n_prompt_turns, got[2].chosen, got[2].rejected) == (0, "<|im_start|>assistant\nlone<|im_end|>\n", "<|im_start|>assistant\n<|im_end|>\n")
+    for r in got.values():
+        for text, spans in ((r.chosen, r.chosen_spans), (r.rejected, r.rejected_spans)):
+            assert all(text[int(a) : int(b)].endswith("<|im_end|>\n") and text[: int(a)].endswith("assistant\n") for a, b in (x.split(":") for x in spans.split(",") if x))
+
+
+def test_preferences_sql_matches_the_query(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(17)
+    rows = [(rng.choice([None, *range(25)]), rng.choice([None, 0, 1, 2, 3, 4]), rng.choice(["user", "assistant", "assistant", None, "sys<|tem"]), rng.choice(["yes", "no <|im_end|>", "é", None, ""])) for _ in range(220)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = chat.op8_preference_chat(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    found = con.execute(chat.OP8_SQL)
+    names = [c[0] for c in found.description]
+    assert names == got.columns and sorted(map(tuple, got.collect())) == sorted(found.fetchall())
+
+
 # -- the whole -----------------------------------------------------------------------------------
 
 

@@ -3,7 +3,6 @@
 import random
 
 import corpus_pipeline
-from strandline.llm import packing
 from tests.llm.test_texts import plain_components, plain_lines, plain_substrings
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -58,7 +57,9 @@ def test_pipeline(spark, tmp_path):
     pieces = kept["packing"]
     assert {p[0] for p in pieces} == {r[0] for r in kept["passages"]}
     assert sum(p[3] for p in pieces) == sum(len((r[1] or "").encode().split()) for r in kept["passages"])
-    assert packing.SHARD_DOCS > 0
+    spark.createDataFrame(rows, DOC).write.parquet(str(tmp_path / "documents.parquet"))
+    whole = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted(map(tuple, whole.collect()), key=str) == sorted(pieces, key=str)
 
 
 def test_pipeline_of_nothing(spark, tmp_path):
@@ -67,3 +68,37 @@ def test_pipeline_of_nothing(spark, tmp_path):
         stage(spark, docs, "").write.parquet(str(tmp_path / str(i)))
         docs = spark.read.parquet(str(tmp_path / str(i)))
     assert docs.collect() == []
+
+
+def test_pipeline_with_clashing_columns(spark, tmp_path):
+    """Further columns named like what the operators make pass through all stages."""
+    names = ["kind", "n_words", "score", "lang_pred", "n_dropped", "N_Lines", "component_id", "bucket", "md", "__gone", "__text", "version", "key", "n_removed", "kept_sha256", "__c0", "doc", "run", "h"]
+    rows = corpus()
+    plain = spark.createDataFrame(rows, DOC)
+    wide = spark.createDataFrame([(*r, *[f"{n} {r[0]}" for n in names]) for r in rows], DOC + "".join(f", `{n}` string" for n in names))
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, plain, "").write.parquet(str(tmp_path / f"plain{i}"))
+        stage(spark, wide, "").write.parquet(str(tmp_path / f"wide{i}"))
+        plain, wide = spark.read.parquet(str(tmp_path / f"plain{i}")), spark.read.parquet(str(tmp_path / f"wide{i}"))
+        if name != "packing":
+            assert wide.columns == ["doc_id", "text", "lang", "source", "n_chars", *names]
+            assert all(list(r)[5:] == [f"{n} {r[0]}" for n in names] for r in wide.collect())
+        assert sorted(map(str, plain.collect())) == sorted(str(r) for r in wide.select(plain.columns).collect())
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Null, repeated and very long rows: whole, in order, and without a crash."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 8))) for _ in range(20_000)]
+    long = " ".join(rng.choice(words) for _ in range(60_000))
+    rows = [(1, long, "en", "a", len(long)), (2, None, None, None, None), (3, "", "en", "a", 0), (4, "words of some text here", "en", "a", 5), (4, "words of some text here", "en", "a", 5), (None, "words of no id at all", "en", None, 9)]
+    docs = spark.createDataFrame(rows, DOC)
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, "").write.parquet(str(tmp_path / str(i)))
+        docs = spark.read.parquet(str(tmp_path / str(i)))
+        if name != "packing":
+            assert sorted((r.doc_id or 0 for r in docs.collect())) == [0, 1, 4, 4]
+    by_doc = {}
+    for r in docs.collect():
+        by_doc[r.doc_id] = by_doc.get(r.doc_id, 0) + r.length
+    assert by_doc == {1: 60_000, 4: 10, None: 6}

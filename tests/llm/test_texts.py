@@ -81,6 +81,37 @@ def test_substrings_edges(spark):
     assert substring_dedup.dedup_substrings(df.limit(0)).collect() == []
 
 
+def test_substrings_of_hot_windows(spark, monkeypatch):
+    """A passage that all documents hold, in stretches and buckets of a few entries."""
+    monkeypatch.setattr(substring_dedup, "FLUSH", 40)
+    monkeypatch.setattr(substring_dedup, "HELD", 25)
+    monkeypatch.setattr(substring_dedup, "PER_BUCKET", 60)
+    rng = random.Random(8)
+    hot = " ".join(f"h{i}" for i in range(18))
+    rows = [(i * 2, " ".join([*[f"w{rng.randrange(50)}" for _ in range(rng.randint(0, 9))], hot, *[f"w{rng.randrange(3)}" for _ in range(rng.randint(0, 20))], *([hot] if i % 5 == 0 else [])])) for i in range(150)]
+    rng.shuffle(rows)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_substrings(rows)
+
+
+def test_settle_keeps_the_least_document():
+    h, doc, pos = np.array([5, 5, 7, 5, 9, 9], np.uint64), np.array([3, 1, 2, 1, 4, 4]), np.array([0, 2, 4, 6, 8, 9], np.int32)
+    (d, p), on = substring_dedup.settle(h, doc, pos, False)
+    assert list(zip(d, p, strict=True)) == [(3, 0)] and sorted(zip(*map(np.ndarray.tolist, on), strict=True)) == [(5, 1, 2), (5, 1, 6), (7, 2, 4), (9, 4, 8), (9, 4, 9)]
+    (d, p), on = substring_dedup.settle(h, doc, pos, True)
+    assert sorted(zip(d.tolist(), p.tolist(), strict=True)) == [(1, 2), (1, 6), (3, 0)] and sorted(zip(*map(np.ndarray.tolist, on), strict=True)) == [(5, 1, -1), (7, 2, 4), (9, 4, 8), (9, 4, 9)]
+    (d, p), _ = substring_dedup.settle(np.array([5, 5], np.uint64), np.array([1, 1]), np.array([-1, 3], np.int32), True)
+    assert (d.tolist(), p.tolist()) == ([1], [3])
+    assert all(len(x) == 0 for part in substring_dedup.settle(h[:0], doc[:0], pos[:0], True) for x in part)
+
+
+def test_substrings_pass_clashing_columns(spark):
+    text = " ".join(f"w{i}" for i in range(15))
+    df = spark.createDataFrame([(1, text, "k1", 5, "b1", "x"), (2, text, "k2", 6, "b2", "y")], "doc_id long, text string, kind string, n_words int, bucket string, __x0 string")
+    got = sorted(substring_dedup.dedup_substrings(df, 13, ("kind", "n_words", "bucket", "__x0")).drop("kept_sha256").collect())
+    assert [r.asDict() for r in got] == [{"doc_id": 1, "text": text, "n_words": 15, "n_removed": 0, "kind": "k1", "bucket": "b1", "__x0": "x"}, {"doc_id": 2, "text": "", "n_words": 15, "n_removed": 15, "kind": "k2", "bucket": "b2", "__x0": "y"}]
+
+
 def test_cut_text_keeps_layout():
     assert substring_dedup.cut_text(" a  b\nc d ", np.array([False, True, True, False])) == " a  d "
 
@@ -145,6 +176,17 @@ def test_jaccard_edges(spark):
     assert jaccard_join.similar_texts(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_jaccard_very_long_texts(spark):
+    rng = random.Random(12)
+    long = [f"w{rng.randrange(50_000)}" for _ in range(120_000)]
+    near = list(long)
+    for _ in range(500):
+        near[rng.randrange(len(near))] = "changed"
+    rows = [(5, " ".join(long), "x"), (2, " ".join(near), "y"), (9, " ".join(long[:60_000]), "z")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar_texts(spark.createDataFrame(rows, "doc_id long, text string, component_id string"), 4, 85, 100).collect()}
+    assert got == plain_components(rows, 4, 85, 100) and got[5][1] == got[2][1] == 2 and got[9][1] == 9
+
+
 def test_bitmap_bounds_overlap_from_above():
     rng, words = random.Random(1), WordHasher()
     for _ in range(300):
@@ -236,6 +278,22 @@ def test_lines_edges(spark):
     assert line_dedup.dedup_lines(df.limit(0)).collect() == []
 
 
+def test_lines_cut_from_a_long_text(spark):
+    """Many lines of one text go; columns named like what the operator makes are kept or replaced."""
+    lines = [f"this is line of words {''.join(chr(97 + int(c)) for c in str(i))} and so on" for i in range(3000)]
+    rows = [(d, "\n".join(lines if d else [*lines[:10], "own words only here once", *lines[10:]]), "g", "v", 7) for d in (3, 0, 5, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __gone string, version string, N_Lines int")
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
+    assert {d: (r.n_lines, r.n_dropped, r["__gone"], r.version) for d, r in got.items()} == {0: (3001, 0, "g", "v"), 3: (3000, 3000, "g", "v"), 5: (3000, 3000, "g", "v"), 9: (3000, 3000, "g", "v")}
+    assert {d: (r.text, r.n_dropped) for d, r in got.items()} == plain_lines([r[:2] for r in rows])
+
+
+def test_lines_short_of_the_depth(spark):
+    rows = [(d, "a b\nc d e\nx y 1\nx y 2\nq") for d in range(4)] + [(9, "x z 1")]
+    got = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_tokens=2).collect()}
+    assert got == plain_lines(rows, min_tokens=2)
+
+
 def test_lines_stay_in_the_jvm(spark):
     plan = line_dedup.dedup_lines(spark.createDataFrame(corpus(), DOC))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
@@ -300,6 +358,64 @@ def test_packing_is_whole_and_without_conflicts(spark):
     assert packing.pack_documents(df.limit(0)).collect() == []
 
 
+def plain_shard(rows, capacity):
+    """Pieces without their shard's bins: (doc, piece, start, length), and who shares a bin with whom."""
+    items, pieces, own = [], [], []
+    for doc, length, source, cluster in rows:
+        full, rest = divmod(length or 0, capacity)
+        own += [[(doc, i, i * capacity, capacity)] for i in range(full)]
+        if rest:
+            items.append((rest, (doc is None, doc or 0), length, source is not None, source or "", cluster, (doc, full, full * capacity, rest), source))
+        elif not full:
+            pieces.append((doc, 0, 0, 0))
+    items.sort(key=lambda r: (-r[0], r[1], r[2], not r[3], r[4], r[5] is None, r[5] or 0))
+    bins = defaultdict(list)
+    for (bin_no, _), item in zip(plain_best_fit([r[0] for r in items], [r[7] for r in items], [r[5] for r in items], capacity), items, strict=True):
+        bins[bin_no].append(item[6])
+    return pieces, sorted([*own, *bins.values()], key=str)
+
+
+def test_pack_texts_matches_plain(spark, monkeypatch):
+    """All rows, with null and repeated ids, repeated rows, copies and clashing columns, shard by shard."""
+    rng = random.Random(31)
+    rows = []
+    for i in range(400):
+        text = rng.choice([None, "", "one two", "One  two", "a\tb c", " ".join("w" * rng.randint(1, 3) for _ in range(rng.randint(1, 120)))])
+        rows.append((rng.choice([None, i, i, i // 2]), text, rng.choice([None, "hot", "hot", f"s{i % 7}"]), i % 3, "bin"))
+    rows += [rows[-1]] * 60
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_tokens int, bin_id string")
+    made = packing.pack_documents(df.select("doc_id", packing.word_count(F.col("text")).alias("n_tokens"), "source", packing.copy_cluster(F.col("text")).alias("cluster")), 50, shard_docs=100).collect()
+    shards = defaultdict(list)
+    keyed = df.select("doc_id", packing.word_count(F.col("text")).alias("n_tokens"), "source", packing.copy_cluster(F.col("text")).alias("cluster"))
+    count = Counter()
+    for r in keyed.collect():
+        count[tuple(r)] += 1
+    flat = [(*k, c) for k, n in count.items() for c in range(n)]
+    n_shards = 1 + len(rows) // 100
+    dealt = spark.createDataFrame(flat, "doc_id long, n_tokens long, source string, cluster long, copy long").select("*", F.pmod(F.xxhash64("doc_id", "n_tokens", "source", "cluster", "copy"), F.lit(n_shards)).alias("shard")).collect()
+    for r in dealt:
+        shards[r.shard].append(tuple(r)[:4])
+    assert len(shards) == n_shards and max(map(len, shards.values())) < 2 * len(rows) / n_shards
+    want_bins, want_empty = [], []
+    for shard in shards.values():
+        empty, bins = plain_shard(shard, 50)
+        want_bins += bins
+        want_empty += empty
+    got = defaultdict(list)
+    for r in sorted(made, key=lambda r: (r.bin_id is None, r.bin_id or 0, r.bin_start or 0)):
+        got[r.bin_id].append((r.doc_id, r.piece, r.start, r.length))
+    assert sorted(got.pop(None), key=str) == sorted(want_empty, key=str)
+    assert sorted(got.values(), key=str) == sorted(want_bins, key=str)
+    whole = packing.pack_texts(df)
+    assert whole.columns == ["doc_id", "piece", "start", "length", "bin_id", "bin_start"] and whole.agg(F.sum("length")).first()[0] == sum(len(words_of(r[1])) for r in rows)
+
+
+def test_copy_cluster(spark):
+    texts = [None, "", "A  b", "a\nB", "ab"]
+    a = [r.c for r in spark.createDataFrame([(t,) for t in texts], "text string").select(packing.copy_cluster(F.col("text")).alias("c")).collect()]
+    assert a[0] is None and a[2] == a[3] and len(set(a)) == 4
+
+
 def test_word_count(spark):
     texts = [None, "", "  ", "a", " a\tb\n\x0bc ", "é ü"]
     rows = spark.createDataFrame([(t,) for t in texts], "text string").select(packing.word_count(F.col("text")).alias("n")).collect()
