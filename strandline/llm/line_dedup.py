@@ -72,12 +72,13 @@ def dedup_lines(docs: DataFrame, depth: int = 3, min_docs: int = 3, min_tokens:
     maybe = texts.join(F.broadcast(wanted), F.expr(word.format(FILTER_WORDS)) == F.col("w")).where(F.expr(f"getbit(m, {bit}) = 1"))
     found = _lines(maybe.select("doc_id", "text"), min_tokens).select(F.xxhash64("shape").alias("h"), "shape")
     text_of = found.join(opened.select("h"), "h", "left_semi").groupBy("h").agg(F.first("shape").alias("shape"))
-    placed = scratch.keep(opened.join(text_of, "h").select("h", "leaf", "docs", "first_doc", "shape"), "placed")
-
-    # constants and variable fields by position; the leading tokens are constant in all of a leaf
+    # the leading tokens are constant in all of a leaf; counted here, once a line and not once a token
     token = F.split("shape", " ")
     lead = F.size(F.filter(F.slice(token, 1, depth), lambda x: x != WILD))
-    cells = placed.select("h", "leaf", "docs", "first_doc", F.size(token).alias("n"), lead.alias("lead"), F.posexplode_outer(F.slice(token, depth + 1, 1 << 30)).alias("at", "token"))
+    placed = scratch.keep(opened.join(text_of, "h").select("h", "leaf", "docs", "first_doc", F.size(token).alias("n"), lead.alias("lead"), F.slice(token, depth + 1, 1 << 30).alias("rest")), "placed")
+
+    # constants and variable fields by position
+    cells = placed.select("h", "leaf", "docs", "first_doc", "n", "lead", F.posexplode_outer("rest").alias("at", "token"))
     often = scratch.keep(cells.where("at is not null").groupBy("leaf", "at", "token").agg(F.sum("docs").alias("have")).where(F.col("have") >= min_docs), "often")
     marked = cells.join(often, ["leaf", "at", "token"], "left").withColumn("const", F.col("have").isNotNull() & (F.col("token") != WILD))
     # the template as an order-free sum of the hashes of its constants: no line's tokens need to meet in order
