@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterable
 from functools import cache
 
 from pyspark.sql import Column
@@ -44,9 +45,69 @@ def compact(text: Column) -> Column:
     return F.regexp_replace(strip_accents(F.lower(text)), "[^a-z0-9]+", "")
 
 
+@cache
+def _compatible() -> tuple[str, str, tuple[tuple[str, str], ...]]:
+    """Characters with a compatibility form: those whose form is one character, and the forms of the others.
+
+    All of the basic plane but Hangul and the ideographs, whose forms are composed.
+    """
+    one, many = {}, {}
+    for c in map(chr, [*range(0xA0, 0x3400), *range(0xFB00, 0x10000)]):
+        form = unicodedata.normalize("NFKC", c)
+        if form != c and unicodedata.category(c) not in ("Cs", "Cn"):
+            (one if len(form) == 1 else many)[c] = form
+    return "".join(one), "".join(one.values()), tuple(many.items())
+
+
+@cache
+def _composed() -> tuple[tuple[str, str], ...]:
+    """Latin letters with one mark, as two characters and as one."""
+    pairs = []
+    for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]):
+        parts = unicodedata.normalize("NFD", c)
+        if len(parts) == 2 and unicodedata.normalize("NFC", parts) == c:
+            pairs.append((parts, c))
+    return tuple(pairs)
+
+
+def _class(chars: Iterable[str]) -> str:
+    """A character class, neighbours as ranges."""
+    out: list[list[int]] = []
+    for c in sorted(map(ord, chars)):
+        if out and c == out[-1][1] + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out)
+
+
+def _exchange(text: Column, pattern: str, forms: tuple[tuple[str, str], ...]) -> Column:
+    """The text with each match of a pattern that has a form replaced by it; other texts aren't opened."""
+    table = F.str_to_map(F.lit("\x01".join(f"{a}\x02{b}" for a, b in forms)), F.lit("\x01"), F.lit("\x02"))
+    parts = F.split(text, f"(?={pattern})|(?<={pattern})")
+    return F.when(text.rlike(pattern), F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_element_at(table, p), p)), "")).otherwise(text)
+
+
+#: Stretches of the basic plane that hold all characters with a compatibility form, and marks; letters of most scripts aside.
+MAY_HAVE_FORMS = "[\\u00a0\\u00a8\\u00aa\\u00af\\u00b2-\\u00b5\\u00b8-\\u00ba\\u00bc-\\u00be\\u0132-\\u03f9\\u0587\\u0675-\\u0678\\u0958-\\u0fb9\\u10fc-\\u2011\\u2017\\u2024-\\u2026\\u202f\\u2033-\\u20a8\\u2100-\\u33ff\\ufb00-\\uffff]"
+
+
+def compatible(text: Column) -> Column:
+    """The text in its compatibility form (full-width letters, ligatures, superscripts, marks after Latin letters).
+
+    Marks are composed with Latin letters, one a letter.  Texts without a character of the stretches that
+    such characters are in pass with one look at each of theirs.
+    """
+    chars, forms, many = _compatible()
+    told = F.when(text.rlike(f"[{_class(chars)}]"), F.translate(text, chars, forms)).otherwise(text)
+    told = _exchange(told, f"[{_class(a for a, _ in many)}]", many)
+    told = _exchange(told, f"[{_class({a[0] for a, _ in _composed()})}][{_class({a[1] for a, _ in _composed()})}]", _composed())
+    return F.when(text.rlike(MAY_HAVE_FORMS), told).otherwise(text)
+
+
 def plain(text: Column) -> Column:
-    """Lower case, punctuation and symbols as blanks, blanks collapsed; accents stay."""
-    return F.btrim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[\p{P}\p{S}]+", " "), r"\s+", " "))
+    """Lower case, compatibility forms, punctuation and symbols as blanks, blanks collapsed; accents stay."""
+    return F.btrim(F.regexp_replace(F.regexp_replace(compatible(F.lower(text)), r"[\p{P}\p{S}]+", " "), r"\s+", " "))
 
 
 def plain_for_rates(text: Column) -> Column:

@@ -21,6 +21,10 @@ PHRASES = (
 )
 
 
+#: Phrases of a list that is broadcast, at most.
+SHORT_LIST = 10_000
+
+
 def normalised(s: str) -> str:
     """Lower case, compatibility forms, punctuation and symbols as blanks, blanks collapsed."""
     folded = unicodedata.normalize("NFKC", s.lower())
@@ -69,10 +73,12 @@ def words_in(text: Column) -> Column:
 def filter_segments(segments: DataFrame, phrases: DataFrame, loops: bool = True) -> DataFrame:
     """Segments with ``duration`` and ``ratio`` -> text (loops said once), flags and keep.
 
-    The phrase list is a fixed table of a few rows and is broadcast.
+    The phrase list is broadcast if it is short, as the fixed one is; a list from files may not be.
     """
     bare = segments.withColumn("__trim", F.btrim("text")).withColumn("__plain", txt.plain(F.col("text")))
-    known = F.broadcast(phrases.select(F.col("phrase").alias("__plain"), F.lit(True).alias("__known")))
+    known = phrases.select(F.col("phrase").alias("__plain"), F.lit(True).alias("__known"))
+    if len(known.take(SHORT_LIST + 1)) <= SHORT_LIST:
+        known = F.broadcast(known)
     seen = bare.join(known, "__plain", "left")
     if loops:
         seen = seen.withColumn("__loop", F.when(words_in(F.col("__trim")) >= 9, collapse_repetition(F.col("__trim"))))

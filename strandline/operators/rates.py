@@ -12,53 +12,61 @@ from strandline.functions import text as txt
 
 def alignment(reference: list, hypothesis: list) -> tuple[int, int, int]:
     """Substitutions, deletions and insertions of one cheapest alignment: of several, the one that read back from the
-    end prefers a match or substitution, then a deletion."""
+    end prefers a match or substitution, then a deletion.
+
+    Only two rows of the table are held: each cell carries the counts of the alignment that ends in it.
+    """
     codes: dict = {}
     a = np.array([codes.setdefault(x, len(codes)) for x in reference], np.int64)
     b = np.array([codes.setdefault(x, len(codes)) for x in hypothesis], np.int64)
-    m, n = len(a), len(b)
-    cost = np.empty((m + 1, n + 1), np.int32)
-    cost[0], ramp = np.arange(n + 1), np.arange(n + 1)
-    for i in range(1, m + 1):
-        best = np.empty(n + 1, np.int32)
-        best[0] = i
-        best[1:] = np.minimum(cost[i - 1, 1:] + 1, cost[i - 1, :-1] + (b != a[i - 1]))
-        cost[i] = np.minimum.accumulate(best - ramp) + ramp  # an insertion adds one to the left neighbour
-    i, j, s, d, ins = m, n, 0, 0, 0
-    while i or j:
-        if i and j and cost[i, j] == cost[i - 1, j - 1] + (a[i - 1] != b[j - 1]):
-            s += int(a[i - 1] != b[j - 1])
-            i, j = i - 1, j - 1
-        elif i and cost[i, j] == cost[i - 1, j] + 1:
-            d, i = d + 1, i - 1
-        else:
-            ins, j = ins + 1, j - 1
-    return s, d, ins
+    n = len(b)
+    ramp = np.arange(n + 1)
+    cost, counts = ramp.copy(), np.stack([np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64), ramp])
+    for word in a.tolist():
+        miss = (b != word).astype(np.int64)
+        best = cost + 1
+        best[1:] = np.minimum(best[1:], cost[:-1] + miss)
+        now = np.minimum.accumulate(best - ramp) + ramp  # an insertion adds one to the left neighbour
+        diagonal, down = np.zeros(n + 1, bool), now == cost + 1
+        diagonal[1:] = now[1:] == cost[:-1] + miss
+        made = counts.copy()
+        made[1] += 1
+        at = np.flatnonzero(diagonal)
+        made[:, at] = counts[:, at - 1]
+        made[0, at] += miss[at - 1]
+        # what is neither follows the nearest cell on the left that is, by insertions
+        from_cell = np.maximum.accumulate(np.where(diagonal | down, ramp, 0))
+        made = made[:, from_cell]
+        made[2] += ramp - from_cell
+        cost, counts = now, made
+    return tuple(counts[:, n].tolist())
 
 
 def _words(s: str | None) -> list[str]:
     return [w for w in (s or "").split(" ") if w]
 
 
-_COUNTS = "struct<substitutions:int,deletions:int,insertions:int,reference_words:int,hypothesis_words:int,char_errors:int,reference_chars:int>"
+_COUNTS = "struct<substitutions:int,deletions:int,insertions:int,reference_words:int,hypothesis_words:int>"
 
 
 def _counts(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
     rows = []
     for r, h in zip(reference, hypothesis, strict=True):
         rw, hw = _words(r), _words(h)
-        rc, hc = "".join(rw), "".join(hw)
-        rows.append((*alignment(rw, hw), len(rw), len(hw), sum(alignment(list(rc), list(hc))), len(rc)))
-    return pd.DataFrame(rows, columns=["substitutions", "deletions", "insertions", "reference_words", "hypothesis_words", "char_errors", "reference_chars"])
+        rows.append((*alignment(rw, hw), len(rw), len(hw)))
+    return pd.DataFrame(rows, columns=["substitutions", "deletions", "insertions", "reference_words", "hypothesis_words"])
 
 
 def error_rates(pairs: DataFrame, reference: str = "reference", hypothesis: str = "hypothesis") -> DataFrame:
     """The pairs with counts, ``wer`` and ``cer`` (four places; 0 for an empty reference)."""
-    counted = pairs.withColumn("__c", F.pandas_udf(_counts, _COUNTS)(txt.plain_for_rates(F.col(reference)), txt.plain_for_rates(F.col(hypothesis))))
+    plain = pairs.withColumns({"__r": txt.plain_for_rates(F.col(reference)), "__h": txt.plain_for_rates(F.col(hypothesis))})
+    letters = lambda c: F.coalesce(F.replace(c, F.lit(" "), F.lit("")), F.lit(""))
+    chars = {"char_errors": F.levenshtein(letters("__r"), letters("__h")), "reference_chars": F.length(letters("__r"))}
+    counted = plain.withColumn("__c", F.pandas_udf(_counts, _COUNTS)("__r", "__h"))
     errors = F.col("substitutions") + F.col("deletions") + F.col("insertions")
 
     def share(part: Column, whole: Column) -> Column:
         return F.when(whole > 0, F.round(part / whole, 4)).otherwise(0.0)
 
-    opened = counted.select(*pairs.columns, "__c.*")
+    opened = counted.select(*pairs.columns, "__c.*", *[c.alias(n) for n, c in chars.items()])
     return opened.withColumn("wer", share(errors, F.col("reference_words"))).withColumn("cer", share(F.col("char_errors"), F.col("reference_chars")))

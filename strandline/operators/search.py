@@ -58,8 +58,8 @@ def bm25(docs: DataFrame, query: str, text_col: str = "text") -> DataFrame:
 
 
 def vector_scores(docs: DataFrame, query: list[float], col: str = "embedding") -> DataFrame:
-    """The documents with ``vector``: the dot product with the query's vector."""
-    return docs.withColumn("vector", vision.dot(F.col(col), F.array(*[F.lit(float(x)) for x in query])))
+    """The documents with ``vector``: the dot product with the query's vector; 0 for a document without one."""
+    return docs.withColumn("vector", F.coalesce(vision.dot(F.col(col), F.array(*[F.lit(float(x)) for x in query])), F.lit(0.0)))
 
 
 def _keys(df: DataFrame, score: str, tie: tuple[str, ...]) -> Column:
@@ -84,16 +84,19 @@ def fused_top(scored: DataFrame, k: int = 8, *tie: str) -> DataFrame:
 
     Only rows among the first of either list can be in the result, so no global sort is made: the heads
     of both lists are taken, their exact places counted in one aggregation each, and the heads grow until
-    nothing outside them can reach the k-th score.  ``score`` is rounded to five places, and ties go by
-    the ``tie`` columns.
+    nothing outside them can reach the k-th score.  Copies of a passage with equal scores are behind the
+    first of them in both lists, so only that one can be shown and is taken, however many there are; all
+    copies count for places.  ``score`` is rounded to five places, and ties go by the ``tie`` columns.
     """
     spark, depth, columns = scored.sparkSession, FUSION + 4 * k, scored.columns
-    slim = scored.select(*tie, "bm25", "vector").persist()  # a few numbers a row; a lost part is computed again
+    passage = F.xxhash64("source", F.round(F.coalesce("start_sec", F.lit(0.0)), 1), "text")
+    slim = scored.select(*tie, "bm25", "vector", passage.alias("__passage")).persist()  # a few numbers a row; a lost part is computed again
+    first = slim.groupBy("__passage", "bm25", "vector").agg(F.min(F.struct(*tie)).alias("__tie")).select("__tie.*", "bm25", "vector").persist()
     try:
-        total = slim.count()
+        total = first.count()
         order = [F.col(t) for t in tie]
         while True:
-            found = {tuple(r[t] for t in tie): r for by in ("bm25", "vector") for r in slim.orderBy(F.desc(by), *order).limit(depth).collect()}
+            found = {tuple(r[t] for t in tie): r for by in ("bm25", "vector") for r in first.orderBy(F.desc(by), *order).limit(depth).collect()}
             if not found:
                 break
             rank_bm, rank_vec = (_positions(slim, list(found.values()), by, tie) for by in ("bm25", "vector"))
@@ -118,6 +121,7 @@ def fused_top(scored: DataFrame, k: int = 8, *tie: str) -> DataFrame:
             depth *= 4
     finally:
         slim.unpersist()
+        first.unpersist()
     schema = T.StructType([*scored.schema, T.StructField("score", T.DoubleType()), T.StructField("bm25_rank", T.IntegerType()), T.StructField("vector_rank", T.IntegerType())])
     return spark.createDataFrame([(*[r[c] for c in columns], s, rb, rv) for s, _, rb, rv, r in shown[:k]] if found else [], schema)
 

@@ -7,7 +7,9 @@ are made of the value without them.  ``SCANNER_VERSION`` belongs in every cache
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import text as txt
@@ -65,6 +67,8 @@ RULES = (
     ("email", "low", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b"),
     ("cpf", "low", r"\b\d{3}\.\d{3}\.\d{3}-\d{2}\b"),
 )
+#: A line without any of these has no match of a rule, spaced or not.
+_HINT = r"\b[sr]k ?[-_]|\bgh[pousr] ?_|A[KS]IA|AIza|\bxox[abprs] ?-|\bey[JlI1]|PRIVATE KEY|https?:\s?//|@|\d{3}\.\d{3}\.\d{3}|(?i:bearer|secret|token|passw|api_?key)"
 #: Words near a token that make it likelier a secret.
 CUES = r"(?i)api[ _-]?key|secret|token|password|credential|bearer|authorization|copy your|access key|private key"
 CUE_SPAN = 90
@@ -121,35 +125,38 @@ def scan(texts: DataFrame, key: tuple[str, ...] = ("media_id", "frame_idx", "pts
     """Findings of each text: the key, ord, kind, raw, masked, length, confidence, signals, context.
 
     ``ord`` puts the gravest first, then by place.  A match inside a longer match of a rule that is as
-    grave is part of it.
+    grave is part of it.  Rows are scanned one by one, without a shuffle, and rules are run only on lines
+    that hold a hint of one.
     """
-    lines = F.split(F.col(text_col), "\n")
-    hinted = F.filter(lines, lambda line: line.rlike(_SPACED_HINT))
+    hinted = F.filter(F.split(F.col(text_col), "\n"), lambda line: line.rlike(_HINT))
+    rows = texts.where(F.col(text_col).isNotNull()).select(*key, F.col(text_col).alias("__text"), hinted.alias("__lines"))
+    lines, spaced = F.col("__lines"), F.col("__spaced")
+    rows = rows.withColumn("__spaced", F.filter(lines, lambda line: line.rlike(_SPACED_HINT)))
     parts = []
     for kind, grade, rule in RULES:
         parts.append(_matches(lines, rule, kind, grade))
         if kind in SPACED:
-            parts.append(_spaced(hinted, rule, kind, grade))
+            parts.append(_spaced(spaced, rule, kind, grade))
     if random_tokens:
-        tokens = F.filter(F.regexp_extract_all(F.col(text_col), F.lit(TOKEN), F.lit(0)), looks_random)
+        tokens = F.filter(F.regexp_extract_all(F.col("__text"), F.lit(TOKEN), F.lit(0)), looks_random)
         parts.append(_named(tokens, "high_entropy_token", "entropy"))
-    found = F.array_distinct(F.concat(*parts))
-    rows = texts.where(F.col(text_col).isNotNull()).select(*key, F.col(text_col).alias("__text"), F.explode(found).alias("f"))
-    context = _near(F.col("__text"), F.col("f.raw"))
-    rows = rows.select(*key, "__text", F.col("f.kind").alias("kind"), F.col("f.grade").alias("grade"), F.col("f.raw").alias("raw"), context.alias("context"))
-    cue = F.col("context").isNotNull()
-    grave = F.when(F.col("grade").isin("high", "medium", "low"), F.col("grade")).when(cue, "medium").otherwise("low")
-    rows = rows.withColumn("confidence", grave).withColumn("__at", F.instr("__text", F.col("raw")))
+    rows = rows.select(*key, "__text", F.array_distinct(F.concat(*parts)).alias("__found"))
     # a value inside a longer finding is the longer one's
-    whole = Window.partitionBy(*key)
-    rows = rows.withColumn("__all", F.collect_list(F.struct("raw", "grade", "kind")).over(whole))
-    inside = F.exists("__all", lambda o: (F.length(o["raw"]) > F.length("raw")) & F.contains(o["raw"], F.col("raw")) & (o["grade"] != "low"))
-    rows = rows.where(~inside)
+    outside = F.filter("__found", lambda f: ~F.exists("__found", lambda o: (F.length(o["raw"]) > F.length(f["raw"])) & F.contains(o["raw"], f["raw"]) & (o["grade"] != "low")))
+    near = F.transform(outside, lambda f: F.struct(f["kind"].alias("kind"), f["grade"].alias("grade"), f["raw"].alias("raw"), _near(F.col("__text"), f["raw"]).alias("context")))
+    rows = rows.select(*key, "__text", near.alias("__near"))
+
+    def graded(f: Column) -> Column:
+        grave = F.when(f["grade"].isin("high", "medium", "low"), f["grade"]).when(f["context"].isNotNull(), "medium").otherwise("low")
+        rank = F.when(grave == "high", 0).when(grave == "medium", 1).otherwise(2)
+        return F.struct(rank.alias("rank"), F.instr(F.col("__text"), f["raw"]).alias("at"), f["kind"].alias("kind"), f["raw"].alias("raw"), f["grade"].alias("grade"), grave.alias("confidence"), f["context"].alias("context"))
+
+    # outer, as a filter on the array's size would run all rules again below
+    opened = rows.select(*key, F.posexplode_outer(F.array_sort(F.transform("__near", graded))).alias("pos", "f")).where("pos is not null")
+    found = opened.select(*key, (F.col("pos") + 1).alias("ord"), "f.*")
     bare = F.regexp_replace("raw", r"\s+", "")
-    signals = F.array_compact(F.array(F.when(F.col("grade") == "entropy", "entropy").otherwise("pattern"), F.when(cue, F.lit("context"))))
-    rank = F.when(F.col("confidence") == "high", 0).when(F.col("confidence") == "medium", 1).otherwise(2)
-    ordered = rows.withColumn("ord", F.row_number().over(whole.orderBy(rank, "__at", "kind", "raw")))
-    return ordered.select(*key, "ord", "kind", "raw", txt.mask(bare).alias("masked"), F.length(bare).alias("length"), "confidence", signals.alias("signals"), "context")
+    signals = F.array_compact(F.array(F.when(F.col("grade") == "entropy", "entropy").otherwise("pattern"), F.when(F.col("context").isNotNull(), F.lit("context"))))
+    return found.select(*key, "ord", "kind", "raw", txt.mask(bare).alias("masked"), F.length(bare).alias("length"), "confidence", signals.alias("signals"), "context")
 
 
 def redact(text: Column, raws: Column) -> Column:
@@ -159,11 +166,16 @@ def redact(text: Column, raws: Column) -> Column:
 
 
 def redacted(texts: DataFrame, findings: DataFrame, key: tuple[str, ...], text_col: str = "text") -> DataFrame:
-    """Texts with their findings masked; assignments last, as the first piece of a spaced key may be one's value."""
+    """Texts with their findings masked; assignments last, as the first piece of a spaced key may be one's value.
+
+    Keys are compared with nulls as equal, so no text without a time or a number stays in clear.
+    """
     weak = F.col("kind") == "env_assignment"
     raws = findings.groupBy(*key).agg(F.collect_set(F.when(~weak, F.col("raw"))).alias("__raws"), F.collect_set(F.when(weak, F.col("raw"))).alias("__weak"))
     clean = redact(redact(F.col(text_col), F.col("__raws")), F.col("__weak"))
-    return texts.join(raws, list(key), "left").withColumn(text_col, F.when(F.col("__raws").isNull(), F.col(text_col)).otherwise(clean)).drop("__raws", "__weak")
+    raws = raws.withColumnsRenamed({k: f"__{k}" for k in key})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key])
+    return texts.join(raws, same, "left").withColumn(text_col, F.when(F.col("__raws").isNull(), F.col(text_col)).otherwise(clean)).drop("__raws", "__weak", *[f"__{k}" for k in key])
 
 
 def dedupe_findings(findings: DataFrame, group: str = "media_id") -> DataFrame:

@@ -131,8 +131,8 @@ def speech_summary(spark: SparkSession, d: str) -> DataFrame:
     return regions(spark, d).groupBy("media_id").agg(F.count(F.lit(1)).alias("regions"), F.round(F.sum(F.col("end_sec") - F.col("start_sec")), 4).alias("speech_sec"))
 
 
-_CAND = """cand AS (SELECT media_id, idx * 0.5::DOUBLE AS pts, CAST(row_number() OVER (PARTITION BY media_id ORDER BY idx) AS INTEGER) AS i, CASE idx % 3 WHEN 0 THEN ['hash'] WHEN 1 THEN ['cut'] ELSE ['anchor'] END AS sources,
-    CASE WHEN idx % 3 = 0 THEN dhash END AS dhash, CASE WHEN idx % 3 = 0 THEN CAST(event_id % 60 AS INTEGER) END AS distance FROM fr WHERE event_id % 3 <> 0)"""
+_CAND = """cand AS (SELECT media_id, idx * 0.5::DOUBLE + CASE WHEN event_id % 3 = 0 THEN 0.45::DOUBLE ELSE 0 END AS pts, CAST(row_number() OVER (PARTITION BY media_id ORDER BY idx) AS INTEGER) AS i, CASE idx % 3 WHEN 0 THEN ['hash'] WHEN 1 THEN ['cut'] ELSE ['anchor'] END AS sources,
+    CASE WHEN idx % 3 = 0 THEN dhash END AS dhash, CASE WHEN idx % 3 = 0 THEN CAST(event_id % 60 AS INTEGER) END AS distance FROM fr)"""
 _JOINED = "round(c.pts - m.pts, 6) <= 0.75"
 _MERGE_CAND = f"""m AS (SELECT media_id, i, 0 AS ord, pts, sources, dhash, distance FROM cand WHERE i = 1
     UNION ALL SELECT c.media_id, c.i, m.ord + CASE WHEN {_JOINED} THEN 0 ELSE 1 END,
@@ -145,10 +145,11 @@ _MERGE_CAND = f"""m AS (SELECT media_id, i, 0 AS ord, pts, sources, dhash, dista
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Every frame is a candidate, each third late by nearly the space between two."""
     k = F.col("idx") % 3
-    f = frames(spark, d).where("event_id % 3 <> 0")
+    f = frames(spark, d).withColumn("pts", F.col("idx") * 0.5 + F.when(F.col("event_id") % 3 == 0, 0.45).otherwise(0.0))
     tag = F.when(k == 0, F.array(F.lit("hash"))).when(k == 1, F.array(F.lit("cut"))).otherwise(F.array(F.lit("anchor")))
-    return f.select("media_id", (F.col("idx") * 0.5).alias("pts"), F.col("idx").alias("ord"), tag.alias("sources"), F.when(k == 0, F.col("dhash")).alias("dhash"), F.when(k == 0, (F.col("event_id") % 60).cast("int")).alias("distance"))
+    return f.select("media_id", "pts", F.col("idx").alias("ord"), tag.alias("sources"), F.when(k == 0, F.col("dhash")).alias("dhash"), F.when(k == 0, (F.col("event_id") % 60).cast("int")).alias("distance"))
 
 
 @query("fold_merge_candidates", f"WITH RECURSIVE {FRAMES}, {_CAND}, {_MERGE_CAND} SELECT media_id, ord, round(pts, 4) AS pts, array_to_string(sources, '+') AS sources, dhash, distance FROM mc")
@@ -157,19 +158,27 @@ def merge_candidates(spark: SparkSession, d: str) -> DataFrame:
     return made.select("media_id", "ord", *_r("pts"), F.array_join(F.array_sort("sources"), "+").alias("sources"), "dhash", "distance")
 
 
-@query("fold_floor_points", f"""WITH {FRAMES}, pt AS (SELECT media_id, pts, max(pts) OVER (PARTITION BY media_id) + 50 AS to_sec FROM fr WHERE event_id % 11 = 0),
+_SPREAD = "spread AS (SELECT media_id, idx * 6.0::DOUBLE + event_id % 11 AS pts FROM fr)"
+
+
+def _spread(spark: SparkSession, d: str) -> DataFrame:
+    """All frames, at uneven distances."""
+    return frames(spark, d).withColumn("pts", F.col("idx") * 6.0 + F.col("event_id") % 11)
+
+
+@query("fold_floor_points", f"""WITH {FRAMES}, {_SPREAD}, pt AS (SELECT media_id, pts, max(pts) OVER (PARTITION BY media_id) + 50 AS to_sec FROM spread),
   gap AS (SELECT media_id, coalesce(lag(pts) OVER (PARTITION BY media_id ORDER BY pts), 0) AS a, pts AS b FROM pt UNION ALL SELECT media_id, max(pts), any_value(to_sec) FROM pt GROUP BY media_id),
   n AS (SELECT *, CAST(greatest(0, ceil(round((b - a) / 4, 6)) - 1) AS INTEGER) AS n FROM gap) SELECT media_id, a + k * 4 AS pts FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM n WHERE n > 0)""")
 def floor_points(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
-    p = frames(spark, d).where("event_id % 11 = 0").withColumn("to_sec", F.max("pts").over(Window.partitionBy("media_id")) + 50)
+    p = _spread(spark, d).withColumn("to_sec", F.max("pts").over(Window.partitionBy("media_id")) + 50)
     return intervals.floor_points(p, 0.0, 4.0)
 
 
-@query("interval_max_gap", f"WITH {FRAMES}, g AS (SELECT media_id, pts - lag(pts) OVER (PARTITION BY media_id ORDER BY pts) AS g FROM fr WHERE event_id % 11 = 0) SELECT media_id, max(g) AS max_gap FROM g GROUP BY media_id")
+@query("interval_max_gap", f"WITH {FRAMES}, {_SPREAD}, g AS (SELECT media_id, pts - lag(pts) OVER (PARTITION BY media_id ORDER BY pts) AS g FROM spread) SELECT media_id, max(g) AS max_gap FROM g GROUP BY media_id")
 def max_gap(spark: SparkSession, d: str) -> DataFrame:
-    return intervals.max_gap(frames(spark, d).where("event_id % 11 = 0"))
+    return intervals.max_gap(_spread(spark, d))
 
 
 def _prune_sql(most: int, loose: str) -> str:
@@ -277,11 +286,13 @@ def speakers(spark: SparkSession, d: str) -> DataFrame:
 
 @query("plan_diarize")
 def diarized(spark: SparkSession, d: str) -> DataFrame:
-    """Local pieces are those of the stand-in turns; a turn's voice is the vector of its number."""
+    """Local pieces are those of the stand-in turns; a turn's voice is a vector that its medium and number pick of all."""
     from strandline.queries.base import table
 
-    v = table(spark, d, "embeddings").select((F.col("vec_id") % 40).alias("n"), "vec_id", "embedding").where("vec_id < 40")
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("n"), "embedding")
+    size = (v.agg(F.max("n")).first()[0] or 0) + 1
     pieces = _pieces(spark, d)
-    made = intervals.to_turns(intervals.slabs(pieces))
-    voices = made.join(v, F.col("turn_no") % 40 == F.col("n")).select("media_id", F.col("turn_no"), "embedding")
+    made = intervals.to_turns(intervals.slabs(pieces)).select("media_id", "turn_no")
+    picked = made.withColumn("n", F.pmod(F.col("media_id").cast("long") * 131 + F.col("turn_no") * 17, F.lit(size)))
+    voices = picked.join(v, "n").select("media_id", "turn_no", "embedding")
     return diarize.speaker_turns(pieces, voices, threshold=0.1, most=4)

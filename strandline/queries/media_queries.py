@@ -16,34 +16,41 @@ from strandline.sources import sinks, state
 
 _PHRASES = ", ".join("'" + filters.normalised(p).replace("'", "''") + "'" for p in filters.PHRASES)
 _RATIO = "rt AS (SELECT seg.*, greatest(0.1, round(seg.end_sec - seg.start_sec, 6)) AS duration, least(1, coalesce(o.s, 0) / greatest(0.01, seg.end_sec - seg.start_sec)) AS ratio FROM seg LEFT JOIN (SELECT seg.media_id, seg.seg_id, sum(least(seg.end_sec, reg.end_sec) - greatest(seg.start_sec, reg.start_sec)) AS s FROM seg JOIN reg ON reg.media_id = seg.media_id AND seg.start_sec < reg.end_sec AND reg.start_sec < seg.end_sec GROUP BY ALL) o USING (media_id, seg_id))"
-_FILTERED = rf"""fl AS (SELECT *, len(list_filter(regexp_split_to_array(trim(text), '\s+'), lambda x: x <> '')) AS words, trim(regexp_replace(regexp_replace(lower(text), '[\p{{P}}\p{{S}}]+', ' ', 'g'), '\s+', ' ', 'g')) IN ({_PHRASES}) AS known FROM rt),
-  fg AS (SELECT *, list_filter([CASE WHEN known THEN 'blocklist' END, CASE WHEN ratio < 0.15 AND duration >= 1 THEN 'no_speech' END, CASE WHEN words / greatest(0.5, duration) > 8 AND words >= 8 THEN 'too_fast' END], lambda x: x IS NOT NULL) AS flags FROM fl),
+#: The loop rule: of all places (run length n, first word i) whose run is said three times, the first; ``reps`` is how often it is said.
+_LOOP = r"""lw AS (SELECT media_id, seg_id, regexp_split_to_array(trim(text), '\s+') AS w FROM rt),
+  lb AS (SELECT *, list_transform(w, lambda x: trim(regexp_replace(regexp_replace(lower(x), '[\p{P}\p{S}]+', ' ', 'g'), '\s+', ' ', 'g'))) AS b FROM lw WHERE len(w) >= 9),
+  lp AS (SELECT media_id, seg_id, w, b, n, unnest(range(1, len(w) - 3 * n + 2)) AS i FROM (SELECT *, unnest([3, 4, 5, 6]) AS n FROM lb) WHERE len(w) >= 3 * n),
+  lf AS (SELECT media_id, seg_id, arg_min({'n': n, 'i': i}, n * 1000000 + i) AS fst, any_value(w) AS w, any_value(b) AS b FROM lp WHERE b[i:i + n - 1] = b[i + n:i + 2 * n - 1] AND b[i:i + n - 1] = b[i + 2 * n:i + 3 * n - 1] GROUP BY media_id, seg_id),
+  lr AS (SELECT *, 1 + coalesce(list_min(list_filter(range(1, len(w) + 1), lambda r: b[fst.i + r * fst.n:fst.i + (r + 1) * fst.n - 1] <> b[fst.i:fst.i + fst.n - 1])) - 1, 0) AS reps FROM lf),
+  lt AS (SELECT media_id, seg_id, array_to_string(list_concat(w[1:fst.i + fst.n - 1], w[fst.i + reps * fst.n:]), ' ') AS said FROM lr),
+  rs AS (SELECT rt.* EXCLUDE (text), rt.text AS heard, coalesce(said, trim(text)) AS text, said IS NOT NULL AS looped FROM rt LEFT JOIN lt USING (media_id, seg_id))"""
+_FILTERED = rf"""{_LOOP}, fl AS (SELECT *, len(list_filter(regexp_split_to_array(trim(text), '\s+'), lambda x: x <> '')) AS words, trim(regexp_replace(regexp_replace(lower(heard), '[\p{{P}}\p{{S}}]+', ' ', 'g'), '\s+', ' ', 'g')) IN ({_PHRASES}) AS known FROM rs),
+  fg AS (SELECT *, list_filter([CASE WHEN known THEN 'blocklist' END, CASE WHEN looped THEN 'repetition_loop' END, CASE WHEN ratio < 0.15 AND duration >= 1 THEN 'no_speech' END, CASE WHEN words / greatest(0.5, duration) > 8 AND words >= 8 THEN 'too_fast' END], lambda x: x IS NOT NULL) AS flags FROM fl),
   ok AS (SELECT *, round(0.55 * least(1, ratio / 0.6) + 0.3 * CASE WHEN words / duration BETWEEN 0.8 AND 5 THEN 1 WHEN words / duration < 0.8 THEN 0.75 ELSE 0.5 END + 0.15 * CASE WHEN len(flags) > 0 THEN 0.4 ELSE 1 END, 2) AS confidence FROM fg WHERE NOT list_has_any(flags, ['blocklist', 'no_speech']))"""
 
 
 @query("filter_segments", f"WITH {SEG}, {REG}, {_RATIO}, {_FILTERED} SELECT media_id, seg_id, array_to_string(flags, '+') AS flags FROM fg")
 def segment_flags(spark: SparkSession, d: str) -> DataFrame:
-    """Flags without the loop rule, which SQL can't express."""
     from strandline.operators import intervals
 
     s = segments(spark, d)
     known = s.join(intervals.speech_ratio(s, regions(spark, d)), ["media_id", "seg_id"]).withColumn("duration", F.greatest(F.lit(0.1), F.round(F.col("end_sec") - F.col("start_sec"), 6)))
-    return filters.filter_segments(known, filters.blocklist(spark), loops=False).select("media_id", "seg_id", F.array_join("flags", "+").alias("flags"))
+    return filters.filter_segments(known, filters.blocklist(spark)).select("media_id", "seg_id", F.array_join("flags", "+").alias("flags"))
 
 
-def _finished(spark: SparkSession, d: str, loops: bool) -> DataFrame:
-    return transcript.finish_segments(segments(spark, d), regions(spark, d), filters.blocklist(spark), loops=loops)
+def _finished(spark: SparkSession, d: str) -> DataFrame:
+    return transcript.finish_segments(segments(spark, d), regions(spark, d), filters.blocklist(spark))
 
 
 @query("plan_transcript_stats", rf"WITH {SEG}, {REG}, {_RATIO}, {_FILTERED}, n AS (SELECT media_id, count(*) AS n FROM seg GROUP BY media_id), k AS (SELECT media_id, count(*) AS c, sum(len(regexp_split_to_array(trim(text), '\s+'))) AS w FROM ok GROUP BY media_id) SELECT media_id, coalesce(c, 0) AS segment_count, n - coalesce(c, 0) AS filtered_count, CAST(coalesce(w, 0) AS BIGINT) AS word_count FROM n LEFT JOIN k USING (media_id)")
 def transcript_stats(spark: SparkSession, d: str) -> DataFrame:
     s = segments(spark, d)
-    return transcript.stats(s, _finished(spark, d, False)).drop("replacements")
+    return transcript.stats(s, _finished(spark, d)).drop("replacements")
 
 
-@query("plan_transcript_loops")
+@query("plan_transcript_loops", f"WITH {SEG}, {REG}, {_RATIO}, {_FILTERED} SELECT media_id, seg_id, round(start_sec, 2) AS start_sec, round(end_sec, 2) AS end_sec, text, confidence, array_to_string(flags, '+') AS flags FROM ok")
 def transcript_loops(spark: SparkSession, d: str) -> DataFrame:
-    return _finished(spark, d, True).select("media_id", "seg_id", "start_sec", "end_sec", "text", "confidence", F.array_join("flags", "+").alias("flags"))
+    return _finished(spark, d).select("media_id", "seg_id", "start_sec", "end_sec", "text", "confidence", F.array_join("flags", "+").alias("flags"))
 
 
 def _vote(lang: str) -> str:
@@ -82,50 +89,65 @@ def subtitles(spark: SparkSession, d: str) -> DataFrame:
 
 # -- secrets --------------------------------------------------------------------------------------
 
-#: The rules that SQL's expressions can state, over whole documents.
-_SQL_RULES = {
-    "env_assignment": r"(?i)\b[a-z_]*(?:secret|token|password|passwd|api_?key)[a-z_]*\s*[=:]\s*[\"'']?[A-Za-z0-9+/_-]{16,}",
-    "email": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b",
-    "local_url": r"https?://(?:localhost|127\.0\.0\.1|192\.168\.\d{1,3}\.\d{1,3}|10\.\d{1,3}\.\d{1,3}\.\d{1,3})(?::\d+)?(?:/[^\s]*)?",
-    "cpf": r"\b\d{3}\.\d{3}\.\d{3}-\d{2}\b",
-}
-
-
 def _screen(spark: SparkSession, d: str) -> DataFrame:
     """A document is a frame of the medium that is its source."""
     return table(spark, d, "documents").select(F.col("source").alias("media_id"), F.col("doc_id").cast("int").alias("frame_idx"), F.col("doc_id").cast("double").alias("pts"), "text")
 
 
-def _found_sql() -> str:
-    parts = " UNION ALL ".join(f"SELECT doc_id, source, '{k}' AS kind, unnest(regexp_extract_all(l, '{r}')) AS raw FROM ln" for k, r in _SQL_RULES.items())
-    return f"ln AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS l FROM documents), hit AS (SELECT DISTINCT * FROM ({parts}))"
+def _sql_rule(rule: str) -> str:
+    """The rule for an engine without lookahead."""
+    return rule.replace("(?!ant-)(?:proj-)?", "").replace("'", "''")
 
 
-@query("secrets_scan", f"WITH {_found_sql()} SELECT source AS media_id, CAST(doc_id AS INTEGER) AS frame_idx, kind, left(r, 4) || '…' || right(r, 3) AS masked, CAST(length(r) AS INTEGER) AS length FROM (SELECT *, regexp_replace(raw, '\\s+', '', 'g') AS r FROM hit)")
+def _found_sql() -> str:
+    """All findings of whole documents.  Blanks inside keys, which SQL's expressions can't follow, are tested apart."""
+    parts = " UNION ALL ".join(f"SELECT doc_id, '{kind}' AS kind, '{grade}' AS grade, unnest(regexp_extract_all(l, '{_sql_rule(rule)}')) AS raw FROM ln" for kind, grade, rule in secrets.RULES)
+    share = "(len(raw) - len(replace(raw, c, ''))) / len(raw)"
+    kinds = "regexp_replace(regexp_replace(regexp_replace(raw, '[a-z]', 'a', 'g'), '[A-Z]', 'A', 'g'), '[0-9]', '0', 'g')"
+    return rf"""ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents),
+  tk AS (SELECT doc_id, unnest(regexp_extract_all(text, '{secrets.TOKEN}')) AS raw FROM documents),
+  rnd AS (SELECT DISTINCT doc_id, raw FROM tk WHERE len(regexp_replace(raw, '[^0-9]', '', 'g')) >= {secrets.LEAST_DIGITS} AND -list_sum(list_transform(list_distinct(string_split(raw, '')), lambda c: {share} * log2({share}))) >= {secrets.LEAST_BITS}
+    AND len(list_filter(range(1, len(raw)), lambda i: ({kinds})[i] <> ({kinds})[i + 1])) / (len(raw) - 1) >= {secrets.LEAST_TURNS}),
+  hit AS (SELECT DISTINCT * FROM ({parts} UNION ALL SELECT doc_id, 'high_entropy_token', 'entropy', raw FROM rnd) WHERE NOT (kind = 'openai_key' AND starts_with(raw, 'sk-ant-'))),
+  alone AS (SELECT h.*, source, text FROM hit h JOIN documents USING (doc_id) WHERE NOT EXISTS (FROM hit o WHERE o.doc_id = h.doc_id AND len(o.raw) > len(h.raw) AND contains(o.raw, h.raw) AND o.grade <> 'low')),
+  cued AS (SELECT *, instr(text, raw) AS plc, nullif(lower(regexp_extract(replace(substr(text, greatest(1, instr(text, raw) - {secrets.CUE_SPAN}), len(raw) + {2 * secrets.CUE_SPAN}), raw, ' '), '{secrets.CUES}', 0)), '') AS context, regexp_replace(raw, '\s+', '', 'g') AS bare FROM alone),
+  graded AS (SELECT *, CASE WHEN grade IN ('high', 'medium', 'low') THEN grade WHEN context IS NOT NULL THEN 'medium' ELSE 'low' END AS confidence FROM cued),
+  fnd AS (SELECT source AS media_id, CAST(doc_id AS INTEGER) AS frame_idx, CAST(doc_id AS DOUBLE) AS pts, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, plc, kind, raw) AS INTEGER) AS ord,
+    kind, grade, raw, left(bare, 4) || '…' || right(bare, 3) AS masked, CAST(len(bare) AS INTEGER) AS length, confidence, CASE WHEN grade = 'entropy' THEN 'entropy' ELSE 'pattern' END || CASE WHEN context IS NULL THEN '' ELSE '+context' END AS signals, context FROM graded)"""
+
+
+@query("secrets_scan", f"WITH {_found_sql()} SELECT media_id, frame_idx, kind, masked, length FROM fnd")
 def secrets_scan(spark: SparkSession, d: str) -> DataFrame:
-    found = secrets.scan(_screen(spark, d), random_tokens=False)
-    return found.select("media_id", "frame_idx", "kind", "masked", "length")
+    return secrets.scan(_screen(spark, d)).select("media_id", "frame_idx", "kind", "masked", "length")
 
 
-@query("secrets_findings")
+@query("secrets_findings", f"WITH {_found_sql()} SELECT media_id, frame_idx, pts, ord, kind, masked, length, confidence, signals, context FROM fnd")
 def secrets_findings(spark: SparkSession, d: str) -> DataFrame:
     return secrets.scan(_screen(spark, d)).withColumn("signals", F.array_join("signals", "+")).drop("raw")
 
 
-@query("secrets_once_per_medium", f"""WITH {_found_sql()}, m AS (SELECT source, doc_id, kind, regexp_replace(raw, '\\s+', '', 'g') AS r FROM hit)
-  SELECT source AS media_id, kind, left(r, 4) || '…' || right(r, 3) AS masked, CAST(length(r) AS INTEGER) AS length, count(*) AS frames, CAST(min(doc_id) AS INTEGER) AS frame_idx FROM m GROUP BY ALL""")
+_ONCE = "once AS (SELECT media_id, kind, masked, length, count(*) AS frames, arg_min({'f': frame_idx, 'p': pts, 'o': ord, 'c': confidence, 'x': context}, (frame_idx, ord)) AS s FROM fnd GROUP BY ALL)"
+
+
+@query("secrets_once_per_medium", f"WITH {_found_sql()}, {_ONCE} SELECT media_id, kind, masked, length, frames, s.f AS frame_idx FROM once")
 def secrets_once(spark: SparkSession, d: str) -> DataFrame:
-    once = secrets.dedupe_findings(secrets.scan(_screen(spark, d), random_tokens=False))
+    once = secrets.dedupe_findings(secrets.scan(_screen(spark, d)))
     return once.select("media_id", "kind", "masked", "length", "frames", "frame_idx")
 
 
-@query("secrets_redacted")
+_MASKED = "left(regexp_replace(r, '\\s+', '', 'g'), 4) || '…' || right(regexp_replace(r, '\\s+', '', 'g'), 3)"
+
+
+@query("secrets_redacted", f"""WITH {_found_sql()}, raws AS (SELECT frame_idx, list(DISTINCT raw ORDER BY len(raw) DESC, raw DESC) FILTER (kind <> 'env_assignment') AS strong, list(DISTINCT raw ORDER BY len(raw) DESC, raw DESC) FILTER (kind = 'env_assignment') AS weak FROM fnd GROUP BY frame_idx),
+  one AS (SELECT doc_id, source, list_reduce(list_concat([text], coalesce(strong, [])), lambda acc, r: replace(acc, r, {_MASKED})) AS text, weak FROM documents LEFT JOIN raws ON frame_idx = doc_id),
+  two AS (SELECT doc_id, source, list_reduce(list_concat([text], coalesce(weak, [])), lambda acc, r: replace(acc, r, {_MASKED})) AS text FROM one)
+  SELECT source AS media_id, CAST(doc_id AS INTEGER) AS frame_idx, md5(text) AS text, CAST(length(text) AS INTEGER) AS chars FROM two""")
 def secrets_redacted(spark: SparkSession, d: str) -> DataFrame:
     clean, _ = screen.read_screen(_screen(spark, d))
     return clean.select("media_id", "frame_idx", F.md5("text").alias("text"), F.length("text").alias("chars"))
 
 
-@query("secrets_by_confidence")
+@query("secrets_by_confidence", f"WITH {_found_sql()} SELECT media_id, count(*) FILTER (confidence = 'high') AS high, count(*) FILTER (confidence = 'medium') AS medium, count(*) FILTER (confidence = 'low') AS low FROM fnd GROUP BY media_id")
 def secrets_by_confidence(spark: SparkSession, d: str) -> DataFrame:
     return secrets.by_confidence(secrets.scan(_screen(spark, d)))
 
@@ -224,29 +246,66 @@ def review_coverage(spark: SparkSession, d: str) -> DataFrame:
     return review.coverage(r, 60).select("media_id", F.col("needed").cast("bigint"), F.round("coverage_sec", 4).alias("coverage_sec"), "complete")
 
 
-def _all_findings(spark: SparkSession, d: str) -> DataFrame:
-    p = review.preset(spark, "podcast")
-    f = _screen(spark, d)
-    read = f.groupBy("media_id").agg(F.count(F.lit(1)).alias("frames")).withColumns({"window_sec": F.col("frames") * 4.0, "pruned": F.lit(0)})
-    _, found = screen.read_screen(f)
-    lv = read.select("media_id", (F.lit(-30.0) + F.length("media_id") * 3).alias("integrated_lufs"), F.lit(-2.0).alias("true_peak_dbtp"), F.lit(4.0).alias("loudness_range"))
-    sound = review.silence_findings(read, _silences(spark, d).limit(0))
-    return review.ordered(review.loudness_findings(lv, p).unionByName(sound).unionByName(review.secret_findings(read, found)))
-
-
-@query("review_findings")
+def _reviewed(spark: SparkSession, d: str) -> DataFrame:
+    """A source is a medium, its documents the frames that were read and the pauses that were heard; every third has no sound, every fourth no picture."""
+    f, n = _screen(spark, d), F.length("media_id")
+    read = f.groupBy("media_id").agg(F.count(F.lit(1)).alias("frames")).withColumns({"window_sec": F.col("frames") * 4.0, "pruned": F.col("frames") % 2})
+    info = read.select("media_id", F.when(n % 4 == 3, "audio").otherwise("video").alias("kind"), F.when(n % 2 == 0, 1920).otherwise(1440).alias("width"), F.lit(1080).alias("height"), (n % 3 != 2).alias("has_audio"))
+    loud = read.select("media_id", (F.lit(-30.0) + n * 3).alias("integrated_lufs"), (F.lit(-6.0) + n).alias("true_peak_dbtp"), F.lit(4.0).alias("loudness_range"))
+    quiet = f.select("media_id", F.col("pts").alias("start_sec"), (F.col("frame_idx") % 7).cast("double").alias("duration_sec")).where("duration_sec >= 2")
+    return review.review(info, review.preset(spark, "youtube"), loudness=loud, silences=quiet, read=read, secrets=screen.read_screen(f)[1])
+
+
+def _clock(sec: str) -> str:
+    return _TIME.replace("ds", f"CAST(round(({sec}) * 10) AS BIGINT)")
+
+
+def _listed(cap: int) -> str:
+    return f"string_agg(line, '; ' ORDER BY nth) FILTER (nth <= {cap}) || CASE WHEN count(*) > {cap} THEN '; and ' || (count(*) - {cap}) || ' more' ELSE '' END"
+
+
+_REVIEW = f"""{_found_sql()}, {_ONCE},
+  rd AS (SELECT source AS media_id, count(*) AS frames, count(*) * 4.0::DOUBLE AS w, count(*) % 2 AS pruned, len(source) AS n FROM documents GROUP BY source),
+  inf AS (SELECT *, n % 4 <> 3 AS seen, n % 3 <> 2 AS heard, CASE WHEN n % 2 = 0 THEN 1920 ELSE 1440 END AS width, frames <= 500 AND pruned = 0 AS complete, -30 + n * 3 AS i, -6 + n AS tp FROM rd),
+  cov AS (SELECT *, CASE WHEN complete THEN 'All ' || {_clock('w')} || ' were read, a frame every four seconds (' || frames || ' in all).' ELSE 'About ' || {_clock('least(w, frames * 4)')} || ' of ' || {_clock('w')} || ' were read, a frame every four seconds (' || frames || ' of ' || frames || ').' END AS coverage FROM inf),
+  sl AS (SELECT source AS media_id, CAST(doc_id AS DOUBLE) AS start_sec, doc_id % 7 AS dur FROM documents WHERE doc_id % 7 >= 2),
+  gp AS (SELECT media_id, count(*) AS gaps, sum(dur) AS total, max(dur) AS longest, arg_max(start_sec, (dur, -start_sec)) AS at_sec FROM sl GROUP BY media_id),
+  ln2 AS (SELECT media_id, s.c AS confidence, kind || ' ' || masked || ' at ' || {_clock('s.p')} || CASE WHEN s.x IS NULL THEN '' ELSE ' (near "' || s.x || '")' END AS line, s FROM once),
+  rk AS (SELECT *, row_number() OVER (PARTITION BY media_id, confidence ORDER BY s.f, s.o, s.p, line) AS nth FROM ln2),
+  gr AS (SELECT media_id, confidence, count(*) AS c, CASE WHEN confidence = 'low' THEN {_listed(5)} ELSE {_listed(8)} END AS listed, arg_min(s.p, nth) AS first_pts FROM rk GROUP BY media_id, confidence),
+  fd AS (
+    SELECT media_id, 'aspect' AS "check", CASE WHEN NOT seen THEN 'info' WHEN width = 1920 THEN 'ok' ELSE 'warn' END AS severity, CASE WHEN NOT seen THEN 'No video stream, aspect check skipped' WHEN width = 1920 THEN 'Aspect 16:9 fits YouTube' ELSE 'Aspect 4:3 does not match YouTube (16:9)' END AS title,
+      CASE WHEN NOT seen THEN 'kind: audio' WHEN width = 1920 THEN '1920×1080' ELSE '1440×1080: shown with black bars (pillarbox) where 16:9 is expected; change the frame before publishing.' END AS detail, NULL::DOUBLE AS at_sec, NULL AS data FROM inf
+    UNION ALL SELECT media_id, 'loudness', CASE WHEN abs(i + 14) <= 2 THEN 'ok' ELSE 'warn' END, CASE WHEN abs(i + 14) <= 2 THEN 'Loudness ' || i || '.0 LUFS is on target' ELSE 'Loudness ' || i || '.0 LUFS is ' || abs(i + 14) || '.0 dB ' || CASE WHEN i < -14 THEN 'below' ELSE 'above' END || ' YouTube''s -14 LUFS' END,
+      CASE WHEN i + 14 < -2 THEN 'Too quiet by ' || abs(i + 14) || ' dB: playback on YouTube would lift its noise as well, so bring it to -14 LUFS first. True peak ' || tp || '.0 dBTP, range 4.0 LU.' ELSE 'True peak ' || tp || '.0 dBTP, loudness range 4.0 LU.' END, NULL, '{{"deltaDb":' || (i + 14) || '.0}}' FROM inf WHERE heard
+    UNION ALL SELECT media_id, 'loudness', 'warn', 'True peak ' || tp || '.0 dBTP above -1 dBTP', 'Encoding may clip such peaks; limit them.', NULL, NULL FROM inf WHERE heard AND tp > -1
+    UNION ALL SELECT media_id, 'loudness', 'info', 'No audio stream, loudness check skipped', '', NULL, NULL FROM inf WHERE NOT heard
+    UNION ALL SELECT media_id, 'silences', CASE WHEN gaps IS NULL THEN 'ok' WHEN longest >= 5 THEN 'warn' ELSE 'info' END, CASE WHEN gaps IS NULL THEN 'No silence gaps of 2 s or more' ELSE gaps || ' silence gap' || CASE WHEN gaps > 1 THEN 's' ELSE '' END || ' of 2 s or more, ' || total || ' s in all' END,
+      CASE WHEN gaps IS NULL THEN '' ELSE 'The longest, ' || longest || '.0 s, starts at ' || {_clock('at_sec')} || '. With half a second left of each, ' || CAST(floor(greatest(0, total - gaps * 0.5) + 0.5) AS BIGINT) || ' s go.' END, at_sec, NULL FROM inf LEFT JOIN gp USING (media_id) WHERE heard
+    UNION ALL SELECT media_id, 'silences', 'info', 'No audio stream, silence check skipped', '', NULL, NULL FROM inf WHERE NOT heard
+    UNION ALL SELECT media_id, 'secrets', CASE confidence WHEN 'high' THEN 'block' WHEN 'medium' THEN 'warn' ELSE 'info' END, CASE confidence WHEN 'high' THEN c || ' probable secret' || CASE WHEN c > 1 THEN 's' ELSE '' END || ' visible on screen' WHEN 'medium' THEN c || ' possible secret' || CASE WHEN c > 1 THEN 's' ELSE '' END || ' on screen' ELSE c || ' low-confidence token(s) / personal data on screen' END,
+      listed || CASE confidence WHEN 'high' THEN '. Whoever saw it may keep it: cutting the frame is not enough, withdraw the key. ' ELSE '. ' END || coverage, CASE WHEN confidence <> 'low' THEN first_pts END, NULL FROM gr JOIN cov USING (media_id) WHERE seen
+    UNION ALL SELECT media_id, 'secrets', CASE WHEN complete THEN 'ok' ELSE 'warn' END, CASE WHEN complete THEN 'No secrets found in ' || frames || ' frames' ELSE 'No secrets found, but not all was read' END, coverage, NULL, NULL FROM cov WHERE seen AND media_id NOT IN (SELECT media_id FROM once)
+    UNION ALL SELECT media_id, 'secrets', 'info', 'Audio only, on-screen check skipped', '', NULL, NULL FROM inf WHERE NOT seen),
+  rv AS (SELECT *, list_position(['ok', 'info', 'warn', 'block'], severity) AS r, CAST(row_number() OVER (PARTITION BY media_id ORDER BY list_position(['ok', 'info', 'warn', 'block'], severity) DESC, "check", title, detail) AS INTEGER) AS ord FROM fd)"""
+
+
+@query("review_findings", f'WITH {_REVIEW} SELECT media_id, "check", severity, title, detail, at_sec, data, ord FROM rv')
 def review_findings(spark: SparkSession, d: str) -> DataFrame:
-    return _all_findings(spark, d)
+    return _reviewed(spark, d)
 
 
-@query("review_verdict")
+@query("review_verdict", f"WITH {_REVIEW} SELECT media_id, ['ok', 'info', 'warn', 'block'][max(r)] AS verdict, count(*) AS n_findings, CAST(CASE max(r) WHEN 4 THEN 3 WHEN 3 THEN 1 ELSE 0 END AS INTEGER) AS exit_code FROM rv GROUP BY media_id")
 def review_verdict(spark: SparkSession, d: str) -> DataFrame:
-    return review.verdict(_all_findings(spark, d)).withColumn("exit_code", review.exit_code(F.col("verdict")))
+    return review.verdict(_reviewed(spark, d)).withColumn("exit_code", review.exit_code(F.col("verdict")))
+
+
+_ICON = "CASE severity " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in sinks.ICONS.items()) + " ELSE '' END"
 
 
-@query("sink_review_report")
+@query("sink_review_report", f"WITH {_REVIEW} SELECT media_id, string_agg('- ' || {_ICON} || ' **' || title || '**' || CASE WHEN at_sec IS NULL THEN '' ELSE ' _(at ' || {_clock('at_sec')} || ')_' END || CASE WHEN detail = '' THEN '' ELSE chr(10) || '  ' || detail END, chr(10) ORDER BY ord) AS md FROM rv GROUP BY media_id")
 def review_report(spark: SparkSession, d: str) -> DataFrame:
-    return sinks.report(_all_findings(spark, d))
+    return sinks.report(_reviewed(spark, d))
 
 
 @query("review_event_verdict", "WITH s AS (SELECT user_id, CASE event_type WHEN 'purchase' THEN 3 WHEN 'error' THEN 4 WHEN 'click' THEN 2 ELSE 1 END AS r FROM events) SELECT CAST(user_id AS VARCHAR) AS media_id, ['ok', 'info', 'warn', 'block'][max(r)] AS verdict, count(*) AS n_findings FROM s GROUP BY user_id")
@@ -387,7 +446,7 @@ def replaced(spark: SparkSession, d: str) -> DataFrame:
     return state.replaced(old, old.where("k % 3 = 0").withColumn("v", F.lit(-1.0)), "k")
 
 
-@query("media_identity", "SELECT doc_id, CASE WHEN octet_length(encode(text)) <= 2000 THEN 'c_' || left(sha256(text), 24) ELSE 'big' END AS identity FROM documents")
+@query("media_identity", "SELECT doc_id, 'c_' || left(sha256(text), 24) AS identity FROM documents")
 def identity(spark: SparkSession, d: str) -> DataFrame:
     known = media.file_identity(F.col("source"), F.octet_length("text"), F.col("n_chars"), F.col("text").cast("binary"))
     return table(spark, d, "documents").select("doc_id", known.alias("identity"))
@@ -441,7 +500,7 @@ def cluster_voices(spark: SparkSession, d: str) -> DataFrame:
     return clustering.cluster_speakers(t, threshold=0.1, most=6)
 
 
-@query("cluster_similarities", """WITH v AS (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings) SELECT a.label, avg(round(list_dot_product(a.e, b.e), 8))::DECIMAL(18, 4)::DOUBLE AS linkage, count(*) AS pairs FROM v a JOIN v b ON a.label = b.label AND a.n < b.n AND b.n <= 30 GROUP BY a.label""")
+@query("cluster_similarities", """WITH v AS (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT a.label, round(avg(list_dot_product(a.e, b.e)), 4) AS linkage, count(*) AS pairs FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY a.label""")
 def similarities(spark: SparkSession, d: str) -> DataFrame:
     """The mean over all pairs of a label, from sums of vectors; no pair is made."""
     v = table(spark, d, "embeddings").where("label IS NOT NULL")

@@ -51,17 +51,17 @@ def job_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hybrid(spark: SparkSession, d: str) -> tuple[DataFrame, list[float]]:
-    """Documents with a vector of the same id; the query's vector is that of the smallest id."""
+    """All documents, with the vector of the same id if there is one; the query's vector is that of the smallest id."""
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     probe = [float(x) for x in vectors.orderBy("doc_id").first()["embedding"]]
     docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("job_id"), "text", "source", F.lit(0.0).alias("start_sec"), F.when(F.col("doc_id") % 2 == 0, "speech").otherwise("screen").alias("kind"))
-    return search.bm25(docs, QUERY).join(vectors, "doc_id").withColumn("bm25", F.round("bm25", 8)), probe
+    return search.bm25(docs, QUERY).join(vectors, "doc_id", "left").withColumn("bm25", F.round("bm25", 8)), probe
 
 
 _FUSED = """
 v AS (SELECT vec_id AS doc_id, embedding FROM embeddings),
 p AS (SELECT embedding AS q FROM v ORDER BY doc_id LIMIT 1),
-pair AS (SELECT bm.*, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 8) AS vector FROM bm JOIN v USING (doc_id), p{where}),
+pair AS (SELECT bm.*, round(coalesce(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 0), 8) AS vector FROM bm LEFT JOIN v USING (doc_id) CROSS JOIN p{where}),
 ranked AS (SELECT *, row_number() OVER (ORDER BY bm25 DESC, doc_id) AS rb, row_number() OVER (ORDER BY vector DESC, doc_id) AS rv FROM pair),
 fused AS (SELECT *, round(CASE WHEN bm25 > 0 THEN 1 / (60 + rb) ELSE 0 END + 1 / (60 + rv), 5) AS score FROM ranked),
 once AS (SELECT *, row_number() OVER (PARTITION BY job_id, text ORDER BY score DESC, doc_id) AS r FROM fused)

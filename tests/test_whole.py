@@ -4,12 +4,10 @@ import hashlib
 import itertools
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions import media
-from strandline.llm import ann_forest
 from strandline.operators import clustering, secrets
 from strandline.queries import QUERIES
 
@@ -147,22 +145,3 @@ def test_identity_of_large_files_is_by_facts(spark):
     got = [r[0] for r in df.select(media.file_identity(F.col("path"), F.col("size"), F.col("modified"), F.col("content"))).collect()]
     facts = lambda *x: "f_" + hashlib.sha1("|".join(map(str, x)).encode()).hexdigest()[:24]
     assert got == ["c_" + hashlib.sha256(b"x").hexdigest()[:24], *[facts(p, s, m) for p, s, m, _ in rows[1:]]]
-
-
-@pytest.mark.parametrize("repeats", [1, 12])
-def test_ties_in_a_block_go_to_the_smaller_id(repeats):
-    rng = np.random.default_rng(11)
-    x = np.unique(rng.integers(0, 2, (600, 12)), axis=0).astype(float)
-    x = rng.permutation(x[x.any(axis=1)])
-    own = np.arange(len(x)) // repeats  # an id may have several vectors
-    batch = [(0, 0, None, v.tobytes(), [int(i)]) for v, i in zip(x, own, strict=True)] + [(0, 1, int(i), v.tobytes(), None) for v, i in zip(x[:40], own, strict=False)]
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-    made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*batch, strict=True), types, strict=True)], names=["bucket", "kind", "query", "vec", "ids"])
-    for out in ann_forest._rank(5)(iter([made])):
-        assert out.num_rows == 40
-        for n, (query, ids, scores) in enumerate(zip(*(c.to_pylist() for c in out.columns), strict=True)):
-            best = {}
-            for s, i in zip((x @ x[n]).tolist(), own.tolist(), strict=True):
-                best[i] = max(s, best.get(i, s))
-            want = sorted((-s, i) for i, s in best.items() if i != query)[:5]
-            assert list(zip((-np.frombuffer(scores)).tolist(), np.frombuffer(ids, np.int64).tolist(), strict=True)) == want
