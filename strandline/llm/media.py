@@ -8,10 +8,11 @@ keeps its position and caption whether or not its payload is there.
 A payload is the bytes of a text, filled with zeros to a positive multiple of 64.  Storing is lossless:
 what is described is what was read back from the table.
 
-At scale: a task stores a text once, so a common text is a few rows of the table; the digests that are
-referred to are made distinct, with map-side partial sums, before payloads are joined to them, and each
-payload is described once.  Descriptions are written, so that the join that hands them to all references
-stands alone and adaptive execution can split a common digest.
+At scale: a task stores a text once, so a common text is a few rows of the table.  Stored payloads are read
+and described where they lie; only descriptions, made one a digest with map-side partial sums, are moved to
+the references, so payloads are never shuffled.  Descriptions are written first, so that the join that hands
+them out stands alone and adaptive execution can split a common digest.  ``payloads_of`` joins the payloads
+themselves, for those who want them beside their references.
 
 Nulls: a null text is an empty payload, a null page an empty sequence, a null or foreign reference has no
 payload.  Malformed HTML gives what could be read; texts of any length are whole.  Repeated rows and equal
@@ -128,7 +129,7 @@ def store_texts(texts: DataFrame, scratch: Scratch, text_col: str = "text") -> D
 
 
 def describe(payloads: DataFrame) -> DataFrame:
-    """Stored payloads (digest, n_bytes, media) -> sizes, digests and feature of what is read back from each."""
+    """Stored payloads (digest, n_bytes, media) -> per digest sizes, digests and feature of what is read back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,7 +143,8 @@ def describe(payloads: DataFrame) -> DataFrame:
                 yield _rows(made, _DESCRIBED)
 
     ddl = "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return payloads.select("digest", "n_bytes", "media").mapInArrow(run, ddl)
+    rows = payloads.select("digest", "n_bytes", "media").mapInArrow(run, ddl)
+    return rows.groupBy("digest").agg(*[F.first(c).alias(c) for c in rows.columns if c != "digest"])
 
 
 # -- sequences -----------------------------------------------------------------------------------
@@ -263,7 +265,7 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     sequences = interleave(docs.select("doc_id", page.alias("html")), "doc_id")
     refs = scratch.keep(references(sequences, "doc_id"), "references")
     stored = store_texts(docs, scratch)
-    known = scratch.keep(describe(payloads_of(refs, stored)), "descriptions")
+    known = scratch.keep(describe(stored), "descriptions")
     scratch.drop(stored)
     found = resolve(refs, known).where(F.col("ref") != ABSENT)
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")
