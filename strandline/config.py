@@ -40,6 +40,10 @@ class Config:
     heartbeat_ms: int = 5_000
     stale_after_ms: int = 30_000
     offline: bool = False
+    max_download_mb: int = 2_048
+    allow_private: bool = False
+    #: Whether events carry the memory that the process holds.
+    debug_memory: bool = False
 
     @classmethod
     def from_env(cls, prefix: str = "STRANDLINE_") -> Config:

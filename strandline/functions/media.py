@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,23 +89,32 @@ def confidence(speech: Column, words: Column, dur: Column, n_flags: Column) -> C
     return F.round(F.lit(0.55) * F.least(F.lit(1.0), speech / 0.6) + F.lit(0.3) * plausible + F.lit(0.15) * F.when(n_flags > 0, 0.4).otherwise(1.0), 2)
 
 
-def estimate_seconds(task: str, duration: Column, max_frames: Column | int = 120, fast: bool = False, secrets: bool = True) -> Column:
-    """Expected seconds of work of a task."""
-    cap = F.lit(max_frames) if isinstance(max_frames, int) else max_frames
+def _estimate(task: str, duration: object, cap: object, fast: bool, secrets: bool, least: Callable, greatest: Callable, up: Callable) -> object:
     if task == "transcribe":
-        return F.lit(8.0) + duration * (0.2 if fast else 0.6)
+        return 8.0 + duration * (0.2 if fast else 0.6)
     if task == "keyframes":
-        return F.lit(6.0) + duration * 0.04 + F.least(cap, duration / 5) * 0.3
+        return 6.0 + duration * 0.04 + least(cap, duration / 5) * 0.3
     if task == "read_screen":
-        return F.lit(10.0) + duration * 0.04 + F.least(cap, F.greatest(F.lit(6.0), duration / 6)) * 3.2
+        return 10.0 + duration * 0.04 + least(cap, greatest(6.0, duration / 6)) * 3.2
     if task == "review":
-        base = F.lit(4.0) + duration * 0.06
-        return base + 10 + duration * 0.04 + F.least(cap, F.ceil(duration / 4)) * 3.2 if secrets else base
+        base = 4.0 + duration * 0.06
+        return base + 10 + duration * 0.04 + least(cap, up(duration / 4)) * 3.2 if secrets else base
     if task == "diarize":
-        return F.lit(12.0) + duration * 0.08
+        return 12.0 + duration * 0.08
     raise ValueError(f"unknown task {task}")
 
 
+def estimate_seconds(task: str, duration: Column, max_frames: Column | int = 120, fast: bool = False, secrets: bool = True) -> Column:
+    """Expected seconds of work of a task."""
+    cap = F.lit(max_frames) if isinstance(max_frames, int) else max_frames
+    return _estimate(task, duration, cap, fast, secrets, F.least, lambda a, b: F.greatest(F.lit(a), b), F.ceil)
+
+
+def estimated(task: str, duration: float, max_frames: int = 120, fast: bool = False, secrets: bool = True) -> float:
+    """The same of one medium, for the job engine."""
+    return _estimate(task, duration, max_frames, fast, secrets, min, max, math.ceil)
+
+
 def speaker_name(i: Column) -> Column:
     return F.format_string("SPEAKER_%02d", i)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import resource
 import secrets as rnd
 import threading
 import time
@@ -103,46 +105,85 @@ class Job:
     created_at: datetime = field(default_factory=lambda: datetime.now(timezone.utc))
     started_at: datetime | None = None
     finished_at: datetime | None = None
+    updated_at: datetime | None = None
     heartbeat_at: datetime | None = None
     error: EngineError | None = None
     result: object = None
     parent_job_id: str | None = None
     estimate: float | None = None
 
+    def record(self) -> dict:
+        """The row of the job table, and the error as it was."""
+        own = {c: getattr(self, c) for c in ("id", "kind", "status", "stage", "fraction", "message", "created_at", "started_at", "finished_at", "updated_at", "heartbeat_at", "parent_job_id")}
+        return {"schema_version": SCHEMA_VERSION, **own, "params": json.dumps(self.params, default=str), "error_code": self.error.code if self.error else None, "error": self.error.as_dict() if self.error else None}
+
+    @classmethod
+    def of(cls, record: dict) -> Job:
+        times = {c: datetime.fromisoformat(record[c]) if record.get(c) else None for c in ("created_at", "started_at", "finished_at", "updated_at", "heartbeat_at")}
+        error = record.get("error")
+        return cls(record["id"], record["kind"], json.loads(record.get("params") or "{}"), record["status"], record.get("stage") or "", float(record.get("fraction") or 0), record.get("message") or "", **times, error=EngineError(error["code"], error["message"], error.get("hint")) if error else None, parent_job_id=record.get("parent_job_id"))
+
+
+def memory_mb() -> int:
+    """What this process holds of memory now."""
+    try:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * resource.getpagesize() >> 20
+    except OSError:
+        return resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10
+
 
 class Engine:
     """Runs jobs: short ones at once, others on a thread under the limit of their resource class.
 
-    A Spark action inside a job carries the job's tag, so cancelling stops its stages.
+    With a store, records, events and results are written as they change, so that other processes see them
+    and they outlive this one; a record whose owner stopped writing is found interrupted when it is read.
+    A running job's heartbeat is written at fixed times, whether or not it reports progress.  A Spark
+    action inside a job carries the job's tag, so cancelling stops its stages.
     """
 
-    def __init__(self, config: Config | None = None, spark: object = None) -> None:
-        self.config, self.spark = config or Config(), spark
+    def __init__(self, config: Config | None = None, spark: object = None, store: object = None) -> None:
+        self.config, self.spark, self.store = config or Config(), spark, store
         self.kinds: dict[str, Kind] = {}
         self.jobs: dict[str, Job] = {}
         self.events: list[dict] = []
         self._slots = {c: threading.Semaphore(n) for c, n in self.config.concurrency.items()}
         self._threads: dict[str, threading.Thread] = {}
         self._stop: dict[str, threading.Event] = {}
+        self.list()
 
     def register(self, kind: Kind) -> None:
         self.kinds[kind.name] = kind
 
+    def _save(self, job: Job) -> None:
+        job.updated_at = datetime.now(timezone.utc)
+        if self.store is not None:
+            self.store.save(job.record())
+
     def _event(self, job: Job, event: str, **more: object) -> None:
-        self.events.append({"job_id": job.id, "ts": datetime.now(timezone.utc), "stage": job.stage, "event": event, **more})
+        data = {"memory_mb": memory_mb()} if self.config.debug_memory else {}
+        made = {"job_id": job.id, "ts": datetime.now(timezone.utc), "stage": job.stage, "event": event, **more, **({"data": json.dumps(data)} if data else {})}
+        self.events.append(made)
+        if self.store is not None:
+            self.store.append(made)
 
     def submit(self, kind: str, params: dict, inline: bool | None = None, parent_job_id: str | None = None) -> Job:
         if kind not in self.kinds:
             raise EngineError("INVALID_ARGUMENT", f"unknown job kind {kind}")
         what = self.kinds[kind]
         job = Job("j_" + rnd.token_hex(6), kind, params, parent_job_id=parent_job_id)
+        job.heartbeat_at = job.created_at
         self.jobs[job.id], self._stop[job.id] = job, threading.Event()
+        self._save(job)
         try:
             pre = what.prepare(params)
             job.estimate = float(what.estimate(params, pre))
         except Exception as e:  # noqa: BLE001 - whatever went wrong is the job's error
             self._end(job, "failed", e)
+            self._event(job, "error", message=job.error.message)
             return job
+        job.stage, job.message = "queued", "waits for a slot"
+        self._save(job)
         at_once = job.estimate <= self.config.inline_seconds > 0 if inline is None else inline
         if at_once:
             self._run(job, what, pre)
@@ -151,46 +192,83 @@ class Engine:
             self._threads[job.id].start()
         return job
 
+    def _beat(self, job: Job, done: threading.Event) -> None:
+        while not done.wait(self.config.heartbeat_ms / 1000):
+            if job.status == "running":
+                job.heartbeat_at = datetime.now(timezone.utc)
+                try:
+                    self._save(job)
+                except Exception as e:  # noqa: BLE001 - a missed beat is told, and the next one tried
+                    self.events.append({"job_id": job.id, "ts": job.heartbeat_at, "stage": "heartbeat", "event": "info", "message": str(e)})
+
     def _run(self, job: Job, what: Kind, pre: object) -> None:
-        resource = what.resource(job.params) if callable(what.resource) else what.resource
-        with self._slots[resource]:
+        resource_class = what.resource(job.params) if callable(what.resource) else what.resource
+        with self._slots[resource_class]:
             if self._stop[job.id].is_set():
                 self._end(job, "cancelled", EngineError("CANCELLED", "cancelled before it started"))
                 return
-            job.status, job.stage, job.started_at = "running", "starting", datetime.now(timezone.utc)
+            job.status, job.stage, job.started_at, job.message = "running", "starting", datetime.now(timezone.utc), "starting"
             job.heartbeat_at = job.started_at
+            self._save(job)
             self._event(job, "start")
+            done = threading.Event()
+            threading.Thread(target=self._beat, args=(job, done), daemon=True).start()
             if self.spark is not None:
                 self.spark.addTag(job.id)
             began = time.monotonic()
             try:
                 job.result = what.run(job.params, pre, lambda *a: self._progress(job, *a))
-                self._end(job, "cancelled" if self._stop[job.id].is_set() else "completed", None)
+                stopped = self._stop[job.id].is_set()
+                if self.store is not None and not stopped:
+                    self.store.save_result(job.id, job.result)
+                self._end(job, "cancelled" if stopped else "completed", EngineError("CANCELLED", "cancelled") if stopped else None)
             except Exception as e:  # noqa: BLE001 - whatever went wrong is the job's error
-                self._end(job, "cancelled" if self._stop[job.id].is_set() else "failed", e)
+                stopped = self._stop[job.id].is_set()
+                self._end(job, "cancelled" if stopped else "failed", EngineError("CANCELLED", "cancelled") if stopped else e)
             finally:
-                self._event(job, "end", duration_ms=int((time.monotonic() - began) * 1000))
+                done.set()
+                took = int((time.monotonic() - began) * 1000)
+                self._event(job, "end" if job.status == "completed" else "error", duration_ms=took, **({"message": job.error.message} if job.error else {}))
                 if self.spark is not None:
                     self.spark.removeTag(job.id)
 
     def _progress(self, job: Job, stage: str, fraction: float, message: str = "") -> None:
         if self._stop[job.id].is_set():
             raise EngineError("CANCELLED", "cancelled")
-        job.stage, job.fraction, job.message = stage, min(1.0, max(0.0, fraction)), message
+        job.stage, job.fraction, job.message = stage, min(1.0, max(0.0, fraction)), message or stage
         job.heartbeat_at = datetime.now(timezone.utc)
+        self._save(job)
         self._event(job, "progress", message=message)
 
     def _end(self, job: Job, status: str, error: Exception | None) -> None:
-        job.status, job.finished_at = status, datetime.now(timezone.utc)
+        job.finished_at = datetime.now(timezone.utc)
         if error is not None:
             job.error = error if isinstance(error, EngineError) else EngineError("INTERNAL", str(error))
         elif status == "completed":
-            job.fraction = 1.0
+            job.fraction, job.stage, job.message = 1.0, "done", "completed"
+        job.status = status
+        self._save(job)
+
+    def _fresh(self, job: Job) -> Job:
+        """A job as its record has it; interrupted if it is another process's that stopped writing."""
+        if job.id in self.jobs or job.status not in ACTIVE:
+            return job
+        quiet = datetime.now(timezone.utc) - (job.heartbeat_at or job.updated_at or job.created_at)
+        if quiet.total_seconds() * 1000 > self.config.stale_after_ms:
+            said = "while this job ran" if job.status == "running" else "before this job started"
+            self._end(job, "interrupted", EngineError("INTERRUPTED", f"the process that owned it stopped {said}", "submit it again"))
+        return job
 
     def cancel(self, job_id: str) -> Job:
+        """The job after the change; a finished one is unchanged, and another process's running one can't be stopped from here."""
         job = self.get(job_id)
         if job.status in DONE:
             return job
+        if job_id not in self.jobs:
+            if job.status == "running":
+                raise EngineError("JOB_NOT_DONE", f"job {job_id} runs in another process", "cancel it there, or wait until its heartbeat is stale")
+            self._end(job, "cancelled", EngineError("CANCELLED", "cancelled before it started"))
+            return job
         self._stop[job_id].set()
         if self.spark is not None:
             self.spark.interruptTag(job_id) if hasattr(self.spark, "interruptTag") else self.spark.sparkContext.cancelJobsWithTag(job_id)
@@ -199,9 +277,12 @@ class Engine:
         return job
 
     def get(self, job_id: str) -> Job:
-        if job_id not in self.jobs:
+        if job_id in self.jobs:
+            return self.jobs[job_id]
+        record = self.store.load(job_id) if self.store is not None else None
+        if record is None:
             raise EngineError("JOB_NOT_FOUND", f"no job {job_id}")
-        return self.jobs[job_id]
+        return self._fresh(Job.of(record))
 
     def wait(self, job_id: str, timeout: float | None = None) -> Job:
         if job_id in self._threads:
@@ -212,16 +293,23 @@ class Engine:
         job = self.get(job_id)
         if job.status != "completed":
             raise EngineError("JOB_NOT_DONE", f"job {job_id} is {job.status}")
-        return job.result
+        return job.result if job_id in self.jobs else self.store.load_result(job_id)
 
     def list(self) -> list[Job]:
-        return sorted((replace(j) for j in self.jobs.values()), key=lambda j: j.created_at, reverse=True)
+        """All jobs that this process or the store knows, newest first."""
+        others = [self.store.load(i) for i in self.store.ids() if i not in self.jobs] if self.store is not None else []
+        every = [replace(j) for j in self.jobs.values()] + [self._fresh(Job.of(r)) for r in others if r]
+        return sorted(every, key=lambda j: j.created_at, reverse=True)
 
     def estimate(self, kind: str, params: dict) -> float:
+        if kind not in self.kinds:
+            raise EngineError("INVALID_ARGUMENT", f"unknown job kind {kind}")
         what = self.kinds[kind]
         return float(what.estimate(params, what.prepare(params)))
 
     def remove(self, job_id: str) -> None:
         if self.get(job_id).status in ACTIVE:
             raise EngineError("JOB_NOT_DONE", f"job {job_id} is active")
-        del self.jobs[job_id]
+        self.jobs.pop(job_id, None)
+        if self.store is not None:
+            self.store.remove(job_id)

@@ -565,3 +565,65 @@ def track_turns(spark: SparkSession, d: str) -> DataFrame:
 
     tracks = segments(spark, d).select("media_id", "start_sec", "end_sec", F.col("speaker").alias("participant"))
     return diarize.track_turns(tracks).select("media_id", "turn_no", "start_sec", "speaker", "confidence")
+
+
+# -- responses and figures --------------------------------------------------------------------------
+
+_TOKENS = "CAST(ceil(length(to_json({{{}}})) / 3.5) AS BIGINT)"
+
+
+@query("trim_segments", f"""WITH {SEG}, c AS (SELECT media_id, seg_id, text, {_TOKENS.format("'seg_id': seg_id, 'text': text")} AS cost FROM seg), w AS (SELECT *, sum(cost) OVER k AS used, row_number() OVER k AS r, sum(cost) OVER (PARTITION BY media_id) AS total, count(*) OVER (PARTITION BY media_id) AS n FROM c WINDOW k AS (PARTITION BY media_id ORDER BY seg_id)),
+  kept AS (SELECT *, n - count(*) OVER (PARTITION BY media_id) AS gone FROM w WHERE total <= 300 OR r = 1 OR used <= 300) SELECT media_id, seg_id, text, CASE WHEN gone > 0 THEN gone || ' of ' || n || ' segment(s) omitted; all of it: strand://jobs/' || media_id || '/transcript' END AS note FROM kept""")
+def trim_segments(spark: SparkSession, d: str) -> DataFrame:
+    from strandline.plans import trim
+
+    return trim.segments(segments(spark, d).select("media_id", "seg_id", "text"), 300, key="media_id")
+
+
+@query("trim_screen", f"""WITH f AS (SELECT source AS media_id, doc_id, text, [left(text, 10)] AS blocks FROM documents), s AS (SELECT *, sum({_TOKENS.format("'doc_id': doc_id, 'text': text, 'blocks': blocks")}) OVER (PARTITION BY media_id) > 30000 AS over, greatest(60, 30000 // count(*) OVER (PARTITION BY media_id)) * 3 AS most FROM f)
+  SELECT media_id, doc_id, CASE WHEN over AND length(text) > most THEN left(text, most) || '…' ELSE text END AS text, CASE WHEN NOT over THEN blocks END AS blocks, CASE WHEN over THEN 'blocks omitted, texts capped; all of it: strand://jobs/' || media_id || '/ocr' END AS note FROM s""")
+def trim_screen(spark: SparkSession, d: str) -> DataFrame:
+    from strandline.plans import trim
+
+    f = table(spark, d, "documents").select(F.col("source").alias("media_id"), "doc_id", "text", F.array(F.left("text", F.lit(10))).alias("blocks"))
+    return trim.screen(f, 30_000, key="media_id")
+
+
+@query("trim_key_frames", f"""WITH {base.FRAMES}, s AS (SELECT media_id, idx, dhash, sum({_TOKENS.format("'idx': idx, 'dhash': dhash")}) OVER (PARTITION BY media_id) > 700 AS over FROM fr) SELECT media_id, idx, CASE WHEN NOT over THEN dhash END AS dhash, CASE WHEN over THEN 'hashes omitted' END AS note FROM s""")
+def trim_key_frames(spark: SparkSession, d: str) -> DataFrame:
+    from strandline.plans import trim
+
+    return trim.key_frames(base.frames(spark, d).select("media_id", "idx", "dhash"), 700, key="media_id")
+
+
+@query("plan_speaker_counts", f"WITH {SEG}, {TURN} SELECT media_id, count(DISTINCT speaker) AS speakers FROM turns GROUP BY media_id")
+def speaker_counts(spark: SparkSession, d: str) -> DataFrame:
+    from strandline.plans import pipelines
+
+    return pipelines.speaker_counts(turns(spark, d))
+
+
+@query("state_known_timings", "SELECT o.o_orderkey AS fixture, o.o_orderkey % 2 = 0 AS cached, CASE WHEN o.o_orderkey % 2 = 0 THEN coalesce(p.o_totalprice, o.o_orderkey) ELSE o.o_orderkey END::DOUBLE AS seconds FROM orders o LEFT JOIN (SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F') p USING (o_orderkey)")
+def known_timings(spark: SparkSession, d: str) -> DataFrame:
+    """Orders are runs; those that are fulfilled have an earlier one."""
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    runs = o.select(k.alias("fixture"), (k % 2 == 0).alias("cached"), k.cast("double").alias("seconds"))
+    return state.known_timings(runs, o.where("o_orderstatus = 'F'").select(k.alias("fixture"), F.col("o_totalprice").cast("double").alias("seconds")))
+
+
+@query("source_limits", rf"SELECT page_id, CASE WHEN regexp_matches(lower({_HOST}), '\.(localhost|local|internal|home\.arpa)$') OR lower({_HOST}) = 'localhost' THEN 'SOURCE_BLOCKED' WHEN length(html) > 9000 THEN 'SOURCE_TOO_LARGE' WHEN page_id % 50 > 40 THEN 'SOURCE_TOO_LONG' END AS error_code FROM pages")
+def source_limits(spark: SparkSession, d: str) -> DataFrame:
+    from strandline.plans import pipelines
+
+    p = table(spark, d, "pages").select("page_id", F.col("url").alias("input"), F.length("html").alias("length"), (F.col("page_id") % 50).cast("double").alias("duration_sec"))
+    return pipelines.limits(src.resolve(p), 40.0, 9_000).select("page_id", "error_code")
+
+
+@query("media_audio_levels", "WITH v AS (SELECT vec_id // 50 AS media_id, vec_id % 50 AS no, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT CAST(media_id AS VARCHAR) AS media_id, CAST(row_number() OVER (PARTITION BY media_id ORDER BY no) - 1 AS INTEGER) AS idx, round(sqrt(list_sum(list_transform(e, lambda x: x * x)) / len(e)), 5) AS rms FROM v")
+def audio_levels(spark: SparkSession, d: str) -> DataFrame:
+    """A vector, eight times over, is a chunk of one frame of sound."""
+    from strandline.plans import pipelines
+
+    v = table(spark, d, "embeddings")
+    pcm = v.select(F.floor(F.col("vec_id") / 50).cast("string").alias("media_id"), (F.col("vec_id") % 50).cast("int").alias("chunk_no"), F.flatten(F.array_repeat("embedding", 8)).alias("samples"))
+    return pipelines.levels(pcm).select("media_id", "idx", F.round("rms", 5).alias("rms"))
