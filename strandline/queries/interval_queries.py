@@ -134,14 +134,21 @@ def speech_summary(spark: SparkSession, d: str) -> DataFrame:
 _CAND = """cand AS (SELECT media_id, idx * 0.5::DOUBLE + CASE WHEN event_id % 3 = 0 THEN 0.45::DOUBLE ELSE 0 END AS pts, CAST(row_number() OVER (PARTITION BY media_id ORDER BY idx) AS INTEGER) AS i, CASE idx % 3 WHEN 0 THEN ['hash'] WHEN 1 THEN ['cut'] ELSE ['anchor'] END AS sources,
     CASE WHEN idx % 3 = 0 THEN dhash END AS dhash, CASE WHEN idx % 3 = 0 THEN CAST(event_id % 60 AS INTEGER) END AS distance FROM fr)"""
 _JOINED = "round(c.pts - m.pts, 6) <= 0.75"
-_MERGE_CAND = f"""m AS (SELECT media_id, i, 0 AS ord, pts, sources, dhash, distance FROM cand WHERE i = 1
+
+
+def _merge_cand(cand: str, m: str, mc: str) -> str:
+    """Candidates (i, pts, sources, dhash, distance) of a table, merged step by step, and what became of them."""
+    return f"""{m} AS (SELECT media_id, i, 0 AS ord, pts, sources, dhash, distance FROM {cand} WHERE i = 1
     UNION ALL SELECT c.media_id, c.i, m.ord + CASE WHEN {_JOINED} THEN 0 ELSE 1 END,
       CASE WHEN {_JOINED} AND NOT (list_contains(c.sources, 'cut') AND NOT list_contains(m.sources, 'cut')) THEN m.pts ELSE c.pts END,
       CASE WHEN {_JOINED} THEN list_sort(list_distinct(list_concat(m.sources, c.sources))) ELSE c.sources END,
       CASE WHEN {_JOINED} AND m.dhash IS NOT NULL THEN m.dhash ELSE c.dhash END,
       CASE WHEN NOT {_JOINED} THEN c.distance WHEN c.distance IS NOT NULL AND (m.distance IS NOT NULL) THEN greatest(c.distance, m.distance) WHEN c.dhash IS NOT NULL AND m.dhash IS NULL THEN c.distance ELSE m.distance END
-    FROM m JOIN cand c ON c.media_id = m.media_id AND c.i = m.i + 1),
-  mc AS (SELECT media_id, CAST(ord AS INTEGER) AS ord, arg_max(pts, i) AS pts, arg_max(sources, i) AS sources, max(dhash) AS dhash, max(distance) AS distance FROM m GROUP BY media_id, ord)"""
+    FROM {m} m JOIN {cand} c ON c.media_id = m.media_id AND c.i = m.i + 1),
+  {mc} AS (SELECT media_id, CAST(ord AS INTEGER) AS ord, arg_max(pts, i) AS pts, arg_max(sources, i) AS sources, max(dhash) AS dhash, max(distance) AS distance FROM {m} GROUP BY media_id, ord)"""
+
+
+_MERGE_CAND = _merge_cand("cand", "m", "mc")
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -181,25 +188,37 @@ def max_gap(spark: SparkSession, d: str) -> DataFrame:
     return intervals.max_gap(_spread(spark, d))
 
 
-def _prune_sql(most: int, loose: str) -> str:
-    return f"""a AS (SELECT *, count(*) OVER (PARTITION BY media_id) AS n, {loose} AS loose FROM mc),
+def _prune_sql(most: int, loose: str, mc: str = "mc") -> str:
+    return f"""a AS (SELECT *, count(*) OVER (PARTITION BY media_id) AS n, {loose} AS loose FROM {mc}),
   b AS (SELECT *, row_number() OVER (PARTITION BY media_id, loose ORDER BY coalesce(distance, 0), pts, ord) AS r FROM a),
   c AS (SELECT media_id, ord, pts, sources, dhash, distance FROM b WHERE NOT (loose AND r <= n - {most})),
   e AS (SELECT *, count(*) OVER (PARTITION BY media_id) AS n, list_contains(sources, 'anchor') AS anchor FROM c),
   f AS (SELECT *, row_number() OVER (PARTITION BY media_id, anchor ORDER BY pts, ord) - 1 AS pos, count(*) OVER (PARTITION BY media_id, anchor) AS cnt FROM e),
   g AS (SELECT *, {most} - least({most}, n - cnt) AS room FROM f),
   idx AS (SELECT DISTINCT media_id, floor(k * cnt / room) AS keep_at FROM (SELECT DISTINCT media_id, cnt, room, unnest(range(0, room)) AS k FROM g WHERE NOT anchor AND room > 0))
-  SELECT media_id, ord, round(pts, 4) AS pts, array_to_string(sources, '+') AS sources FROM g LEFT JOIN idx USING (media_id)
+  SELECT media_id, ord, pts, sources, dhash, distance FROM g LEFT JOIN idx USING (media_id)
   WHERE (n <= {most}) OR (anchor AND pos < {most}) OR (NOT anchor AND keep_at = pos) GROUP BY ALL"""
 
 
-@query("fold_prune_frames", f"WITH RECURSIVE {FRAMES}, {_CAND}, {_MERGE_CAND}, {_prune_sql(12, 'len(sources) = 1 AND (list_contains(sources, $$hash$$) OR list_contains(sources, $$floor$$))')}")
+_LOOSE = "len(sources) = 1 AND (list_contains(sources, 'hash') OR list_contains(sources, 'floor'))"
+
+
+@query("fold_prune_frames", f"WITH RECURSIVE {FRAMES}, {_CAND}, {_MERGE_CAND}, left_over AS (WITH {_prune_sql(12, _LOOSE)}) SELECT media_id, ord, round(pts, 4) AS pts, array_to_string(sources, '+') AS sources FROM left_over")
 def prune_frames(spark: SparkSession, d: str) -> DataFrame:
     made = folds.prune(folds.merge_candidates(_candidates(spark, d)), 12)
     return made.select("media_id", "ord", *_r("pts"), F.array_join(F.array_sort("sources"), "+").alias("sources"))
 
 
-@query("plan_key_frames")
+@query("plan_key_frames", f"""WITH RECURSIVE {FRAMES}, {_KEPT}, ends AS (SELECT media_id, max(pts) + 1 AS to_sec FROM fr GROUP BY media_id),
+  every AS (SELECT media_id, pts, 0 AS kind, ['hash'] AS sources, dhash, distance FROM kept WHERE keep
+    UNION ALL SELECT media_id, least(pts + 0.4::DOUBLE, to_sec - 0.25::DOUBLE), 1, ['cut'], NULL, NULL FROM fr JOIN ends USING (media_id) WHERE event_type = 'click' AND event_id % 7 = 0
+    UNION ALL SELECT media_id, pts, 2, ['anchor'], NULL, NULL FROM fr JOIN ends USING (media_id) WHERE event_id % 101 = 0 AND pts BETWEEN 0 AND to_sec),
+  c1 AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY pts, kind) AS i FROM every), {_merge_cand('c1', 'm1', 'mc1')},
+  gaps AS (SELECT media_id, coalesce(lag(pts) OVER (PARTITION BY media_id ORDER BY pts), 0) AS a, pts AS b FROM mc1 UNION ALL SELECT media_id, max(pts), any_value(to_sec) FROM mc1 JOIN ends USING (media_id) GROUP BY media_id),
+  holes AS (SELECT *, CAST(greatest(0, ceil(round((b - a) / 4, 6)) - 1) AS INTEGER) AS n FROM gaps), floors AS (SELECT media_id, a + k * 4 AS pts FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM holes WHERE n > 0)),
+  c2 AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY pts, kind) AS i FROM (SELECT media_id, pts, ord AS kind, sources, dhash, distance FROM mc1 UNION ALL SELECT media_id, pts, 1 << 30, ['floor'], NULL, NULL FROM floors)), {_merge_cand('c2', 'm2', 'mc2')},
+  left_over AS (WITH {_prune_sql(40, _LOOSE, 'mc2')}), numbered AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY pts, ord) AS i FROM left_over)
+  SELECT media_id, CAST(i AS INTEGER) AS index, round(pts, 2) AS pts, array_to_string(list_sort(sources), '+') AS sources, dhash, distance, (i - 1) // 9 + 1 AS sheet, (i - 1) % 9 + 1 AS tile FROM numbered""")
 def key_frames(spark: SparkSession, d: str) -> DataFrame:
     f = frames(spark, d)
     ends = f.groupBy("media_id").agg((F.max("pts") + 1).alias("to_sec"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import media
 from strandline.operators import clustering, secrets
+from strandline.plans import diarize
 from strandline.queries import QUERIES
 
 
@@ -145,3 +146,42 @@ def test_identity_of_large_files_is_by_facts(spark):
     got = [r[0] for r in df.select(media.file_identity(F.col("path"), F.col("size"), F.col("modified"), F.col("content"))).collect()]
     facts = lambda *x: "f_" + hashlib.sha1("|".join(map(str, x)).encode()).hexdigest()[:24]
     assert got == ["c_" + hashlib.sha256(b"x").hexdigest()[:24], *[facts(p, s, m) for p, s, m, _ in rows[1:]]]
+
+
+def _plain_islands(rows, label, gap):
+    """Rows (start, end, label, confidence) in order -> runs (number, rows)."""
+    runs, last = [], None
+    for r in rows:
+        if last is None or r[2] != last[2] or round(r[0] - last[1], 6) >= gap:
+            runs.append([])
+        runs[-1].append(r)
+        last = r
+    return list(enumerate(runs, 1))
+
+
+def test_diarized_turns_match_plain(spark):
+    rng = np.random.default_rng(23)
+    local, voices = [], []
+    for m in ("a", "b", "c"):
+        at = 0.0
+        for n in range(70 if m != "c" else 1):
+            length = float(rng.choice([0.3, 0.5, 1.0, 2.0, 3.0]))
+            local.append((m, n, round(at, 3), round(at + length, 3), int(rng.integers(0, 3)), float(rng.integers(5, 10)) / 10))
+            at += length + float(rng.choice([0.0, 0.2, 0.5, 1.0]))
+        voices += [(m, n, (rng.normal(0, 0.4, 4) + 2 * np.eye(4)[n % 3]).astype(np.float32).tolist()) for n in range(1, 80)]
+    got = diarize.speaker_turns(spark.createDataFrame(local, "media_id string, seg_no int, start_sec double, end_sec double, local int, confidence double"), spark.createDataFrame(voices, "media_id string, turn_no int, embedding array<float>"), threshold=0.1, most=4)
+    voice = {(m, n): np.array(v, np.float32).astype(float) for m, n, v in voices}
+    want = []
+    for m in ("a", "b", "c"):
+        rows = sorted((s, e, int(s // 60) * 100 + label, c, n) for mm, n, s, e, label, c in local if mm == m)
+        turns = [(n, run[0][0], run[-1][1], max(r[3] for r in run)) for n, run in _plain_islands(rows, 2, 0.4) if round(run[-1][1] - run[0][0], 6) >= 0.6]
+        long = [t for t in turns if round(t[2] - t[1], 6) >= 1.5]
+        carried = long if len(long) >= 2 else turns
+        vectors = np.array([voice[m, t[0]] for t in carried])
+        labels = dict(zip([t[0] for t in carried], _plain_clusters(vectors, np.array([t[2] - t[1] for t in carried]), 0.1, 4), strict=True)) if carried else {}
+        named = []
+        for t in turns:
+            near = min(((round(abs(o[1] - t[1]), 6), o[0]) for o in carried), default=None)
+            named.append((t[1], t[2], labels.get(t[0], labels[near[1]] if near else 0), t[3]))
+        want += [(m, run[0][0], run[-1][1], f"SPEAKER_{run[0][2]:02d}", run[0][3]) for _, run in _plain_islands(named, 2, 0.6)]
+    assert sorted((r.media_id, r.start_sec, r.end_sec, r.speaker, r.confidence) for r in got.collect()) == sorted(want)
