@@ -8,7 +8,9 @@ Exact for the given threshold (up to collisions of 64-bit hashes), without a cap
    many documents share don't make candidates.  Texts with equal sets become one representative.
 2. Representatives that share a prefix shingle, sorted by size, form a run.  The smallest set of each
    size band of a run is its pivot; every other member is first compared with its pivot only, which
-   joins large groups of copies by a number of pairs linear in their size.
+   joins large groups of copies by a number of pairs linear in their size.  A shingle that more than
+   ``SPLIT`` documents hold is dealt to several tasks, each with pivots of its own; the pivots of a
+   shingle and size band are then compared with the smallest of them.
 3. Runs that still hold more than one component are cut into blocks by size; every two blocks whose
    size bands fit make a tile.  A tile compares members of different components by their bitmaps, and
    says only which components may belong together.  Components that may, over all tiles, make a family.
@@ -36,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm._common import Scratch, WordHasher, by_bucket, grouped, ints, is_empty, packed, rows_of, salted, windows, words_of
+from strandline.llm._common import MULT, Scratch, WordHasher, by_bucket, grouped, ints, is_empty, mix, packed, rows_of, salted, windows, words_of
 from strandline.llm.components import connected_components
 
 #: Shingles in one bucket of a packed shuffle, about.
@@ -45,6 +47,8 @@ PER_BUCKET = 1_000_000
 FLUSH = 1_000_000
 #: A shingle may be called frequent if it makes up one in FREQUENT of all; so there are at most as many.
 FREQUENT = 1 << 19
+#: Documents that hold a shingle, beyond which its run is dealt to several tasks.
+SPLIT = 200_000
 #: Members of a block of a run; a tile holds two.
 TILE = 2_048
 #: Words of 64 bits in the filter that keeps texts out of a shuffle.
@@ -134,13 +138,15 @@ def _often(k: int) -> Callable:
     return run
 
 
-def frequent_shingles(docs: DataFrame, k: int, scratch: Scratch) -> tuple[np.ndarray, int]:
-    """Sorted hashes of frequent shingles, at most FREQUENT; and the number of shingles."""
+def frequent_shingles(docs: DataFrame, k: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sorted hashes of frequent shingles, at most FREQUENT, with their counts; and the number of shingles."""
     seen = scratch.keep(docs.select("text").mapInArrow(_often(k), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "often")
     total = (seen.where("h is null").agg(F.max("n")).first()[0]) or 0
     least = max(8, -(-total // FREQUENT))
-    got = seen.where((F.col("h").isNotNull()) & (F.col("n") >= least)).select("h").toPandas()["h"].to_numpy(np.int64)
-    return np.sort(got.view(np.uint64)), total
+    got = seen.where((F.col("h").isNotNull()) & (F.col("n") >= least)).select("h", "n").toPandas()
+    h, n = got["h"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64)
+    order = np.argsort(h)
+    return h[order], n[order], total
 
 
 def _sets(k: int, num: int, den: int, frequent: object) -> Callable:
@@ -165,19 +171,33 @@ def _sets(k: int, num: int, den: int, frequent: object) -> Callable:
 # -- step 2 --------------------------------------------------------------------------------------
 
 
-def _deal_prefixes(buckets: int) -> Callable:
+class _Split:
+    """Shingles whose runs are dealt to several tasks, sorted, and to how many each."""
+
+    def __init__(self, h: np.ndarray, n: np.ndarray) -> None:
+        self.h, self.ways = h[n > SPLIT], 1 + n[n > SPLIT] // SPLIT
+
+    def ways_of(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.h):
+            return np.ones(len(h), np.int64)
+        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        return np.where(self.h[at] == h, self.ways[at], 1)
+
+
+def _deal_prefixes(buckets: int, split: object) -> Callable:
     schema = pa.schema([("bucket", pa.int64()), ("h", pa.binary()), ("doc", pa.binary()), ("n", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, bytes]] = []
-        size = 0
+        size, own = 0, split.value
 
         def flush() -> pa.RecordBatch:
             h = ints([p for *_, p in held], np.uint64)
             each = [len(p) // 8 for *_, p in held]
             doc = np.repeat(np.array([d for d, *_ in held], np.int64), each)
             n = np.repeat(np.array([x for _, x, _ in held], np.int32), each)
-            return packed((h % np.uint64(buckets)).astype(np.int64), [h, doc, n], schema)
+            way = mix(doc.view(np.uint64)) % own.ways_of(h).astype(np.uint64)
+            return packed(((h + way * MULT) % np.uint64(buckets)).astype(np.int64), [h, doc, n], schema)
 
         for batch in batches:
             for columns in rows_of(batch):
@@ -194,11 +214,12 @@ def _deal_prefixes(buckets: int) -> Callable:
 
 
 def _runs(hs: list[bytes], docs: list[bytes], ns: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Members sorted by (shingle, size): their documents and sizes, and each run's shingle, start and length."""
     h, doc, n = ints(hs, np.uint64), ints(docs, np.int64), ints(ns, np.int32).astype(np.int64)
     order = np.lexsort((doc, n, h))
     h, doc, n = h[order], doc[order], n[order]
     starts = np.r_[0, np.flatnonzero(h[1:] != h[:-1]) + 1]
-    return doc, n, starts, np.diff(np.r_[starts, len(h)])
+    return doc, n, h[starts], starts, np.diff(np.r_[starts, len(h)])
 
 
 def _pivots(n: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -213,18 +234,29 @@ def _pivots(n: np.ndarray, num: int, den: int) -> np.ndarray:
     return out
 
 
-def _candidates(num: int, den: int) -> Callable:
-    """Per bucket: pairs (pivot, member), and the runs of three or more members once each, in pieces."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("run", pa.int64()), ("docs", pa.binary())])
+def _candidates(num: int, den: int, split: object) -> Callable:
+    """Per bucket: pairs (pivot, member), and the runs of three or more members once each, in pieces.
+
+    Of a run that is dealt to several tasks a piece is here: its pairs, its members under the run's own
+    key, and its pivots with their size band.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("run", pa.int64()), ("docs", pa.binary()), ("band", pa.int64())])
+    width = np.log(den / num) if num < den else None
+
+    def rows(**given: list | np.ndarray) -> pa.RecordBatch:
+        size = len(next(iter(given.values())))
+        return pa.RecordBatch.from_arrays([pa.array(given[f.name], f.type) if f.name in given else pa.nulls(size, f.type) for f in schema], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = split.value
         for _, cells in grouped(batches, 1):
-            doc, n, starts, sizes = _runs(*cells)
-            two = starts[sizes == 2]
+            doc, n, shingle, starts, sizes = _runs(*cells)
+            apart = own.ways_of(shingle) > 1
+            two = starts[(sizes == 2) & ~apart]
             near = den * n[two] >= num * n[two + 1]
             pairs = [np.stack([doc[two], doc[two + 1]], axis=1)[near]]
-            runs, seen = [], set()
-            many = np.flatnonzero(sizes > 2)
+            runs, seen, pivots = [], set(), []
+            many = np.flatnonzero((sizes > 2) & ~apart)
             for at, size in zip(starts[many].tolist(), sizes[many].tolist(), strict=True):
                 mine = doc[at : at + size]
                 key = xxhash.xxh3_64_intdigest(mine.tobytes()) - (1 << 63)
@@ -234,11 +266,23 @@ def _candidates(num: int, den: int) -> Callable:
                 pivot = _pivots(n[at : at + size], num, den)
                 pairs.append(np.stack([mine[pivot], mine], axis=1)[pivot != np.arange(size)])
                 runs += [(key, mine[i : i + TILE].tobytes()) for i in range(0, size, TILE)]
+            for i in np.flatnonzero(apart).tolist():
+                at, size = int(starts[i]), int(sizes[i])
+                mine, length = doc[at : at + size], n[at : at + size]
+                key = int(mix(shingle[i : i + 1]).view(np.int64)[0])
+                band = length if width is None else np.floor(np.log(length) / width).astype(np.int64)
+                first = np.r_[0, np.flatnonzero(np.diff(band)) + 1]
+                pivot = np.repeat(first, np.diff(np.r_[first, size]))
+                pairs.append(np.stack([mine[pivot], mine], axis=1)[pivot != np.arange(size)])
+                runs += [(key, mine[j : j + TILE].tobytes()) for j in range(0, size, TILE)]
+                pivots += [(int(mine[j]), key, int(band[j])) for j in first.tolist()]
             found = np.unique(np.concatenate(pairs), axis=0)
             if len(found):
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.nulls(len(found), pa.int64()), pa.nulls(len(found), pa.binary())], schema=schema)
+                yield rows(a=found[:, 0], b=found[:, 1])
             if runs:
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(runs), pa.int64()), pa.nulls(len(runs), pa.int64()), pa.array([r for r, _ in runs], pa.int64()), pa.array([d for _, d in runs], pa.binary())], schema=schema)
+                yield rows(run=[r for r, _ in runs], docs=[d for _, d in runs])
+            if pivots:
+                yield rows(a=[p for p, _, _ in pivots], run=[r for _, r, _ in pivots], band=[x for *_, x in pivots])
 
     return run
 
@@ -434,8 +478,9 @@ def similar_texts(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    frequent, total = frequent_shingles(docs, k, scratch)
+    frequent, counts, total = frequent_shingles(docs, k, scratch)
     often = spark.sparkContext.broadcast(frequent.tobytes())
+    split = spark.sparkContext.broadcast(_Split(frequent, counts))
     wide = scratch.keep(docs.mapInArrow(_sets(k, num, den, often), "doc_id long, n long, key binary, bits binary, prefix binary"), "sets")
     some = wide.where("n > 0 and doc_id is not null")
     reps = scratch.keep(some.groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")), "reps")
@@ -443,13 +488,17 @@ def similar_texts(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     scratch.drop(wide)
 
     buckets = 1 + int(total * (1 - num / den) / PER_BUCKET)
-    dealt = reps.select("doc", "n", "prefix").mapInArrow(_deal_prefixes(buckets), "bucket long, h binary, doc binary, n binary")
-    found = scratch.keep(by_bucket(dealt).select("bucket", "h", "doc", "n").mapInArrow(_candidates(num, den), "a long, b long, run long, docs binary"), "candidates")
-    links = verify(found.where("a is not null").select("a", "b").distinct(), docs, reps, k, num, den, scratch)
+    dealt = reps.select("doc", "n", "prefix").mapInArrow(_deal_prefixes(buckets, split), "bucket long, h binary, doc binary, n binary")
+    found = scratch.keep(by_bucket(dealt).select("bucket", "h", "doc", "n").mapInArrow(_candidates(num, den, split), "a long, b long, run long, docs binary, band long"), "candidates")
+    pairs = found.where("b is not null").select("a", "b")
+    pivots = found.where("band is not null").select("run", "band", "a")
+    heads = pivots.groupBy("run", "band").agg(F.min("a").alias("head"))
+    pairs = pairs.unionAll(pivots.join(heads, ["run", "band"]).where("a <> head").select(F.col("head").alias("a"), F.col("a").alias("b")))
+    links = verify(pairs.distinct(), docs, reps, k, num, den, scratch)
     comps = scratch.keep(connected_components(links, scratch), "components")
 
     # runs whose members are now all in one component need no more work
-    runs = found.where("run is not null").select("run", "docs").dropDuplicates(["run", "docs"])
+    runs = found.where("docs is not null").select("run", "docs").dropDuplicates(["run", "docs"])
     members = runs.mapInArrow(_open_docs, "run long, doc long").join(comps, F.col("doc") == F.col("node"), "left").select("run", "doc", F.coalesce("component", "doc").alias("comp"))
     members = scratch.keep(members, "members")
     split = members.groupBy("run").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("run", "size")

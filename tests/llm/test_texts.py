@@ -176,6 +176,28 @@ def test_jaccard_edges(spark):
     assert jaccard_join.similar_texts(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_jaccard_runs_dealt_to_several_tasks(spark, monkeypatch):
+    """Shingles that many documents hold, in pieces of a few members, with pivots of pieces compared."""
+    monkeypatch.setattr(jaccard_join, "SPLIT", 8)
+    monkeypatch.setattr(jaccard_join, "TILE", 8)
+    monkeypatch.setattr(jaccard_join, "PER_BUCKET", 300)
+    rng = random.Random(6)
+    rows = []
+    for g in range(3):
+        base = [f"w{g}x{i}" for i in range(50)]
+        for i in range(60):
+            w = list(base[: rng.choice([50, 50, 40, 30])])
+            for _ in range(rng.randint(0, 4)):
+                w[rng.randrange(len(w))] = f"v{rng.randrange(10_000)}"
+            rows.append((g * 100 + i, " ".join(w), "en", "s", 0))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, DOC)
+    _, counts, _ = jaccard_join.frequent_shingles(docs, 4, Scratch(spark, "t"))
+    assert (counts > 8).sum() > 100
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar_texts(docs, 4, 85, 100).collect()}
+    assert got == plain_components(rows, 4, 85, 100)
+
+
 def test_jaccard_very_long_texts(spark):
     rng = random.Random(12)
     long = [f"w{rng.randrange(50_000)}" for _ in range(120_000)]
