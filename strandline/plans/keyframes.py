@@ -47,6 +47,18 @@ def sheets(frames: DataFrame) -> DataFrame:
     return frames.groupBy("media_id", "sheet").agg(F.array_sort(F.collect_list("index")).alias("frames"))
 
 
+def files(frames: DataFrame) -> DataFrame:
+    """Frames with the names of their picture and of the sheet it is on; numbers are padded, so names sort as frames do."""
+    sheet = vision.sheet_place(F.col("index"))["sheet"]
+    return frames.withColumns({"file": F.format_string("frames/%03d.jpg", F.col("index")), "sheet_file": F.format_string("sheets/%02d.jpg", sheet)})
+
+
+def manifest(frames: DataFrame) -> DataFrame:
+    """(media_id, json): what is known of each frame and its files, in order."""
+    row = F.struct("index", "pts", "sources", "dhash", "distance", "file", "sheet_file")
+    return files(frames).groupBy("media_id").agg(F.to_json(F.array_sort(F.collect_list(row))).alias("json"))
+
+
 def pick(frames: DataFrame, sheet_ids: list[int] | None = None, frame_ids: list[int] | None = None, most: int = 6) -> DataFrame:
     """What to show of a medium: the sheets asked for (the first two by default), then frames, at most so many pictures."""
     if sheet_ids is None and frame_ids is None:

@@ -218,7 +218,7 @@ def prune_frames(spark: SparkSession, d: str) -> DataFrame:
   holes AS (SELECT *, CAST(greatest(0, ceil(round((b - a) / 4, 6)) - 1) AS INTEGER) AS n FROM gaps), floors AS (SELECT media_id, a + k * 4 AS pts FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM holes WHERE n > 0)),
   c2 AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY pts, kind) AS i FROM (SELECT media_id, pts, ord AS kind, sources, dhash, distance FROM mc1 UNION ALL SELECT media_id, pts, 1 << 30, ['floor'], NULL, NULL FROM floors)), {_merge_cand('c2', 'm2', 'mc2')},
   left_over AS (WITH {_prune_sql(40, _LOOSE, 'mc2')}), numbered AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY pts, ord) AS i FROM left_over)
-  SELECT media_id, CAST(i AS INTEGER) AS index, round(pts, 2) AS pts, array_to_string(list_sort(sources), '+') AS sources, dhash, distance, (i - 1) // 9 + 1 AS sheet, (i - 1) % 9 + 1 AS tile FROM numbered""")
+  SELECT media_id, CAST(i AS INTEGER) AS index, round(pts, 2) AS pts, array_to_string(list_sort(sources), '+') AS sources, dhash, distance, (i - 1) // 9 + 1 AS sheet, CAST((i - 1) % 9 + 1 AS INTEGER) AS tile FROM numbered""")
 def key_frames(spark: SparkSession, d: str) -> DataFrame:
     f = frames(spark, d)
     ends = f.groupBy("media_id").agg((F.max("pts") + 1).alias("to_sec"))
@@ -238,6 +238,22 @@ def contact_sheets(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("media_id", F.col("p.sheet").cast("bigint").alias("sheet")).agg(F.array_join(F.array_sort(F.collect_list("i")), ",").alias("frames"), F.max(F.col("p.left")).cast("bigint").alias("last_left"), F.max(F.col("p.top")).cast("bigint").alias("last_top"))
 
 
+@query("plan_frame_files", f"""WITH RECURSIVE {FRAMES}, {_KEPT}, n AS (SELECT media_id, pts, CAST(row_number() OVER (PARTITION BY media_id ORDER BY idx) AS INTEGER) AS i FROM kept WHERE keep), s AS (SELECT *, (i - 1) // 9 + 1 AS sheet FROM n)
+  SELECT media_id, i AS index, pts, 'frames/' || CASE WHEN i < 1000 THEN lpad(CAST(i AS VARCHAR), 3, '0') ELSE CAST(i AS VARCHAR) END || '.jpg' AS file, 'sheets/' || CASE WHEN sheet < 100 THEN lpad(CAST(sheet AS VARCHAR), 2, '0') ELSE CAST(sheet AS VARCHAR) END || '.jpg' AS sheet_file FROM s""")
+def frame_files(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    n = folds.dedup_hashes(frames(spark, d)).withColumn("index", F.row_number().over(Window.partitionBy("media_id").orderBy("idx")))
+    return keyframes.files(n).select("media_id", "index", "pts", "file", "sheet_file")
+
+
+@query("media_sample_times", f"WITH {SEG}, e AS (SELECT media_id, max(end_sec) AS to_sec FROM seg GROUP BY media_id) SELECT media_id, CAST(i AS INTEGER) AS idx, 1.5 + i / 2 AS pts FROM (SELECT media_id, to_sec, unnest(range(0, CAST(greatest(0, ceil(round((to_sec - 1.5) * 2, 6))) AS BIGINT))) AS i FROM e)")
+def sample_times(spark: SparkSession, d: str) -> DataFrame:
+    from strandline.sources import media as src
+
+    return src.sample_times(segments(spark, d).groupBy("media_id").agg(F.max("end_sec").alias("to_sec")), 2.0, 1.5)
+
+
 @query("fold_energy_probabilities", f"""WITH {FRAMES}, s AS (SELECT media_id, list(value ORDER BY value) AS l FROM fr GROUP BY media_id), q AS (SELECT media_id, l[CAST(floor(len(l) * 0.2) AS INTEGER) + 1] AS noise, l[CAST(floor(len(l) * 0.9) AS INTEGER) + 1] AS loud FROM s)
   SELECT media_id, idx, round(least(1, greatest(0, (value - noise) / greatest(1e-6, loud - noise))), 6) AS p FROM fr JOIN q USING (media_id)""")
 def energy(spark: SparkSession, d: str) -> DataFrame:

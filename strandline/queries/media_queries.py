@@ -581,12 +581,12 @@ def trim_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("trim_screen", f"""WITH f AS (SELECT source AS media_id, doc_id, text, [left(text, 10)] AS blocks FROM documents), s AS (SELECT *, sum({_TOKENS.format("'doc_id': doc_id, 'text': text, 'blocks': blocks")}) OVER (PARTITION BY media_id) > 30000 AS over, greatest(60, 30000 // count(*) OVER (PARTITION BY media_id)) * 3 AS most FROM f)
-  SELECT media_id, doc_id, CASE WHEN over AND length(text) > most THEN left(text, most) || '…' ELSE text END AS text, CASE WHEN NOT over THEN blocks END AS blocks, CASE WHEN over THEN 'blocks omitted, texts capped; all of it: strand://jobs/' || media_id || '/ocr' END AS note FROM s""")
+  SELECT media_id, doc_id, CASE WHEN over AND length(text) > most THEN left(text, most) || '…' ELSE text END AS text, CASE WHEN NOT over THEN array_to_string(blocks, '|') END AS blocks, CASE WHEN over THEN 'blocks omitted, texts capped; all of it: strand://jobs/' || media_id || '/ocr' END AS note FROM s""")
 def trim_screen(spark: SparkSession, d: str) -> DataFrame:
     from strandline.plans import trim
 
     f = table(spark, d, "documents").select(F.col("source").alias("media_id"), "doc_id", "text", F.array(F.left("text", F.lit(10))).alias("blocks"))
-    return trim.screen(f, 30_000, key="media_id")
+    return trim.screen(f, 30_000, key="media_id").withColumn("blocks", F.array_join("blocks", "|"))
 
 
 @query("trim_key_frames", f"""WITH {base.FRAMES}, s AS (SELECT media_id, idx, dhash, sum({_TOKENS.format("'idx': idx, 'dhash': dhash")}) OVER (PARTITION BY media_id) > 700 AS over FROM fr) SELECT media_id, idx, CASE WHEN NOT over THEN dhash END AS dhash, CASE WHEN over THEN 'hashes omitted' END AS note FROM s""")

@@ -62,14 +62,18 @@ def time_formats(spark: SparkSession, d: str) -> DataFrame:
     return said.select("media_id", "seg_id", "said", times.srt_time(F.round("start_sec", 3)).alias("srt"), F.round(times.parse_time(F.col("said")), 1).alias("back"))
 
 
+_URIS = [k for k in txt.ARTIFACTS if k not in ("sheet", "frame")]
+
+
 @query(
     "text_artifact_uris",
-    "SELECT conv_id, turn, 'strand://jobs/' || conv_id || '/transcript.srt' AS srt, 'strand://jobs/' || conv_id || '/sheet/' || turn AS sheet, CASE WHEN length(text) > 7 THEN left(text, 4) || '…' || right(text, 3) END AS masked FROM conversations",
+    f"SELECT conv_id, turn, {', '.join(f"'strand://jobs/' || conv_id || '/{txt.ARTIFACTS[k]}' AS {k}" for k in _URIS)}, 'strand://jobs/' || conv_id || '/sheet/' || turn AS sheet, 'strand://jobs/' || conv_id || '/frame/' || turn AS frame, CASE WHEN length(text) > 7 THEN left(text, 4) || '…' || right(text, 3) END AS masked FROM conversations",
 )
 def artifact_uris(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations")
     job = F.col("conv_id").cast("string")
-    return c.select("conv_id", "turn", txt.artifact_uri(job, "srt").alias("srt"), txt.artifact_uri(job, "sheet", F.col("turn")).alias("sheet"), F.when(F.length("text") > 7, txt.mask(F.col("text"))).alias("masked"))
+    plain = [txt.artifact_uri(job, k).alias(k) for k in _URIS]
+    return c.select("conv_id", "turn", *plain, txt.artifact_uri(job, "sheet", F.col("turn")).alias("sheet"), txt.artifact_uri(job, "frame", F.col("turn")).alias("frame"), F.when(F.length("text") > 7, txt.mask(F.col("text"))).alias("masked"))
 
 
 @query(

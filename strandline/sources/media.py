@@ -148,6 +148,12 @@ class Externals:
         return out.select(*want.fieldNames())
 
 
+def sample_times(media: DataFrame, rate: float, from_sec: float = 0.0) -> DataFrame:
+    """(media_id, to_sec) -> (media_id, idx, pts): when frames are sampled at so many a second, up to the end."""
+    n = F.greatest(F.lit(0), F.ceil(F.round((F.col("to_sec") - from_sec) * rate, 6))).cast("int")
+    return media.where(n > 0).select("media_id", F.explode(F.sequence(F.lit(0), n - 1)).alias("idx")).select("media_id", "idx", (F.lit(float(from_sec)) + F.col("idx") / rate).alias("pts"))
+
+
 def scene_cuts(scores: DataFrame, threshold: float = 0.3, from_sec: float = 0.0) -> DataFrame:
     """Cuts in source time from scores in window time."""
     return scores.where(F.col("score") > threshold).select("media_id", (F.col("pts") + from_sec).alias("pts"))

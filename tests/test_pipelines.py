@@ -370,3 +370,27 @@ def test_compatibility_forms_are_those_of_the_phrase_list(spark):
     texts = ["Ｔｈａｎｋ　ｙｏｕ", "ﬁne ½ … №5 été ™", "ça été “q”", "x² ① ｱ", "plain, text!", None, "été Ångström"]
     got = [r.p for r in spark.createDataFrame([(t,) for t in texts], "t string").select(txt.plain(F.col("t")).alias("p")).collect()]
     assert got == [None if t is None else filters.normalised(t) for t in texts]
+
+
+def test_files_are_rows(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, body in (("a.mp4", b"one"), ("b.txt", b"two"), ("in/c.mp4", b"one")):
+        (tmp_path / name).write_bytes(body)
+    rows = {os.path.basename(r.path): r for r in media.scan_files(spark, str(tmp_path), "*.mp4").collect()}
+    assert set(rows) == {"a.mp4", "c.mp4"} and rows["a.mp4"].identity == rows["c.mp4"].identity and rows["a.mp4"].length == 3
+
+
+def test_scope_of_a_search():
+    from strandline.operators import search
+
+    assert search.scope(["a", "b"]) == (["a", "b"], None) and search.scope(["a", "b"], job_id="b") == (["b"], ["b"])
+    assert search.scope(["a"], "all", "a") == (["a"], None) and search.scope(["a"], "job") == ([], None)
+
+
+def test_manifest(spark):
+    from strandline.plans import keyframes
+
+    rows = [("m", i, i / 2, ["hash"], i, 6) for i in range(1, 12)]
+    got = keyframes.manifest(spark.createDataFrame(rows, "media_id string, index int, pts double, sources array<string>, dhash long, distance int")).first()
+    frames = json.loads(got.json)
+    assert [f["index"] for f in frames] == list(range(1, 12)) and frames[9]["file"] == "frames/010.jpg" and frames[9]["sheet_file"] == "sheets/02.jpg"
