@@ -40,6 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders of applications that go at their end.
+_left_behind: set[str] = set()
 _made_here: ContextVar[list | None] = ContextVar("made_here", default=None)
 
 
@@ -61,7 +63,7 @@ class Scratch:
 
     A step's shuffle files go as soon as its table is written.  The tables of an operator whose result is
     still to be computed stay: compute and write the result inside ``released()``, or call ``delete`` or
-    ``clean_up`` afterwards.
+    ``clean_up`` afterwards.  What is left goes when the application ends.
     """
 
     #: Spark's setting for that.
@@ -69,8 +71,15 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/strandline/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+        own = f"{shared_dir(spark)}/strandline/{spark.sparkContext.applicationId}"
+        self.root = f"{own}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        if own not in _left_behind:
+            _left_behind.add(own)
+            path = spark._jvm.org.apache.hadoop.fs.Path(own)
+            files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+            files.mkdirs(path)
+            files.deleteOnExit(path)
         if (made := _made_here.get()) is not None:
             made.append(self)
 
