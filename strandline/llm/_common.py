@@ -223,7 +223,7 @@ def by_bucket(df: DataFrame, *order: str) -> DataFrame:
     return df.repartition(n, "bucket").sortWithinPartitions("bucket", *order)
 
 
-def salted(big: DataFrame, small: DataFrame, keys: list[str], by: str, salts: int = 32) -> DataFrame:
+def salted(big: DataFrame, small: DataFrame, keys: list[str], by: str, salts: int = 16) -> DataFrame:
     """``big`` joined with ``small`` on keys of which one may hold a large share of ``big``.
 
     Rows of ``big`` are dealt by the keys and a salt of column ``by``; ``small`` has one row a key, or few,
