@@ -17,6 +17,8 @@ from strandline.functions import text as txt
 from strandline.functions import vision
 
 K1, B, FUSION = 1.4, 0.75, 60
+#: Jobs whose statistics are broadcast, at most: some ten megabytes.
+FEW_JOBS = 100_000
 
 
 def query_tokens(query: str) -> list[str]:
@@ -40,13 +42,18 @@ def _count(tokens: str, word: str) -> Column:
 
 
 def bm25(docs: DataFrame, query: str, text_col: str = "text") -> DataFrame:
-    """The documents with ``bm25``; statistics are per job, over both kinds of document."""
+    """The documents with ``bm25``; statistics are per job, over both kinds of document.
+
+    One row of statistics a job is broadcast if a count of the jobs, over one column, finds them few, so the
+    texts are not shuffled; with more jobs they meet by a join on the job.
+    """
     tokens = query_tokens(query)
     words = list(dict.fromkeys(tokens))
     counted = docs.withColumn("__tokens", txt.search_tokens(F.col(text_col)))
     counted = counted.withColumn("__len", F.size("__tokens")).withColumn("__tf", F.array(*[_count("__tokens", w) for w in words]).cast("array<int>")).drop("__tokens")
     job = counted.groupBy("job_id").agg(F.count(F.lit(1)).alias("__n"), F.sum("__len").alias("__sum"), *[F.count_if(F.col("__tf")[i] > 0).alias(f"__df{i}") for i in range(len(words))])
-    joined = counted.join(job, "job_id")
+    few = docs.select("job_id").distinct().limit(FEW_JOBS + 1).count() <= FEW_JOBS
+    joined = counted.join(F.broadcast(job) if few else job, "job_id")
     avg = F.col("__sum") / F.col("__n")
     total = F.lit(0.0)
     for w in tokens:
