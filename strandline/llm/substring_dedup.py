@@ -296,7 +296,7 @@ def dedup_substrings(docs: DataFrame, window: int = 13, extra: tuple[str, ...] =
     scratch = Scratch(spark, "substring")
     n_rows, n_chars = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()
     buckets = 1 + n_chars // (12 * PER_BUCKET)  # an anchor for every 12 characters or more of prose
-    deal = 1 + max(n_rows // 4_000, n_chars // 8_000_000)
+    deal = 1 + max(n_rows // 1_500, n_chars // 3_000_000)  # several a task, so that tasks are alike
     texts = docs.where("doc_id is not null").select("doc_id", "text")
 
     first = texts.mapInArrow(_emit_anchors(window, buckets), _PACK)
