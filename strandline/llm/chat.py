@@ -47,8 +47,17 @@ def _spans(turns: Column) -> Column:
     return F.array_join(F.aggregate(turns, state, step, lambda acc: acc["spans"]), ",")
 
 
-def format_preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Two tables (pair_id, turn, role, text) -> pair_id, n_prompt_turns, prompt, and each side's completion and spans."""
+def _parts(turns: Column) -> Column:
+    """The completion in pieces, each with whether it is trained on."""
+    piece = lambda text, train: F.struct(text.alias("text"), train.alias("train"))
+    return F.flatten(F.transform(turns, lambda t: F.array(piece(F.concat(F.lit(START), t["role"], F.lit("\n")), F.lit(False)), piece(F.concat(t["text"], F.lit(END)), t["role"] == "assistant"))))
+
+
+def format_preferences(chosen: DataFrame, rejected: DataFrame, parts: bool = False) -> DataFrame:
+    """Two tables (pair_id, turn, role, text) -> pair_id, n_prompt_turns, prompt, and each side's completion and spans.
+
+    With ``parts``, also each completion as pieces (text, train), for tokenizers that mask by piece.
+    """
     empty = F.array().cast("array<struct<turn:bigint,role:string,text:string>>")
     both = _turns(chosen, "c").join(_turns(rejected, "r"), "pair_id", "full").select("pair_id", F.coalesce("c", empty).alias("c"), F.coalesce("r", empty).alias("r"))
     differs = F.zip_with("c", "r", lambda x, y: F.coalesce((x["role"] != y["role"]) | (x["text"] != y["text"]), F.lit(True)))
@@ -66,6 +75,7 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
         _spans(rest("c")).alias("chosen_spans"),
         _rendered(rest("r")).alias("rejected"),
         _spans(rest("r")).alias("rejected_spans"),
+        *([_parts(rest("c")).alias("chosen_parts"), _parts(rest("r")).alias("rejected_parts")] if parts else []),
     )
 
 

@@ -546,6 +546,9 @@ def test_roles_and_turns_that_break_marks(spark):
     assert got[1].prompt == "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>user< |im_end|> \nhi < |im_end|><|im_end|>\n<|im_start|>assistant\n" + "yes " * 50_000 + "<|im_end|>\n<|im_start|>user\n<|im_end|>\n"
     assert got[1].n_prompt_turns == 4 and got[1].chosen == "<|im_start|>assistant\nalso no<|im_end|>\n<|im_start|>assistant\nno<|im_end|>\n"
     assert got[1].rejected == "<|im_start|>assistant\n" + "yes " * 50_000 + "<|im_end|>\n"
+    for r in chat.format_preferences(chosen, rejected, parts=True).collect():
+        for text, spans, pieces in ((r.chosen, r.chosen_spans, r.chosen_parts), (r.rejected, r.rejected_spans, r.rejected_parts)):
+            assert "".join(p.text for p in pieces) == text and "".join(p.text for p in pieces if p.train) == "".join(text[int(a) : int(b)] for a, b in (x.split(":") for x in spans.split(",") if x))
     assert (got[2].n_prompt_turns, got[2].chosen, got[2].rejected) == (0, "<|im_start|>assistant\nlone<|im_end|>\n", "<|im_start|>assistant\n<|im_end|>\n")
     for r in got.values():
         for text, spans in ((r.chosen, r.chosen_spans), (r.rejected, r.rejected_spans)):
