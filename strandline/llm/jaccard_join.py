@@ -42,7 +42,7 @@ from strandline.llm._common import MULT, Scratch, WordHasher, by_bucket, grouped
 from strandline.llm.components import connected_components
 
 #: Shingles in one bucket of a packed shuffle, about.
-PER_BUCKET = 1_000_000
+PER_BUCKET = 250_000
 #: Shingles after which a mapper sends what it holds.
 FLUSH = 1_000_000
 #: A shingle may be called frequent if it makes up one in FREQUENT of all; so there are at most as many.
