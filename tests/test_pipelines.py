@@ -339,8 +339,10 @@ def test_pool():
 # -- words -----------------------------------------------------------------------------------------
 
 
-def test_alignment_in_two_rows_is_that_of_the_whole_table():
-    rng = random.Random(1)
+@pytest.mark.parametrize("near", [1, 2, 64])
+def test_alignment_in_two_rows_is_that_of_the_whole_table(monkeypatch, near):
+    monkeypatch.setattr(rates, "NEAR", near)
+    rng = random.Random(near)
     for _ in range(400):
         a, b = ([rng.randrange(4) for _ in range(rng.randrange(12))] for _ in range(2))
         cost = [[i + j if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
@@ -358,6 +360,16 @@ def test_alignment_in_two_rows_is_that_of_the_whole_table():
         assert rates.alignment(a, b) == (s, d, n)
 
 
+def test_distance_matches_the_built_in(spark, monkeypatch):
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcé") for _ in range(rng.randrange(n)))
+    pairs = [(text(12), text(12)) for _ in range(150)] + [((t := text(300)), t[:100] + text(5) + t[110:]) for _ in range(20)]
+    want = [r[0] for r in spark.createDataFrame(pairs, "a string, b string").select(F.levenshtein("a", "b")).collect()]
+    for near in (1, 4, 64):
+        monkeypatch.setattr(rates, "NEAR", near)
+        assert [rates.distance(a, b) for a, b in pairs] == want
+
+
 def test_error_rates_of_long_texts(spark):
     said = " ".join(f"word{i}" for i in range(20_000))
     got = rates.error_rates(spark.createDataFrame([(said, said + " more"), (None, "x"), ("Só, [noise] isto!", "so isto")], "reference string, hypothesis string")).collect()
