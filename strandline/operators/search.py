@@ -108,7 +108,7 @@ def fused_top(scored: DataFrame, k: int = 8, *tie: str) -> DataFrame:
                 break
             rank_bm, rank_vec = (_positions(slim, list(found.values()), by, tie) for by in ("bm25", "vector"))
             wanted = spark.createDataFrame(list(found), T.StructType([slim.schema[t] for t in tie]))
-            rows = scored.join(F.broadcast(wanted), list(tie), "left_semi").collect()
+            rows = scored.drop("bm25", "vector").join(F.broadcast(wanted), list(tie), "left_semi").collect()  # scores are known
             hits = []
             for r in rows:
                 at = tuple(r[t] for t in tie)
@@ -130,7 +130,8 @@ def fused_top(scored: DataFrame, k: int = 8, *tie: str) -> DataFrame:
         slim.unpersist()
         first.unpersist()
     schema = T.StructType([*scored.schema, T.StructField("score", T.DoubleType()), T.StructField("bm25_rank", T.IntegerType()), T.StructField("vector_rank", T.IntegerType())])
-    return spark.createDataFrame([(*[r[c] for c in columns], s, rb, rv) for s, _, rb, rv, r in shown[:k]] if found else [], schema)
+    made = [(*[found[at][c] if c in ("bm25", "vector") else r[c] for c in columns], s, rb, rv) for s, at, rb, rv, r in shown[:k]] if found else []
+    return spark.createDataFrame(made, schema)
 
 
 def search(docs: DataFrame, query: str, query_vector: list[float], k: int = 8, kind: str | None = None, jobs: list[str] | None = None) -> DataFrame:
