@@ -373,7 +373,7 @@ def test_distance_matches_the_built_in(spark, monkeypatch):
 def test_error_rates_of_long_texts(spark):
     said = " ".join(f"word{i}" for i in range(20_000))
     got = rates.error_rates(spark.createDataFrame([(said, said + " more"), (None, "x"), ("Só, [noise] isto!", "so isto")], "reference string, hypothesis string")).collect()
-    assert [(r.substitutions, r.deletions, r.insertions, r.char_errors, r.reference_words) for r in got] == [(0, 0, 1, 4, 20_000), (0, 0, 1, 1, 0), (0, 0, 0, 0, 2)]
+    assert {r.hypothesis[-8:]: (r.substitutions, r.deletions, r.insertions, r.char_errors, r.reference_words) for r in got} == {"999 more": (0, 0, 1, 4, 20_000), "x": (0, 0, 1, 1, 0), "so isto": (0, 0, 0, 0, 2)}
 
 
 def test_compatibility_forms_are_those_of_the_phrase_list(spark):
