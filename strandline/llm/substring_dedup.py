@@ -40,9 +40,9 @@ COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16)}
 #: Anchors or windows in one bucket of a packed shuffle, about; this bounds a reducer's memory.
 PER_BUCKET = 200_000
 #: Anchors or windows of a stretch of input, which is settled and sent.
-FLUSH = 1_000_000
+FLUSH = 500_000
 #: Entries that a reducer holds before it settles them.
-HELD = 1_000_000
+HELD = 500_000
 #: Characters of texts after which a batch of results is sent.
 OUT_CHARS = 8_000_000
 
@@ -296,7 +296,7 @@ def dedup_substrings(docs: DataFrame, window: int = 13, extra: tuple[str, ...] =
     scratch = Scratch(spark, "substring")
     n_rows, n_chars = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()
     buckets = 1 + n_chars // (12 * PER_BUCKET)  # an anchor for every 12 characters or more of prose
-    deal = 1 + max(n_rows // 1_500, n_chars // 3_000_000)  # several a task, so that tasks are alike
+    deal = 1 + max(n_rows // 4_000, n_chars // 8_000_000)
     texts = docs.where("doc_id is not null").select("doc_id", "text")
 
     first = texts.mapInArrow(_emit_anchors(window, buckets), _PACK)
